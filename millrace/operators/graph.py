@@ -35,7 +35,8 @@ def pagerank(
     spark = edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = store(edges.select("src", "dst").filter(F.col("src").isNotNull()).distinct(), "links")
-    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).repartition(parts, "src").persist(
+    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = degrees.repartition(parts, "src").sortWithinPartitions("src").persist(
         StorageLevel.MEMORY_AND_DISK)
     # At most (number of edges / hot_degree) sources are hot, which bounds the broadcast.
     hot = degrees.filter(F.col("degree") > hot_degree).select(
@@ -47,7 +48,7 @@ def pagerank(
         links = links.join(F.broadcast(hot), "src", "left").select(
             "src", "dst", F.pmod(F.hash("dst"), slices).alias("slice"))
         keys = ["src", "slice"]
-    links = links.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    links = links.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
 
     ranks = degrees.select("src", "degree", F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):

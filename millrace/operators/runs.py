@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt, last_match
 from millrace.operators.ordering import exact_quantile
+from millrace.session import store
 from millrace.sources import eventlog
 
 # Ids of checkpointed RDDs go into the plan as constants up to this many; more of them are joined.
@@ -311,15 +312,16 @@ def assert_same_count(before: DataFrame, after: DataFrame) -> None:
 def run_report(events: DataFrame, app_id: str | None = None) -> DataFrame:
     """Task rows of all applications (or one) with their stage attempt and checkpoint times.
 
-    A task that is logged twice counts once. Tasks join their stage attempt, an inner join, so that a stage
+    A task that is logged twice counts once. The log is read twice, for tasks and for stages. Tasks join their stage attempt, an inner join, so that a stage
     with most of the tasks can be split; attempts without tasks are added below.
     """
     if app_id is not None:
         events = events.filter(F.col("app_id") == app_id)
     key = ["app_id", "stageId", "attemptId"]
-    stages = eventlog.stage_attempts(events)
     details = ["taskAttempt", "taskDuration", "taskExecutorId", "taskIndex", "taskLaunchTime", "taskId"]
-    tasks = eventlog.tasks(events).select(*key, *details).distinct()
+    # Both are read more than once; as stored tables the log is parsed only once for each.
+    tasks = store(eventlog.tasks(events).select(*key, *details, "failed", "killed").distinct(), "tasks")
+    stages = store(eventlog.stage_attempts(events, tasks), "stages")
     kept = [c for c in stages.columns if c != "numSeenTasks"]
     with_tasks = tasks.join(stages, key).select(*kept, *details)
     without = stages.filter(F.col("numSeenTasks") == 0).select(*kept)

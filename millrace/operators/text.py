@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import LDA, DistributedLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir
+from millrace.session import shared_dir, spread
 
 
 def tokenize(df: DataFrame, column: str = "text", out: str = "raw_tokens") -> DataFrame:
@@ -25,8 +26,8 @@ def stopword_filter(
     return StopWordsRemover(inputCol=column, outputCol=out, stopWords=words).transform(df)
 
 
-def vocabulary(df: DataFrame, size: int = 10_000, column: str = "tokens") -> DataFrame:
-    """term, n_tokens, n_docs of the `size` most frequent terms; ties by term.
+def term_counts(df: DataFrame, column: str = "tokens") -> DataFrame:
+    """term, n_tokens, n_docs.
 
     A row is opened twice in one go, into all its tokens and into its distinct ones, so documents per term
     are a plain sum: no distinct count, and no shuffle of (document, term) pairs.
@@ -35,16 +36,27 @@ def vocabulary(df: DataFrame, size: int = 10_000, column: str = "tokens") -> Dat
         F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col(column).alias("terms")),
         F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.array_distinct(column).alias("terms")))
     rows = df.select(F.explode(both).alias("b")).select("b.n", "b.d", F.explode("b.terms").alias("term"))
-    counts = rows.groupBy("term").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_docs"))
-    return counts.orderBy(F.desc("n_tokens"), "term").limit(size)
+    return rows.groupBy("term").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_docs"))
+
+
+def vocabulary(df: DataFrame, size: int = 10_000, column: str = "tokens") -> DataFrame:
+    """term, n_tokens, n_docs of the `size` most frequent terms; ties by term."""
+    return term_counts(df, column).orderBy(F.desc("n_tokens"), "term").limit(size)
 
 
 def corpus_counts(df: DataFrame, size: int = 10_000, column: str = "tokens") -> DataFrame:
-    """One row: documents, tokens, and distinct (document, term) pairs within the vocabulary."""
-    docs = df.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("n_tokens"))
-    pairs = vocabulary(df, size, column).agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_pairs"))
-    both = docs.unionByName(pairs, allowMissingColumns=True)
-    return both.agg(*(F.max(c).alias(c) for c in ("n_docs", "n_tokens", "n_pairs")))
+    """One row: documents, tokens, and distinct (document, term) pairs within the vocabulary.
+
+    Tokens and pairs both come out of the term counts, so the texts are split only once.
+    """
+    terms = term_counts(df, column)
+    parts = (
+        df.agg(F.count(F.lit(1)).alias("n_docs")),
+        terms.agg(F.sum("n_tokens").alias("n_tokens")),
+        terms.orderBy(F.desc("n_tokens"), "term").limit(size).agg(F.sum("n_docs").alias("n_pairs")),
+    )
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return one.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_docs", "n_tokens", "n_pairs")))
 
 
 def count_vectors(
@@ -81,7 +93,7 @@ def lda_topics(
     extra_stopwords: Sequence[str] = (), n: int = 10, seed: int = 42,
 ) -> DataFrame:
     """Topics of a corpus (a `text` column), from text to terms."""
-    tokens = stopword_filter(tokenize(df), extra_stopwords).select("tokens")
+    tokens = stopword_filter(tokenize(spread(df.select("text"))), extra_stopwords).select("tokens")
     words, vectors = count_vectors(tokens, vocab_size)
     vectors = vectors.select("features").persist()
     try:

@@ -16,7 +16,7 @@ from millrace.functions import columns as C
 from millrace.functions import logs
 from millrace.operators import clustering, failures, generators, graph, orders, regression, runs, text
 from millrace.operators.ordering import number_rows
-from millrace.session import scratch_path
+from millrace.session import scratch_path, spread, store
 from millrace.sources import eventlog, sinks
 from millrace.sources import text as readers
 
@@ -172,7 +172,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A customer is an application (one in MACHINERY is still running). An order is a job of one stage in run
     `order key mod 64`; urgent ones write checkpoints. Status F fails and is tried again, priority 5-LOW never
-    completes. A line item is a task of the first attempt.
+    completes. A line item is a task of the first attempt. The lines are stored, as a log is.
     """
     customers = table(spark, sf_dir, "customer")
     app = F.concat(F.lit("customer-"), F.col("c_custkey"))
@@ -184,7 +184,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(end.isNotNull(), _json("SparkListenerApplicationEnd", end.alias("Timestamp"))),
     ))).alias("value"))
 
-    ordered = table(spark, sf_dir, "orders")
+    ordered = spread(table(spark, sf_dir, "orders"))
     key, submitted = F.col("o_orderkey"), _epoch_ms("o_orderdate")
     name = F.when(F.col("o_orderpriority") == "1-URGENT", "checkpoint at Job.scala:84").otherwise("count at Job.scala:57")
     failed, planned_only = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW"
@@ -215,12 +215,12 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         launch.alias("Launch Time"), (launch + F.floor("l_extendedprice")).alias("Finish Time"),
         F.col("l_suppkey").cast("string").alias("Executor ID"), (F.col("l_returnflag") == "R").alias("Failed"),
         ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")).alias("Killed"))
-    task_lines = table(spark, sf_dir, "lineitem").select(
+    task_lines = spread(table(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("run-"), F.pmod(F.col("l_orderkey"), F.lit(64))).alias("app_id"),
         _json("SparkListenerTaskEnd", F.col("l_orderkey").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"),
               task.alias("Task Info"),
               F.struct(F.floor("l_quantity").alias("Executor Deserialize Time")).alias("Task Metrics")).alias("value"))
-    return app_lines.unionAll(order_lines).unionAll(task_lines)
+    return store(app_lines.unionAll(order_lines).unionAll(task_lines), "event-lines")
 
 
 @query
@@ -626,12 +626,12 @@ def kmeans_cost(spark, sf_dir):
 # --- text --------------------------------------------------------------------------------------------------
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.stopword_filter(text.tokenize(table(spark, sf_dir, "documents")), EXTRA_STOPWORDS)
+    return text.stopword_filter(text.tokenize(spread(table(spark, sf_dir, "documents"))), EXTRA_STOPWORDS)
 
 
 @query
 def tokenize(spark, sf_dir):
-    return text.tokenize(table(spark, sf_dir, "documents")).select(
+    return text.tokenize(spread(table(spark, sf_dir, "documents"))).select(
         "doc_id", F.concat_ws(" ", "raw_tokens").alias("tokens"))
 
 
@@ -666,7 +666,7 @@ def split_by_key(spark, sf_dir):
 @query
 def gbt_regression(spark, sf_dir):
     features = ["l_quantity", "l_discount", "l_tax"]
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_linenumber", *features, F.col("l_extendedprice").alias("label"))
     parts = regression.split_by_key(rows, "l_orderkey", [7, 3])
     model = regression.gbt_regression(
@@ -752,11 +752,11 @@ def auc_pr(spark, sf_dir):
 
 @query
 def gen_polynomial(spark, sf_dir):
-    rows = generators.polynomial_rows(table(spark, sf_dir, "orders"), 4, key="o_orderkey")
+    rows = generators.polynomial_rows(spread(table(spark, sf_dir, "orders").select("o_orderkey")), 4, key="o_orderkey")
     return _rounded(C.widen(rows, "features", 4, "f"), "label", "f0", "f1", "f2", "f3")
 
 
 @query
 def gen_clusters(spark, sf_dir):
-    rows = generators.cluster_rows(table(spark, sf_dir, "orders"), 55, key="o_orderkey")
+    rows = generators.cluster_rows(spread(table(spark, sf_dir, "orders").select("o_orderkey")), 55, key="o_orderkey")
     return _rounded(C.widen(rows, "point", 2, "x"), "x0", "x1")

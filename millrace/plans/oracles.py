@@ -78,7 +78,7 @@ _TASKS = f"""
         cast(l_suppkey as varchar) as "taskExecutorId", l_linenumber as "taskIndex",
         {_AT.format(_SHIP_MS)} as "taskLaunchTime", l_partkey as "taskId",
         cast(floor(l_quantity) as bigint) as "executorDeserializeTime",
-        l_returnflag = 'R' or (l_returnflag = 'A' and l_linestatus = 'O') as lost
+        l_returnflag = 'R' as failed, l_returnflag = 'A' and l_linestatus = 'O' as killed
     from lineitem"""
 _MINUTES = "floor((epoch_us({1}) - epoch_us({0})) / 1000000) / 60"
 _TC_STAGE = f"""
@@ -187,7 +187,7 @@ ORACLES: dict[str, str] = {
     "task_list": _TASKS,
     "stage_attempts": _STAGES,
     "run_report": f"""
-        with s as ({_STAGES}), t as (select distinct * exclude ("executorDeserializeTime", lost) from ({_TASKS})),
+        with s as ({_STAGES}), t as (select distinct * exclude ("executorDeserializeTime", failed, killed) from ({_TASKS})),
         tc as ({_TC_STAGE})
         select s.app_id, status, s."stageId", s."attemptId", "numTasks", "numCompleteTasks", "numFailedTasks",
             "numKilledTasks", "submissionTime", "firstTaskLaunchedTime", "completionTime", name, "taskAttempt",

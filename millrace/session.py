@@ -60,3 +60,13 @@ def store(df: DataFrame, label: str = "stored") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a file scan over at least as many partitions as there are cores.
+
+    For work that is heavy per row, or goes over its input many times. Files that give fewer partitions are
+    small, so moving them costs little; a large input has more partitions and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -33,7 +33,7 @@ _TASK = (
     f"`Event` string, `Stage ID` long, `Stage Attempt ID` int, `Task Info` {_TASK_INFO}, "
     "`Task Metrics` struct<`Executor Deserialize Time` long, `Executor Run Time` long>"
 )
-_STAGE = f"{_TASK}, `Stage Info` {_STAGE_INFO}, {_JOB.split(', ', 1)[1]}"
+_STAGE = f"{_JOB}, `Stage Info` {_STAGE_INFO}"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -52,11 +52,15 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(events: DataFrame, kinds: list[str], schema: str) -> DataFrame:
-    """app_id and `e`, the parsed event, for the events of the given kinds."""
+    """app_id and `e`, the parsed event, for the events of the given kinds.
+
+    Opening a one-element array keeps the check of the parsed kind behind the parser; as a filter on a plain
+    projection it would be pushed below and parse every line a second time.
+    """
     mentioned = F.lit(False)
     for kind in kinds:
         mentioned = mentioned | F.col("value").contains(f'"{kind}"')
-    parsed = events.filter(mentioned).select("app_id", F.from_json("value", schema).alias("e"))
+    parsed = events.filter(mentioned).select("app_id", F.explode(F.array(F.from_json("value", schema))).alias("e"))
     return parsed.filter(F.col("e.Event").isin(kinds))
 
 
@@ -128,56 +132,59 @@ def tasks(events: DataFrame, stage_id: int | None = None, attempt: int | None =
         _time(info["Launch Time"]).alias("taskLaunchTime"),
         info["Task ID"].alias("taskId"),
         e["Task Metrics"]["Executor Deserialize Time"].alias("executorDeserializeTime"),
-        (info["Failed"] | info["Killed"]).alias("lost"),
+        (info["Failed"] & ~info["Killed"]).alias("failed"),
+        info["Killed"].alias("killed"),
         _time(info["Finish Time"]).alias("taskFinishTime"),
     )
 
 
-def stage_attempts(events: DataFrame) -> DataFrame:
+def stage_attempts(events: DataFrame, finished_tasks: DataFrame | None = None) -> DataFrame:
     """One row per stage attempt with its task counts.
 
-    Completed stages, their tasks and the stages a job planned meet in one aggregation by stage attempt, so
-    the log is parsed once and shuffled as partial sums. A planned stage that never ran is SKIPPED.
+    The tasks are counted first, as plain sums; the counts then meet the stages that completed and those that
+    a job planned in one aggregation, so no join is needed and nothing of the size of the tasks is sorted. A
+    planned stage that never ran is SKIPPED. `finished_tasks`, the result of `tasks`, spares parsing them again.
     """
+    key = ["app_id", "stageId", "attemptId"]
+    counted = (tasks(events) if finished_tasks is None else finished_tasks).groupBy(*key).agg(
+        F.count(F.lit(1)).cast("int").alias("numSeenTasks"),
+        F.count_if("failed").cast("int").alias("numFailedTasks"),
+        F.count_if("killed").cast("int").alias("numKilledTasks"),
+        F.min("taskLaunchTime").alias("firstTaskLaunchedTime"),
+    )
     e = F.col("e")
-    parsed = _parse(
-        events, ["SparkListenerStageCompleted", "SparkListenerTaskEnd", "SparkListenerJobStart"], _STAGE)
-    info, task = e["Stage Info"], e["Task Info"]
+    info = e["Stage Info"]
     planned = F.transform(e["Stage Infos"], lambda s: F.struct(
-        s["Stage ID"].alias("id"), F.lit(0).alias("attempt"),
+        s["Stage ID"].alias("stageId"), F.lit(0).alias("attemptId"),
         F.struct(s["Stage Name"].alias("name"), s["Number of Tasks"].alias("tasks")).alias("plan")))
-    own = F.array(F.struct(
-        F.coalesce(info["Stage ID"], e["Stage ID"]).alias("id"),
-        F.coalesce(info["Stage Attempt ID"], e["Stage Attempt ID"]).alias("attempt"),
+    completed = F.array(F.struct(
+        info["Stage ID"].alias("stageId"), info["Stage Attempt ID"].alias("attemptId"),
         F.lit(None).cast("struct<name string, tasks int>").alias("plan")))
     is_job = e["Event"] == "SparkListenerJobStart"
-    rows = parsed.select(
-        "app_id", F.explode(F.when(is_job, planned).otherwise(own)).alias("stage"),
-        F.when(~is_job, info).alias("info"), F.when(~is_job, task).alias("task"))
-    failed, killed = F.col("task.Failed"), F.col("task.Killed")
-    counted = rows.groupBy(
-        "app_id", F.col("stage.id").alias("stageId"), F.col("stage.attempt").alias("attemptId")
-    ).agg(
-        F.max("info").alias("info"),
-        F.max("stage.plan").alias("plan"),
-        F.count("task").cast("int").alias("seen"),
-        F.count_if(F.col("task").isNotNull() & ~failed & ~killed).cast("int").alias("numCompleteTasks"),
-        F.count_if(failed & ~killed).cast("int").alias("numFailedTasks"),
-        F.count_if(killed).cast("int").alias("numKilledTasks"),
-        F.min(F.col("task")["Launch Time"]).alias("first"),
+    described = _parse(events, ["SparkListenerStageCompleted", "SparkListenerJobStart"], _STAGE).select(
+        "app_id", F.when(~is_job, info).alias("info"),
+        F.explode(F.when(is_job, planned).otherwise(completed)).alias("stage"),
+    ).select("app_id", "stage.*", "info")
+    counts = ["numSeenTasks", "numFailedTasks", "numKilledTasks"]
+    met = described.unionByName(counted, allowMissingColumns=True).groupBy(*key).agg(
+        F.max("info").alias("info"), F.max("plan").alias("plan"),
+        *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts),
+        F.max("firstTaskLaunchedTime").alias("firstTaskLaunchedTime"),
     )
+    seen = F.col("numSeenTasks")
     status = (
-        F.when(F.col("info").isNull(), F.when(F.col("seen") > 0, "ACTIVE").otherwise("SKIPPED"))
+        F.when(F.col("info").isNull(), F.when(seen > 0, "ACTIVE").otherwise("SKIPPED"))
         .when(F.col("info")["Failure Reason"].isNotNull(), "FAILED").otherwise("COMPLETE"))
-    return counted.select(
+    return met.select(
         "app_id", status.alias("status"), "stageId", "attemptId",
-        F.coalesce(F.col("info")["Number of Tasks"], F.col("plan.tasks"), F.col("seen")).alias("numTasks"),
+        F.coalesce(F.col("info")["Number of Tasks"], F.col("plan.tasks"), seen).alias("numTasks"),
         F.lit(0).alias("numActiveTasks"),
-        "numCompleteTasks", "numFailedTasks", "numKilledTasks",
+        (seen - F.col("numFailedTasks") - F.col("numKilledTasks")).alias("numCompleteTasks"),
+        "numFailedTasks", "numKilledTasks",
         _time(F.col("info")["Submission Time"]).alias("submissionTime"),
-        _time(F.col("first")).alias("firstTaskLaunchedTime"),
+        "firstTaskLaunchedTime",
         _time(F.col("info")["Completion Time"]).alias("completionTime"),
         F.coalesce(F.col("info")["Stage Name"], F.col("plan.name")).alias("name"),
         F.transform(F.col("info")["RDD Info"], lambda r: r["RDD ID"]).alias("rddIds"),
-        F.col("seen").alias("numSeenTasks"),
+        "numSeenTasks",
     )
