@@ -249,9 +249,13 @@ def compare_runs(normal: DataFrame, checkpoint: DataFrame, tc: DataFrame) -> Dat
         (F.max(F.unix_seconds(F.col("completionTime").cast("timestamp")))
          - F.min(F.unix_seconds(F.col("submissionTime").cast("timestamp")))).alias("runtime_s"),
     )
+    # The time joins its run as one more row to sum up, which needs no join of two one-row frames.
     labelled = tc.select(F.lit("checkpoint").alias("run"), "tc_min")
+    measures = ("tasks", "failed_tasks", "runtime_s", "tc_min")
+    met = counts.unionByName(labelled, allowMissingColumns=True).groupBy("run").agg(
+        *(F.max(m).alias(m) for m in measures))
     minutes, spent = F.col("runtime_s") / 60, F.coalesce("tc_min", F.lit(0.0))
-    return counts.join(labelled, "run", "left").select(
+    return met.select(
         "run", "tasks", "failed_tasks", minutes.alias("runtime_min"), spent.alias("tc_min"),
         (minutes - spent).alias("net_runtime_min"))
 
