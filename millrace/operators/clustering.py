@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.checkpoints import checkpoint_timed
@@ -40,17 +40,18 @@ def kmeans_fit(
         points.unpersist()
 
 
+def kmeans_centres(model: KMeansModel, spark: SparkSession) -> DataFrame:
+    """cluster, centre of a fitted model."""
+    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster long, centre array<double>")
+
+
 def kmeans_summary(model: KMeansModel, df: DataFrame, point: str = "point") -> DataFrame:
     """cluster, size, cost, centre of a fitted model over `df`; the costs add up to the model's."""
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    centre = F.get(F.array(*(F.array(*(F.lit(x) for x in c)) for c in centres)), F.col("cluster"))
-    assigned = model.transform(df.select(to_vector(point).alias("features")))
-    members = assigned.select(F.col("prediction").alias("cluster"), vector_to_array("features").alias("p"))
-    distance = F.aggregate(F.zip_with("p", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return (
-        members.withColumn("d", distance).groupBy("cluster")
-        .agg(F.count(F.lit(1)).alias("size"), F.sum("d").alias("cost")).withColumn("centre", centre)
-    )
+    centres = kmeans_centres(model, df.sparkSession)
+    assigned = kmeans_assign(df.select(point), centres, point)
+    sums = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("distance").alias("cost"))
+    return sums.join(centres, "cluster")
 
 
 def group_means(df: DataFrame, group: str, point: str = "point") -> DataFrame:

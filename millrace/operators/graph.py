@@ -13,6 +13,9 @@ from millrace.session import store
 DAMPING = 0.85
 BASE_RANK = 0.15
 
+# Sources may be hot in at most this many cases, so the table of them can be broadcast whatever the graph's size.
+MAX_HOT = 100_000
+
 
 def out_degree(edges: DataFrame) -> DataFrame:
     """src, degree: number of distinct neighbours."""
@@ -29,7 +32,8 @@ def pagerank(
 
     Links and degrees are hash-partitioned by source once and kept; a round's ranks come out of their
     aggregation partitioned by node the same way, so a round shuffles only its partial sums. A source with more
-    than `hot_degree` links is split into slices of about that many. The plan grows with each round:
+    than `hot_degree` links (or than a 100,000th of all, if that is more) is split into slices of about that
+    many. The plan grows with each round:
     `checkpoint_every` rounds the ranks are checkpointed (0: never, for few rounds only).
     """
     spark = edges.sparkSession
@@ -38,12 +42,14 @@ def pagerank(
     degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     degrees = degrees.repartition(parts, "src").sortWithinPartitions("src").persist(
         StorageLevel.MEMORY_AND_DISK)
-    # At most (number of edges / hot_degree) sources are hot, which bounds the broadcast.
-    hot = degrees.filter(F.col("degree") > hot_degree).select(
-        "src", F.ceil(F.col("degree") / hot_degree).cast("int").alias("slices"))
-    split = not hot.isEmpty()
+    size = degrees.agg(F.sum("degree").alias("links"), F.max("degree").alias("degree")).head()
+    # No more than links / limit sources are above the limit: that bounds the broadcast to MAX_HOT rows.
+    limit = max(hot_degree, (size.links or 0) // MAX_HOT)
+    split = (size.degree or 0) > limit
+    slices_of = F.ceil(F.col("degree") / limit).cast("int").alias("slices")
     keys = ["src"]
     if split:
+        hot = degrees.filter(F.col("degree") > limit).select("src", slices_of)
         slices = F.coalesce("slices", F.lit(1))
         links = links.join(F.broadcast(hot), "src", "left").select(
             "src", "dst", F.pmod(F.hash("dst"), slices).alias("slice"))
@@ -52,8 +58,7 @@ def pagerank(
 
     ranks = degrees.select("src", "degree", F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
-        shares = ranks.select("src", (F.col("rank") / F.col("degree")).alias("share"),
-                              F.ceil(F.col("degree") / hot_degree).cast("int").alias("slices"))
+        shares = ranks.select("src", (F.col("rank") / F.col("degree")).alias("share"), slices_of)
         if split:
             shares = shares.select("src", "share", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
         ranked = (

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt, last_match
+from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt
 from millrace.operators.ordering import exact_quantile
 from millrace.session import store
 from millrace.sources import eventlog
@@ -61,7 +61,9 @@ def add_tc_by_rdd(tasks: DataFrame, rdd_tc: DataFrame, max_inline: int = MAX_INL
     """
     ids = [row.rddId for row in rdd_tc.select("rddId").limit(max_inline + 1).collect()]
     if len(ids) <= max_inline:
-        found = tasks.withColumn("rddId", last_match("rddIds", ids))
+        # As SQL text the ids reach the plan in one call.
+        known = F.expr(f"filter(rddIds, x -> x in ({', '.join(map(str, ids)) or 'null'}))")
+        found = tasks.withColumn("rddId", F.try_element_at(known, F.lit(-1)))
     else:
         places = tasks.select("rddIds").distinct().select("rddIds", F.posexplode("rddIds").alias("pos", "rddId"))
         last = places.join(rdd_tc.select("rddId"), "rddId").groupBy("rddIds").agg(

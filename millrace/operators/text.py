@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexToken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir, spread
+from millrace.session import shared_dir
 
 
 def tokenize(df: DataFrame, column: str = "text", out: str = "raw_tokens") -> DataFrame:
@@ -81,11 +81,13 @@ def lda_avg_loglik(model: DistributedLDAModel, n_docs: int) -> float:
 
 def topic_terms(model: DistributedLDAModel, words: Sequence[str], n: int = 10) -> DataFrame:
     """topic, rank, term, weight: the `n` heaviest terms of each topic. `words` is the model's vocabulary."""
-    terms = F.array(*(F.lit(w) for w in words))
+    topics = model.describeTopics(n)
     pairs = F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "pair")
-    return model.describeTopics(n).select("topic", pairs).select(
-        "topic", (F.col("pos") + 1).alias("rank"),
-        F.get(terms, F.col("pair.termIndices")).alias("term"), F.col("pair.termWeights").alias("weight"))
+    heaviest = topics.select("topic", pairs).select(
+        "topic", (F.col("pos") + 1).alias("rank"), F.col("pair.termIndices").alias("index"),
+        F.col("pair.termWeights").alias("weight"))
+    terms = topics.sparkSession.createDataFrame(list(enumerate(words)), "index int, term string")
+    return heaviest.join(terms, "index").select("topic", "rank", "term", "weight")
 
 
 def lda_topics(
@@ -93,7 +95,7 @@ def lda_topics(
     extra_stopwords: Sequence[str] = (), n: int = 10, seed: int = 42,
 ) -> DataFrame:
     """Topics of a corpus (a `text` column), from text to terms."""
-    tokens = stopword_filter(tokenize(spread(df.select("text"))), extra_stopwords).select("tokens")
+    tokens = stopword_filter(tokenize(df.select("text")), extra_stopwords).select("tokens")
     words, vectors = count_vectors(tokens, vocab_size)
     vectors = vectors.select("features").persist()
     try:

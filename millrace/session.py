@@ -46,15 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, below the folder of this application."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, but stays columnar: a later reader fetches only the columns it
-    needs. Every reader sees the same rows, also after executors are lost.
+    needs. Every reader sees the same rows, also after executors are lost. Like checkpoints, stored tables
+    stay until they are removed, see `drop_stored`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -62,6 +63,12 @@ def store(df: DataFrame, label: str = "stored") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables this application has stored; frames that still read one fail afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a file scan over at least as many partitions as there are cores.
 

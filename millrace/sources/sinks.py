@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordering import number_rows
 
+# Fixed value: times in run tables, as the history server writes them.
+_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
+
 
 def run_table_path(root: str, mode: str, workload: str, app_id: str, checkpoint: bool) -> str:
     return f"{root}/output/{mode}/{workload}/{app_id}_{'checkpoint' if checkpoint else 'normal'}.csv"
@@ -29,7 +32,8 @@ def write_run_table(
     arrays = {name for name, kind in table.dtypes if kind.startswith("array")}
     table = table.select(*(
         F.col(c).cast("string").alias(c) if c in arrays else F.col(c) for c in table.columns))
-    table.write.mode("ignore").option("header", True).option("nullValue", "nan").csv(path)
+    table.write.mode("ignore").options(
+        header=True, nullValue="nan", timestampFormat=_TIME_FORMAT, timeZone="GMT").csv(path)
     return path
 
 
