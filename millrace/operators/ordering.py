@@ -7,7 +7,7 @@ partitions; what a partition must know about the ones before it is one small row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,44 +69,93 @@ def number_rows(
         *df.columns, (F.col("__position") + F.coalesce(F.col("__before"), F.lit(0))).alias(name))
 
 
-def exact_quantile(
-    df: DataFrame, value: str, q: float, by: Sequence[str] = (), interpolate: bool = False, name: str = "quantile"
-) -> DataFrame:
-    """The exact `q` quantile of `value` per group; nulls do not count.
+def _ranks(method: str, q: float, total: Column) -> list[tuple[Column, Column]]:
+    """The (index, share) pairs that make up a quantile of `total` sorted values."""
+    whole = F.lit(1.0)
+    if method == "index":
+        return [(F.least(F.floor(F.lit(float(q)) * total), total - 1), whole)]
+    if method == "lower":
+        return [(F.greatest(F.ceil(F.lit(float(q)) * total) - 1, F.lit(0)), whole)]
+    if method == "linear":
+        exact = F.lit(float(q)) * (total - 1)
+        part = exact - F.floor(exact)
+        return [(F.floor(exact), whole - part), (F.ceil(exact), part)]
+    raise ValueError(f"no such method: {method}")
+
 
-    By default the value at index floor(q * n) of the sorted values (the last one for q = 1), as the history
-    server reports task quantiles. With `interpolate` the usual linear one, so q = 0.5 is the median.
+def _quantile_rows(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str], method: str) -> DataFrame:
+    """by, __q, __value: a row per group and quantile; __q is its place in `qs`.
+
+    Groups without values have one row, with null in both.
     """
     by = list(by)
     group = [_PART, *by]
-    # Equal values first become one row with a count: less to shuffle, and no value too hot to split.
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    laid = _lay_out(counted, [*by, value])
+    # Equal values first become one row with a count: less to shuffle, and no value too hot to split. Null has
+    # the count 0, so that it is never picked but its group is known.
+    counted = df.groupBy(*by, F.col(value).alias("__value")).agg(F.count(value).alias("__n"))
+    laid = _lay_out(counted, [*by, "__value"])
 
     whole = Window.partitionBy(*by or [F.lit(0)])
     earlier = whole.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    if interpolate:
-        exact = F.lit(float(q)) * (F.col("__total") - 1)
-        index = F.array(F.struct(F.floor(exact).alias("at"), (F.lit(1.0) - (exact - F.floor(exact))).alias("share")),
-                        F.struct(F.ceil(exact).alias("at"), (exact - F.floor(exact)).alias("share")))
-    else:
-        at = F.least(F.floor(F.lit(float(q)) * F.col("__total")), F.col("__total") - 1)
-        index = F.array(F.struct(at.alias("at"), F.lit(1.0).alias("share")))
-    wanted = (
-        laid.groupBy(*group).agg(F.sum("__n").alias("__rows"))
-        .withColumns({"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)),
-                      "__total": F.sum("__rows").over(whole)})
-        .withColumn("__at", F.explode(index))
-        .filter((F.col("__before") <= F.col("__at.at")) & (F.col("__at.at") < F.col("__before") + F.col("__rows")))
-        .groupBy(*group, "__before").agg(F.collect_list("__at").alias("__ats"))  # one or two per group
-    )
+    spans = laid.groupBy(*group).agg(F.sum("__n").alias("__rows")).withColumns({
+        "__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)), "__total": F.sum("__rows").over(whole)})
+    ranks = F.array(*(
+        F.struct(F.lit(i).alias("q"), at.cast("long").alias("at"), share.alias("share"))
+        for i, q in enumerate(qs) for at, share in _ranks(method, q, F.col("__total"))))
+    inside = F.filter(ranks, lambda r: (F.col("__before") <= r["at"]) & (r["at"] < F.col("__before") + F.col("__rows")))
+    wanted = spans.withColumn("__wanted", inside).filter(F.size("__wanted") > 0)
     # Only the partitions that hold a wanted index are read on, so no window spans more than one of them.
-    kept = _match(laid, wanted, group, "inner")
-    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy(value)) + F.col("__before")
+    kept = _match(laid, wanted.select(*group, "__before", "__wanted"), group, "inner")
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__value")) + F.col("__before")
     hit = (
-        kept.withColumn("__upto", upto).withColumn("__at", F.explode("__ats"))
-        .filter((F.col("__at.at") < F.col("__upto")) & (F.col("__at.at") >= F.col("__upto") - F.col("__n")))
+        kept.withColumn("__upto", upto).withColumn("__w", F.explode("__wanted"))
+        .filter((F.col("__w.at") < F.col("__upto")) & (F.col("__w.at") >= F.col("__upto") - F.col("__n")))
     )
-    if not interpolate:
-        return hit.select(*by, F.col(value).alias(name))
-    return hit.groupBy(*by).agg(F.sum(F.col(value) * F.col("__at.share")).alias(name))
+    rows = hit.select(*by, F.col("__w.q").alias("__q"), "__value", F.col("__w.share").alias("__share"))
+    if method == "linear":
+        rows = rows.groupBy(*by, "__q").agg(F.sum(F.col("__value") * F.col("__share")).alias("__value"))
+    else:
+        rows = rows.drop("__share")
+    none = spans.filter(F.col("__total") == 0).select(*by).distinct()
+    return rows.unionByName(none, allowMissingColumns=True)
+
+
+def exact_quantile(
+    df: DataFrame, value: str, q: float, by: Sequence[str] = (), method: str = "index", name: str = "quantile"
+) -> DataFrame:
+    """The exact `q` quantile of `value` per group; nulls do not count, groups without values have null.
+
+    `index`: the value at index floor(q * n) of the sorted values (the last one for q = 1), as the history server
+    reports task quantiles. `lower`: the smallest value that at least the share q of all values does not exceed.
+    `linear`: interpolated, so q = 0.5 is the usual median.
+    """
+    return _quantile_rows(df, value, [q], by, method).select(*by, F.col("__value").alias(name))
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], qs: Mapping[str, float], by: Sequence[str] = (), method: str = "lower"
+) -> DataFrame:
+    """by, and for every column a struct of the same name with a field per quantile.
+
+    All columns are ranked together, in one pass. NaN and null do not count. Numbers of unlike types become double.
+    """
+    by = list(by)
+    types = {kind for name, kind in df.dtypes if name in columns}
+    kind = types.pop() if len(types) == 1 else "double"
+
+    def valid(c: str) -> Column:
+        number = F.col(c).cast(kind)
+        return F.when(~F.isnan(number), number) if kind in ("float", "double") else number
+
+    entries = F.array(*(
+        F.struct(F.lit(i).alias("column"), valid(c).alias("value")) for i, c in enumerate(columns)))
+    long = df.select(*by, F.explode(entries).alias("__e")).select(
+        *by, F.col("__e.column").alias("__column"), F.col("__e.value").alias("value"))
+    rows = _quantile_rows(long, "value", list(qs.values()), [*by, "__column"], method)
+    picked = {
+        c: F.struct(*(
+            F.max(F.when((F.col("__column") == i) & (F.col("__q") == j), F.col("__value"))).alias(name)
+            for j, name in enumerate(qs))).alias(c)
+        for i, c in enumerate(columns)
+    }
+    return rows.groupBy(*by).agg(*picked.values())

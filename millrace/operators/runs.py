@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt
-from millrace.operators.ordering import exact_quantile
+from millrace.operators.ordering import exact_quantile, exact_quantiles
 from millrace.session import store
 from millrace.sources import eventlog
 
@@ -101,9 +101,9 @@ def dedupe(df: DataFrame, subset: Sequence[str]) -> DataFrame:
 
 
 def task_quantile(tasks: DataFrame, column: str = "executorDeserializeTime", q: float = 0.99,
-                  by: Sequence[str] = ("stageId", "attemptId"), interpolate: bool = False) -> DataFrame:
+                  by: Sequence[str] = ("stageId", "attemptId"), method: str = "index") -> DataFrame:
     """The exact quantile of a task measure per stage attempt, as the history server's task summary gives it."""
-    return exact_quantile(tasks, column, q, by, interpolate)
+    return exact_quantile(tasks, column, q, by, method)
 
 
 def stage_progress(stages: DataFrame, time: str = "submissionTime") -> DataFrame:
@@ -186,17 +186,28 @@ def mean_across(aligned: DataFrame, columns: Sequence[str], names: Sequence) ->
     return aligned.withColumns({f"mean{c[0].upper()}{c[1:]}": mean(c) for c in columns})
 
 
-def median_by(df: DataFrame, key: Sequence[str], columns: Sequence[str], accuracy: int = 1_000_000) -> DataFrame:
-    """Medians per key, a value of the data each, off by a rank of at most n / accuracy. NaN rows are left out."""
+def median_by(df: DataFrame, key: Sequence[str], columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """`median<Column>` per key, a value of the data each; null and NaN do not count.
+
+    Exact, and spread over partitions within a key. With an `accuracy` taken from one digest per key and task
+    instead, off by a rank of at most n / accuracy: cheaper, but a key's digests all meet in one task.
+    """
+    names = {c: f"median{c[0].upper()}{c[1:]}" for c in columns}
+    if accuracy is None:
+        medians = exact_quantiles(df, columns, {"median": 0.5}, key)
+        return medians.select(*key, *(F.col(f"{c}.median").alias(name) for c, name in names.items()))
     floats = {c for c, kind in df.dtypes if kind in ("float", "double")}
-    def median(c: str) -> Column:
-        value = F.when(~F.isnan(c), F.col(c)) if c in floats else F.col(c)
-        return F.percentile_approx(value, 0.5, accuracy).alias(f"median{c[0].upper()}{c[1:]}")
 
-    return df.groupBy(*key).agg(*(median(c) for c in columns))
+    def valid(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c)) if c in floats else F.col(c)
 
+    return df.groupBy(*key).agg(*(
+        F.percentile_approx(valid(c), 0.5, accuracy).alias(name) for c, name in names.items()))
 
-def sum_of_medians(df: DataFrame, key: Sequence[str], columns: Sequence[str], accuracy: int = 1_000_000) -> DataFrame:
+
+def sum_of_medians(
+    df: DataFrame, key: Sequence[str], columns: Sequence[str], accuracy: int | None = None
+) -> DataFrame:
     """One row: per column the sum of its medians per key."""
     medians = median_by(df, key, columns, accuracy)
     return medians.agg(*(F.sum(c).alias(f"sum{c[0].upper()}{c[1:]}") for c in medians.columns if c not in key))
@@ -268,29 +279,32 @@ def tw_tr(runs: DataFrame, tw: str = "tw", tr: str = "tr") -> DataFrame:
     rows = [
         means.select("tw_mean", "tr_mean", *(F.lit(None).cast("double").alias(c) for c in ("tw_median", "tr_median")))]
     for column, name in ((tw, "tw_median"), (tr, "tr_median")):
-        rows.append(exact_quantile(runs, column, 0.5, interpolate=True, name=name))
+        rows.append(exact_quantile(runs, column, 0.5, method="linear", name=name))
     parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     one = parts.agg(*(F.max(c).alias(c) for c in ("tw_mean", "tr_mean", "tw_median", "tr_median")))
     return one.withColumn("ratio", F.try_divide("tw_median", "tr_mean"))
 
 
-def profile(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000) -> DataFrame:
-    """column, count, mean, stddev, min, p25, p50, p75, max: a numeric summary, in one pass over all columns."""
-    measures = {"count": F.count, "mean": F.avg, "stddev": F.stddev, "min": F.min, "max": F.max}
-    quartiles = {"p25": 0, "p50": 1, "p75": 2}
-    aggregates = [
-        F.struct(
-            F.lit(c).alias("column"),
-            *(f(F.col(c)).alias(name) if name == "count" else f(F.col(c)).cast("double").alias(name)
-              for name, f in measures.items()),
-            F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias("quartiles"),
-        ).alias(c)
-        for c in columns
-    ]
-    rows = df.agg(*aggregates).select(F.explode(F.array(*(F.col(c) for c in columns))).alias("s"))
-    return rows.select(
-        "s.column", "s.count", "s.mean", "s.stddev", "s.min",
-        *(F.col("s.quartiles")[i].cast("double").alias(name) for name, i in quartiles.items()), "s.max")
+def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, count, mean, stddev, min, p25, p50, p75, max: a numeric summary, quartiles being values of the data.
+
+    One pass for the sums and one for the exact quartiles, whatever the number of columns.
+    """
+    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    measures = {"mean": F.avg, "stddev": F.stddev, "min": F.min, "max": F.max}
+    names = ["count", *measures, *quartiles]
+
+    def by_column(wide: DataFrame) -> DataFrame:
+        rows = wide.select(F.explode(F.array(*(
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns))).alias("r"))
+        return rows.select("r.column", "r.s.*")
+
+    sums = df.agg(*(
+        F.struct(F.count(c).alias("count"), *(f(F.col(c)).cast("double").alias(name) for name, f in measures.items()))
+        .alias(c) for c in columns))
+    cuts = exact_quantiles(df.select(*(F.col(c).cast("double").alias(c) for c in columns)), columns, quartiles)
+    met = by_column(sums).unionByName(by_column(cuts), allowMissingColumns=True)
+    return met.groupBy("column").agg(*(F.max(name).alias(name) for name in names))
 
 
 def first_distinct(df: DataFrame, columns: Sequence[str], order: Sequence[str], n: int = 10) -> DataFrame:
@@ -318,8 +332,9 @@ def assert_same_count(before: DataFrame, after: DataFrame) -> None:
 def run_report(events: DataFrame, app_id: str | None = None) -> DataFrame:
     """Task rows of all applications (or one) with their stage attempt and checkpoint times.
 
-    A task that is logged twice counts once. The log is read twice, for tasks and for stages. Tasks join their stage attempt, an inner join, so that a stage
-    with most of the tasks can be split; attempts without tasks are added below.
+    A task that is logged twice counts once. The log is read twice, for tasks and for stages. Tasks join their
+    stage attempt, an inner join, so that a stage with most of the tasks can be split; attempts without tasks
+    are added below.
     """
     if app_id is not None:
         events = events.filter(F.col("app_id") == app_id)

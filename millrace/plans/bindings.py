@@ -535,7 +535,7 @@ def sum_of_medians(spark, sf_dir):
 @query
 def profile(spark, sf_dir):
     numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return _rounded(runs.profile(table(spark, sf_dir, "lineitem"), numbers, 1_000_000), "mean", "stddev")
+    return _rounded(runs.profile(table(spark, sf_dir, "lineitem"), numbers), "mean", "stddev")
 
 
 @query
@@ -662,7 +662,8 @@ def corpus_counts(spark, sf_dir):
 @query
 def lda_topics(spark, sf_dir):
     return text.lda_topics(
-        spread(table(spark, sf_dir, "documents").select("text")), k=4, iterations=4, checkpoint_interval=2, extra_stopwords=EXTRA_STOPWORDS)
+        spread(table(spark, sf_dir, "documents").select("text")), k=4, iterations=4, checkpoint_interval=2,
+        extra_stopwords=EXTRA_STOPWORDS)
 
 
 # --- regression --------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.ordering import exact_quantile, number_rows
+from millrace.operators.ordering import exact_quantile, exact_quantiles, number_rows
 
 
 def skewed_rows(n=3000, seed=1):
@@ -54,12 +54,26 @@ def test_quantile_by_index(frame, q):
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 1.0])
 def test_quantile_interpolated(frame, q):
-    got = {r.g: r.quantile for r in exact_quantile(frame, "value", q, by=["g"], interpolate=True).collect()}
+    got = {r.g: r.quantile for r in exact_quantile(frame, "value", q, by=["g"], method="linear").collect()}
     for g, v in by_group(skewed_rows()).items():
         assert got[g] == pytest.approx(np.quantile([x for x, _ in v], q))
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_lower_quantiles_of_several_columns(spark, frame, q):
+    wide = frame.withColumn("other", F.when(F.col("id") % 2 == 0, -F.col("value")).otherwise(float("nan")))
+    rows = exact_quantiles(wide, ["value", "other"], {"a": q, "b": 0.5}, by=["g"]).collect()
+    exact = {r.g: r for r in wide.groupBy("g").agg(
+        F.percentile_approx("value", q, 10**6).alias("value"),
+        F.percentile_approx(F.when(~F.isnan("other"), F.col("other")), q, 10**6).alias("other")).collect()}
+    assert len(rows) == len(exact)
+    for r in rows:
+        assert (r.value.a, r.other.a) == (exact[r.g].value, exact[r.g].other)
+
+
 def test_quantile_ignores_nulls(spark):
-    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
-    assert exact_quantile(df, "v", 0.5, interpolate=True).head()[0] == 2.0
-    assert exact_quantile(df.filter("v is null"), "v", 0.5).count() == 0
+    df = spark.createDataFrame([(1, 1.0), (1, None), (1, 3.0), (2, None)], "g int, v double")
+    assert exact_quantile(df.filter("g = 1"), "v", 0.5, method="linear").head()[0] == 2.0
+    got = {r.g: r.quantile for r in exact_quantile(df, "v", 0.5, by=["g"]).collect()}
+    assert got == {1: 3.0, 2: None}
+    assert exact_quantile(df.filter("v is null"), "v", 0.5).head().quantile is None

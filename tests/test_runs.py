@@ -109,8 +109,9 @@ def test_separate_runs_are_stacked(spark):
 def test_medians_and_their_sum(spark):
     rows = [(s, float(v)) for s in (1, 2) for v in (5 * s, 1, 9 * s)] + [(1, float("nan"))]
     df = spark.createDataFrame(rows, "stageId int, tcMinStage double")
-    assert {r.stageId: r.medianTcMinStage for r in runs.median_by(df, ["stageId"], ["tcMinStage"]).collect()} == {
-        1: 5.0, 2: 10.0}
+    for accuracy in (None, 1_000_000):
+        medians = runs.median_by(df, ["stageId"], ["tcMinStage"], accuracy).collect()
+        assert {r.stageId: r.medianTcMinStage for r in medians} == {1: 5.0, 2: 10.0}
     assert runs.sum_of_medians(df, ["stageId"], ["tcMinStage"]).head().sumMedianTcMinStage == 15.0
 
 
