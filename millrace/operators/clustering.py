@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -64,17 +64,16 @@ def _nearest(numbers: np.ndarray, centres: np.ndarray):
     """A function from points to (cluster, squared distance) of the nearest of these centres."""
     norms = (centres * centres).sum(axis=1)
 
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for points in batches:
-            if not len(points):
-                yield pd.DataFrame({"cluster": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
-                continue
-            x = np.stack(points.to_numpy()).astype("float64", copy=False)
+            x = points.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
+            x = x.reshape(len(points), centres.shape[1])
             best = (norms - 2.0 * (x @ centres.T)).argmin(axis=1)
-            yield pd.DataFrame({
-                "cluster": numbers[best], "distance": ((x - centres[best]) ** 2).sum(axis=1)})
+            distance = ((x - centres[best]) ** 2).sum(axis=1)
+            yield pa.StructArray.from_arrays(
+                [pa.array(numbers[best]), pa.array(distance)], names=["cluster", "distance"])
 
-    return F.pandas_udf(find, "cluster long, distance double")
+    return F.arrow_udf(find, "cluster long, distance double")
 
 
 def _blocks(centres: DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
