@@ -35,20 +35,31 @@ def cast_all(df: DataFrame, kind: str = "double") -> DataFrame:
 def cast_run_table(df: DataFrame) -> DataFrame:
     """Give the text columns of a run table their types; `nan` times and junk become null, `nan` numbers NaN.
 
-    `rddIds` (`[3, 2]`) becomes an array. Executors may have names such as `driver`, which become null.
+    Takes tables with checkpoint times per stage and task (`tcMinStage`, `tcMinTask`) and those with times per
+    RDD (`rddId`, `tcMs`). `rddIds` (`[3, 2]`) becomes an array. Executors may have names such as `driver`, which
+    become null. A row number without a name (`_c0`) is called `id`.
     """
-    ints = ["taskIndex", "taskAttempt", "taskExecutorId"]
-    floats = ["taskDuration", "tcMinStage", "tcMinTask"]
-    times = ["submissionTime", "firstTaskLaunchedTime", "completionTime", "taskLaunchTime"]
-    typed: dict[str, Column] = {
-        # Through double, because an integer column with gaps is written as `3.0`.
-        **{c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")).try_cast("int")
-           for c in ints},
-        **{c: F.col(c).try_cast("float") for c in floats},
-        **{c: F.try_to_timestamp(c, F.lit(TIME_FORMAT)) for c in times},
-        "rddIds": F.transform(F.regexp_extract_all("rddIds", F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int")),
+    kinds = dict(df.dtypes)
+
+    def whole(c: str) -> Column:  # through double, because an integer column with gaps is written as `3.0`
+        number = F.col(c).try_cast("double")
+        return F.when(~F.isnan(number), number).try_cast("int")
+
+    def instant(c: str) -> Column:
+        return F.try_to_timestamp(c, F.lit(TIME_FORMAT)) if kinds[c] == "string" else F.col(c).try_cast("timestamp")
+
+    def numbers(c: str) -> Column:
+        found = F.regexp_extract_all(F.col(c).cast("string"), F.lit(r"(\d+)"), F.lit(1))
+        return F.transform(found, lambda x: x.try_cast("int"))
+
+    typed = {
+        **dict.fromkeys(["taskIndex", "taskAttempt", "taskExecutorId", "rddId"], whole),
+        **dict.fromkeys(["taskDuration", "tcMinStage", "tcMinTask", "tcMs"], lambda c: F.col(c).try_cast("float")),
+        **dict.fromkeys(["submissionTime", "firstTaskLaunchedTime", "completionTime", "taskLaunchTime"], instant),
+        "rddIds": numbers,
     }
-    return df.withColumns({c: e for c, e in typed.items() if c in df.columns}).drop("taskId")
+    cast = df.withColumns({c: to(c) for c, to in typed.items() if c in kinds})
+    return cast.drop("taskId").withColumnRenamed("_c0", "id")
 
 
 def suffix_columns(df: DataFrame, suffix: str, keep: Collection[str] = ()) -> DataFrame:

@@ -139,7 +139,7 @@ def tasks(events: DataFrame, stage_id: int | None = None, attempt: int | None =
 
 
 def stage_attempts(events: DataFrame, finished_tasks: DataFrame | None = None) -> DataFrame:
-    """One row per stage attempt with its task counts.
+    """One row per stage attempt with its task counts; sort by stageId, attemptId for the order of time.
 
     The tasks are counted first, as plain sums; the counts then meet the stages that completed and those that
     a job planned in one aggregation, so no join is needed and nothing of the size of the tasks is sorted. A

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.functions import logs
+from millrace.sources import text as readers
 
 
 def one(spark, *columns):
@@ -38,6 +39,17 @@ def test_run_table_types(spark):
     assert "taskId" not in a.asDict()
 
 
+def test_older_run_table(spark, folder):
+    with open(f"{folder}/run.csv", "w") as file:
+        file.write(",stageId,rddId,tcMs,submissionTime,taskLaunchTime\n"
+                   "0,4,7.0,952938.0,2021-09-29T10:11:12.345GMT,2021-09-29 10:11:12\n1,4,nan,nan,nan,2021-09-29 10:11:13\n")
+    table = C.cast_run_table(readers.read_run_table(spark, f"{folder}/run.csv")).orderBy("id")
+    assert dict(table.dtypes)["taskLaunchTime"] == dict(table.dtypes)["submissionTime"] == "timestamp"
+    first, second = table.collect()
+    assert (first.id, first.rddId, first.tcMs) == (0, 7, 952938.0) and second.rddId is None
+    assert math.isnan(second.tcMs) and first.submissionTime.microsecond == 345000 and second.taskLaunchTime.second == 13
+
+
 def test_names_and_types(spark):
     df = spark.createDataFrame([(1, 2.0, "x")], "id int, v double, s string")
     assert C.suffix_columns(df, "_2", keep=["id"]).columns == ["id", "v_2", "s_2"]

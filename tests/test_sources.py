@@ -147,3 +147,22 @@ def test_stored_frames_keep_schema(spark, name):
 
     df = spark.createDataFrame([], "a int, b array<struct<c:string>>")
     assert store(df, name).schema.simpleString() == df.schema.simpleString()
+
+
+def test_sizes_follow_the_input():
+    from millrace.session import sized_settings
+
+    small, large = sized_settings(1 << 30), sized_settings(100 << 40)
+    assert small == {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.shuffle.partitions": "200"}
+    assert large == {"spark.sql.files.maxPartitionBytes": "512m", "spark.sql.shuffle.partitions": "50000"}
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from millrace.session import drop_stored, store
+
+    table = store(spark.range(3), "short")
+    assert table.count() == 3
+    drop_stored(spark)
+    with pytest.raises(Exception):
+        store(spark.range(3), "short").unionAll(table).collect()
+    assert store(spark.range(3), "short").count() == 3
