@@ -7,6 +7,10 @@ are skipped.
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,17 +40,49 @@ _TASK = (
 _STAGE = f"{_JOB}, `Stage Info` {_STAGE_INFO}"
 
 
+def _zstd_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """app_id, value: the lines of zstd files given as app_id, content, a bounded number at a time."""
+    import zstandard
+
+    for batch in batches:
+        for app_id, content in zip(batch.column("app_id").to_pylist(), batch.column("content")):
+            stream = zstandard.ZstdDecompressor().stream_reader(content.as_buffer(), read_across_frames=True)
+            lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
+            while chunk := _some_lines(lines):
+                yield pa.RecordBatch.from_pydict({
+                    "app_id": pa.array([app_id] * len(chunk), pa.string()), "value": pa.array(chunk, pa.string())})
+
+
+def _some_lines(lines: io.TextIOWrapper, limit: int = 2_000) -> list[str]:
+    chunk: list[str] = []
+    try:
+        for line in lines:
+            chunk.append(line.rstrip("\n"))
+            if len(chunk) == limit:
+                break
+    except (OSError, EOFError):  # the log of a running application may end within a block
+        pass
+    return chunk
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event-log lines with their application: app_id, value. No lines and a warning if nothing is there.
 
     The application is taken from the file's name (`<app>[.inprogress]`), or for a rolling log from its
-    `events_<n>_<app>` part.
+    `events_<n>_<app>` part. Plain files are split and read by line. Files compressed as Spark does by default
+    (`.zstd`, which its text reader does not know) are opened whole, one task per file; rolling keeps them small.
     """
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(?:events_\d+_)?([^.]+)", 1)
+    def app_id(name: Column) -> Column:
+        return F.regexp_extract(name, r"^(?:events_\d+_)?([^.]+)", 1).alias("app_id")
 
     def read() -> DataFrame:
-        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!.]*").text(path)
-        return lines.select(name.alias("app_id"), "value")
+        files = spark.read.option("recursiveFileLookup", True)
+        name = F.col("_metadata.file_name")
+        lines = files.text(path).filter(~name.contains(".zstd")).select(app_id(name), "value")
+        packed = files.option("pathGlobFilter", "*.zstd*").format("binaryFile").load(path)
+        if not packed.inputFiles():
+            return lines
+        return lines.unionAll(packed.select(app_id(name), "content").mapInArrow(_zstd_lines, EVENTS))
 
     return or_empty(spark, read, EVENTS, path)
 

@@ -22,8 +22,8 @@ APPLICATION = textwrap.dedent("""
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master("local[2]").appName("own")
         .config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true")
-        .config("spark.eventLog.dir", sys.argv[1]).config("spark.eventLog.rolling.enabled", "false")
-        .config("spark.eventLog.compress", "false").config("spark.checkpoint.dir", sys.argv[2])
+        .config("spark.eventLog.dir", sys.argv[1]).config("spark.eventLog.rolling.enabled", sys.argv[3])
+        .config("spark.eventLog.compress", sys.argv[3]).config("spark.checkpoint.dir", sys.argv[2])
         .config("spark.sql.shuffle.partitions", "3").config("spark.sql.adaptive.enabled", "false").getOrCreate())
     df = spark.range(0, 1000, 1, 4).selectExpr("id % 10 as k", "id").checkpoint()
     df.groupBy("k").count().collect()
@@ -31,12 +31,13 @@ APPLICATION = textwrap.dedent("""
 """)
 
 
-@pytest.fixture(scope="module")
-def events(spark):
+@pytest.fixture(scope="module", params=["plain", "rolling and compressed"])
+def events(spark, request):
     folder, checkpoints = (tempfile.mkdtemp(prefix="millrace-log-") for _ in range(2))
-    subprocess.run([sys.executable, "-c", APPLICATION, folder, checkpoints], check=True, timeout=180,
-                   stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
-    assert len(glob.glob(f"{folder}/*")) == 1
+    packed = request.param != "plain"
+    subprocess.run([sys.executable, "-c", APPLICATION, folder, checkpoints, str(packed).lower()], check=True,
+                   timeout=180, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+    assert len(glob.glob(f"{folder}/*")) == 1 and bool(glob.glob(f"{folder}/*/*.zstd")) == packed
     return eventlog.read_events(spark, folder).persist()
 
 
@@ -130,6 +131,19 @@ def test_no_log_no_rows(spark, folder, caplog):
     assert "nothing found" in caplog.text
 
 
+def test_a_cut_off_compressed_log(spark, folder):
+    import zstandard
+
+    lines = "".join(event("TaskEnd", Stage_ID=i, Stage_Attempt_ID=0)[1] + "\n" for i in range(30_000))
+    packed = zstandard.ZstdCompressor().compress(lines.encode())
+    for name, content in (("whole", packed), ("cut", packed[: len(packed) // 2])):
+        with open(os.path.join(folder, f"events_1_{name}.zstd{'.inprogress' * (name == 'cut')}"), "wb") as file:
+            file.write(content)
+    counts = {r.app_id: r["count"] for r in eventlog.tasks(eventlog.read_events(spark, folder)).groupBy(
+        "app_id").count().collect()}
+    assert counts["whole"] == 30_000 and 0 < counts["cut"] < 30_000
+
+
 def test_names_of_rolling_logs(spark, folder):
     part = os.path.join(folder, "eventlog_v2_app-7")
     os.mkdir(part)
