@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import regex_all
@@ -46,11 +46,16 @@ def zip_matches(lines: DataFrame, order: Sequence[str] = LINE_ORDER, min_digits:
 
     The longer list is cut; of an RDD named twice the later time stays.
     """
-    times = log_checkpoint_times(lines, order, min_digits).withColumns(
-        {"kind": F.lit("time"), "found": F.col("tcMs")}).drop("tcMs")
-    rdds = log_checkpoint_rdds(lines, order).withColumns(
-        {"kind": F.lit("rdd"), "found": F.col("rddId")}).drop("rddId")
-    numbered = number_rows(times.unionByName(rdds), [*order, "pos"], by=["log", "kind"], name="n")
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(
+            regex_all("value", pattern, 1, True), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("found")))
+
+    # Both kinds come out of one reading of the log.
+    both = F.concat(found("time", CHECKPOINT_TIME % min_digits), found("rdd", CHECKPOINT_RDD))
+    mentioned = F.col("value").contains("Checkpointing took") | F.col("value").contains("checkpointing")
+    matches = lines.filter(mentioned).select("log", *order, F.posexplode(both).alias("pos", "m")).select(
+        "log", *order, "pos", "m.kind", "m.found")
+    numbered = number_rows(matches, [*order, "pos"], by=["log", "kind"], name="n")
     pairs = numbered.groupBy("log", "n").agg(
         F.max(F.when(F.col("kind") == "rdd", F.col("found"))).alias("rddId"),
         F.max(F.when(F.col("kind") == "time", F.col("found"))).alias("tcMs"),

@@ -275,13 +275,12 @@ def compare_runs(normal: DataFrame, checkpoint: DataFrame, tc: DataFrame) -> Dat
 
 def tw_tr(runs: DataFrame, tw: str = "tw", tr: str = "tr") -> DataFrame:
     """One row: mean and median of both measures over the runs, and median(tw) / mean(tr)."""
-    means = runs.agg(F.avg(tw).alias("tw_mean"), F.avg(tr).alias("tr_mean"))
-    rows = [
-        means.select("tw_mean", "tr_mean", *(F.lit(None).cast("double").alias(c) for c in ("tw_median", "tr_median")))]
-    for column, name in ((tw, "tw_median"), (tr, "tr_median")):
-        rows.append(exact_quantile(runs, column, 0.5, method="linear", name=name))
-    parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    one = parts.agg(*(F.max(c).alias(c) for c in ("tw_mean", "tr_mean", "tw_median", "tr_median")))
+    measures = runs.select(F.col(tw).cast("double").alias("tw"), F.col(tr).cast("double").alias("tr"))
+    means = measures.agg(F.avg("tw").alias("tw_mean"), F.avg("tr").alias("tr_mean"))
+    medians = exact_quantiles(measures, ["tw", "tr"], {"median": 0.5}, method="linear").select(
+        F.col("tw.median").alias("tw_median"), F.col("tr.median").alias("tr_median"))
+    both = means.unionByName(medians, allowMissingColumns=True)
+    one = both.agg(*(F.max(c).alias(c) for c in ("tw_mean", "tr_mean", "tw_median", "tr_median")))
     return one.withColumn("ratio", F.try_divide("tw_median", "tr_mean"))
 
 

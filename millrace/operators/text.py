@@ -10,7 +10,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexToken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import shared_dir
+from millrace.session import shared_dir, store
 
 
 def tokenize(df: DataFrame, column: str = "text", out: str = "raw_tokens") -> DataFrame:
@@ -47,9 +47,9 @@ def vocabulary(df: DataFrame, size: int = 10_000, column: str = "tokens") -> Dat
 def corpus_counts(df: DataFrame, size: int = 10_000, column: str = "tokens") -> DataFrame:
     """One row: documents, tokens, and distinct (document, term) pairs within the vocabulary.
 
-    Tokens and pairs both come out of the term counts, so the texts are split only once.
+    Tokens and pairs both come out of the stored term counts, so the texts are split only once.
     """
-    terms = term_counts(df, column)
+    terms = store(term_counts(df, column), "terms")
     parts = (
         df.agg(F.count(F.lit(1)).alias("n_docs")),
         terms.agg(F.sum("n_tokens").alias("n_tokens")),
