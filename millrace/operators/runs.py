@@ -113,7 +113,7 @@ def stage_progress(stages: DataFrame, time: str = "submissionTime") -> DataFrame
 
 
 def mttr(attempts: DataFrame, by: Sequence[str], time: str, failed: Column, order: Sequence[str]) -> DataFrame:
-    """mttr_ms per group: mean time from a failure to the next success; null if nothing ever recovered.
+    """mttr_ms, recoveries per group: mean time from a failure to the next success, and how many failures had one.
 
     `time` + `order` must identify a row of a group. Rows are range-partitioned by group and time, newest
     first, so a hot group spreads over many partitions. Within a partition a failure finds the success before
@@ -128,10 +128,10 @@ def mttr(attempts: DataFrame, by: Sequence[str], time: str, failed: Column, orde
     placed = rows.repartitionByRange(*newest_first).withColumn("__part", F.spark_partition_id())
     group = Window.partitionBy("__part", *by).orderBy(*newest_first[len(by):])
     success = F.when(~F.col("__failed"), F.col("__t"))
-    recovered = F.last(success, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1))
+    next_success = F.last(success, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1))
     wide = "decimal(38,0)"
     gap, at = F.col("__next") - F.col("__t"), F.col("__t")
-    parts = placed.select(*keys, "__failed", "__part", recovered.alias("__next")).groupBy("__part", *by).agg(
+    parts = placed.select(*keys, "__failed", "__part", next_success.alias("__next")).groupBy("__part", *by).agg(
         F.sum(F.when(F.col("__failed"), gap.cast("decimal(20,0)"))).cast(wide).alias("closed"),
         F.count_if(F.col("__failed") & F.col("__next").isNotNull()).alias("n_closed"),
         F.sum(F.when(F.col("__failed") & F.col("__next").isNull(), at.cast("decimal(20,0)"))).cast(wide).alias("open"),
@@ -141,13 +141,26 @@ def mttr(attempts: DataFrame, by: Sequence[str], time: str, failed: Column, orde
     earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.withColumn("__next", F.last("__oldest_success", ignorenulls=True).over(earlier))
     closes = F.col("__next").isNotNull() & (F.col("n_open") > 0)
+    recovered = F.sum("n_closed") + F.sum(F.when(closes, F.col("n_open")).otherwise(0))
     late = F.col("n_open").cast("decimal(18,0)") * F.col("__next").cast("decimal(18,0)") - F.col("open")
     return carried.groupBy(*by).agg(
         F.try_divide(
             F.coalesce(F.sum("closed"), F.lit(0)).cast("double")
             + F.coalesce(F.sum(F.when(closes, late)), F.lit(0)).cast("double"),
-            1000 * (F.sum("n_closed") + F.sum(F.when(closes, F.col("n_open")).otherwise(0))),
-        ).alias("mttr_ms"))
+            1000 * recovered,
+        ).alias("mttr_ms"), recovered.alias("recoveries"))
+
+
+def task_recovery(tasks: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
+    """mttr_ms, recoveries of failed and killed tasks: from the end of one to the next success of the same task.
+
+    `tasks` as `eventlog.tasks` gives them, a task being a stage's task index.
+    """
+    of_task = mttr(tasks, [*by, "stageId", "taskIndex"], "taskFinishTime", F.col("failed") | F.col("killed"),
+                   ["attemptId", "taskAttempt", "taskId"])
+    total = F.sum("recoveries")
+    return of_task.groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("mttr_ms") * F.col("recoveries")), total).alias("mttr_ms"), total.alias("recoveries"))
 
 
 # --- runs side by side -------------------------------------------------------------------------------------

@@ -127,6 +127,28 @@ def edge_list(spark, sf_dir):
     return readers.read_edges(spark, path)
 
 
+@query
+def scan_points(spark, sf_dir):
+    path = generators.write_points(
+        table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("point")),
+        scratch_path(spark, "points-text"))
+    return C.widen(readers.read_points(spark, path), "point", 64, "x")
+
+
+@query
+def scan_corpus(spark, sf_dir):
+    path = scratch_path(spark, "corpus-text")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    return readers.read_corpus(spark, path).select("text")
+
+
+@query
+def ranks_roundtrip(spark, sf_dir):
+    ranks = graph.out_degree(_edges(spark, sf_dir)).select("src", (F.col("degree") / 7).alias("rank"))
+    path = sinks.save_ranks(ranks, scratch_path(spark, "ranks-text"))
+    return readers.read_delimited(spark, path, "node long, rank double", sep="\t")
+
+
 @query
 def cached_read(spark, sf_dir):
     path = scratch_path(spark, "cached")
@@ -557,6 +579,11 @@ def mttr(spark, sf_dir):
         table(spark, sf_dir, "events"), ["user_id"], "ts", F.col("event_type") == "error", ["event_id"])
 
 
+@query
+def task_recovery(spark, sf_dir):
+    return _rounded(runs.task_recovery(eventlog.tasks(event_lines(spark, sf_dir))), "mttr_ms", digits=2)
+
+
 @query
 def stage_progress(spark, sf_dir):
     stages = table(spark, sf_dir, "orders").select(

@@ -166,6 +166,11 @@ ORACLES: dict[str, str] = {
         order by 1, 2, 3, 4 limit 10000""",
     "edge_list": """
         select distinct cast(l_partkey as varchar) as src, cast(l_suppkey as varchar) as dst from lineitem""",
+    "scan_points": f"""
+        select {', '.join(f'cast(embedding[{i + 1}] as double) as x{i}' for i in range(64))} from embeddings""",
+    "scan_corpus": "select unnest(string_split(text, chr(10))) as text from documents",
+    "ranks_roundtrip": """
+        select l_partkey as node, count(distinct l_suppkey) / 7 as rank from lineitem group by 1""",
     "cached_read": "select o_orderkey, o_custkey, o_totalprice from orders",
     "sink_roundtrip": """
         select row_number() over (order by o_orderkey) - 1 as id, o_orderstatus as status, o_orderkey as "stageId",
@@ -334,7 +339,20 @@ ORACLES: dict[str, str] = {
                     rows between 1 following and unbounded following) as next
             from events)
         select user_id, sum(next - t) filter (event_type = 'error')::double
-            / (1000 * count(next) filter (event_type = 'error')) as mttr_ms
+            / (1000 * count(next) filter (event_type = 'error')) as mttr_ms,
+            count(next) filter (event_type = 'error') as recoveries
+        from n group by 1""",
+    "task_recovery": f"""
+        with t as (
+            select app_id, failed or killed as lost, "stageId", "taskIndex", "taskId",
+                epoch_ms("taskLaunchTime") + "taskDuration" as t
+            from ({_TASKS})),
+        n as (
+            select app_id, lost, t, min(case when not lost then t end) over (
+                partition by "stageId", "taskIndex" order by t, "taskId"
+                rows between 1 following and unbounded following) as next
+            from t)
+        select app_id, round(avg(next - t) filter (lost), 2) as mttr_ms, count(next) filter (lost) as recoveries
         from n group by 1""",
     "stage_progress": """
         select distinct o_orderdate as "submissionTime", cast(floor(o_totalprice) as bigint) as "numCompleteTasks",
