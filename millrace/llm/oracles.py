@@ -1,3 +1,45 @@
-"""DuckDB SQL for the queries of this package that SQL can express."""
+r"""DuckDB SQL for the queries of this package that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_decontamination"] = r"""
+WITH item AS (
+    SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS words, least(10, len(w)) AS width
+    FROM item, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS u(i) WHERE len(w) > 0),
+doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+run AS (
+    SELECT doc_id, i, width, array_to_string(list_slice(w, i, i + width - 1), ' ') AS words
+    FROM doc, (SELECT DISTINCT width FROM win), unnest(generate_series(1, len(w) - width + 1)) AS u(i)),
+hit AS (SELECT doc_id, i, run.width AS width, item_id FROM run JOIN win ON run.words = win.words AND run.width = win.width),
+covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT DISTINCT doc_id, i, width FROM hit), unnest(generate_series(i, i + width - 1)) AS u(p)
+    GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES["op10_repeated_passages"] = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+run AS (
+    SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS words
+    FROM doc, unnest(generate_series(1, len(w) - 12)) AS u(i)),
+early AS (SELECT words, min(doc_id) AS first FROM run GROUP BY words),
+gone AS (
+    SELECT DISTINCT doc_id, p FROM run JOIN early USING (words), unnest(generate_series(i, i + 12)) AS u(p) WHERE first < doc_id),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
