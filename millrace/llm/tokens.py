@@ -1,23 +1,51 @@
-"""Whole texts to ids with the tokenizers library, each distinct stretch between blanks encoded once.
-
-Neither kind of vocabulary has a token that goes on from a non-blank to a blank: their patterns split there, and the
-normal forms they use don't join characters across it. So a text's ids are those of its stretches in order, and
-stretches come again and again. A worker keeps the ids of the stretches it has seen, at most `MAX_KEPT` of them.
+"""Whole texts to ids with the tokenizers library, each distinct stretch of a text encoded once.
+
+Neither kind of vocabulary has a token that goes on from a non-blank to a blank, or from a letter to an ASCII mark: their
+patterns split there, and the normal forms they use don't join characters across it. So a text's ids are those of its
+stretches in order, and stretches come again and again. A worker keeps the ids of the stretches it has seen, at most
+`MAX_KEPT` of them. A new stretch of Latin letters alone goes straight to the vocabulary's model, as its pattern would
+leave it whole; all other new ones take the library's whole way. Which of two spellings the model wants (leading blank
+kept, or dropped with letters lowered) is probed once; if neither gives the library's ids, all stretches go the whole way.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MAX_KEPT = 400_000
+MAX_KEPT = 800_000
 
 #: Characters that Unicode calls white space.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Latin letters that are one character in every normal form used, and ASCII characters no pattern joins to a letter.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+MARKS = r"!-/:-@\[-`{-~"
+PROBES = [" the", "Word", " \u00dcber", "\u00e9\u00c9\u00e8", "x", " na\u00efve", " thereWith", "stra\u00dfe"]
+
+
+def _byte_letters(text: str) -> str:
+    """The text with each byte as the character that stands for it in byte-level vocabularies."""
+    return text if text.isascii() else "".join(map(chr, text.encode())).translate(_BYTE_LETTERS)
+
+
+# Bytes that Latin-1 can't print, in order, are the characters from 256 on.
+_UNPRINTABLE = [*range(0, 33), *range(127, 161), 173]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_UNPRINTABLE)}
+
+
+def _with_blank(text: str) -> str:
+    return _byte_letters(text).replace(" ", "\u0120")
+
+
+def _lowered(text: str) -> str:
+    return _byte_letters(text.strip().lower())
+
+
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
@@ -32,7 +60,14 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
         # Blanks go with what follows them, as some patterns join one to the next word; the rest end a text.
-        self.stretch = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+        self.stretch = re.compile(f"[{BLANKS}]*(?:[{LETTERS}]+(?=[{BLANKS}{MARKS}]|\\Z)|[^{BLANKS}]+)|[{BLANKS}]+")
+        self.simple = re.compile(f" ?[{LETTERS}]+").fullmatch
+        self.spelling = next((f for f in (_with_blank, _lowered) if self._fits(f)), None)
+
+    def _fits(self, spelling: Callable[[str], str]) -> bool:
+        return all(
+            [x.id for x in self.tokenizer.model.tokenize(spelling(text))] == self.tokenizer.encode(text, add_special_tokens=False).ids
+            for text in PROBES)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and then the id `end`, as little-endian unsigned 32-bit integers."""
@@ -40,6 +75,11 @@ class Encoder:
         if len(self.kept) > MAX_KEPT:
             self.kept.clear()
         new = list(set().union(*parts).difference(self.kept)) if parts else []
+        if self.spelling:
+            model, spelling = self.tokenizer.model, self.spelling
+            for text in filter(self.simple, new):
+                self.kept[text] = array("I", [x.id for x in model.tokenize(spelling(text))]).tobytes()
+            new = [text for text in new if text not in self.kept]
         for text, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.kept[text] = np.array(found.ids, dtype="<u4").tobytes()
         last, kept = np.array([end], dtype="<u4").tobytes(), self.kept
