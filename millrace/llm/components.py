@@ -44,7 +44,7 @@ def components(edges: DataFrame, room: Scratch) -> DataFrame:
     by half. Rounds end when no name changes. A hot node is only ever a group that is reduced by minimum.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.filter("a <> b").distinct()
+    both = both.filter("a <> b")
     names = room.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("name")).withColumnRenamed("a", "node"))
     while True:
         seen = both.join(names, both["b"] == names["node"]).groupBy(both["a"].alias("node")).agg(F.min("name").alias("seen"))

@@ -8,10 +8,10 @@ max(a(y) / a(x), b(y) / b(x)): the share of shared shingles where no shingle rep
 next arrival is later than the last one that any register of its text has kept.
 
 Equal texts become one node first, known by the MD5 of the text. Nodes that agree in all registers of a band share a
-bucket; a bucket's members are compared with one of them, and members that are then still in different components
-are compared with all others of the bucket, best estimates first, in blocks of a bounded number of members. So no link
-between different texts is lost to a bucket's size, and no bucket emits all its pairs. Links are verified by the exact
-J of the two texts. Classes are connected components.
+bucket; a bucket's members are compared with one of them, and members that are then still in different components with
+each other, in blocks of a bounded number of members that report only links. So no link that connects different texts
+is lost to a bucket's size, and no bucket emits its pairs. Links are verified by the exact J of the two texts. Classes
+are connected components.
 
 A pair of J = 0.8 shares no bucket with a probability of (1 - 0.8^4)^24 = 3e-6. A null text is a class of its own. Texts
 without words link to equal texts only. Repeated rows are equal texts; every row is returned.
@@ -33,9 +33,7 @@ SHINGLE, REGISTERS, BAND, SIMILARITY = 5, 96, 4, 0.8
 #: Agreement of the registers below which a pair of the wanted similarity is not expected (4.5 standard deviations).
 MARGIN = 4.5
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
-#: The best estimates of a member are verified first; most of what is left has been linked when the rest is looked at.
-RANKS = ((0, 16), (16, 256), (256, None))
+BLOCK = 500
 
 _ARRIVAL, _REGISTER, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -159,29 +157,49 @@ def _agreement(x: str, y: str) -> Column:
     return F.size(F.filter(at, lambda i: F.substring(F.col(x), i * 4 + 1, F.lit(4)) == F.substring(F.col(y), i * 4 + 1, F.lit(4))))
 
 
-def _sketch_pairs(low: int, from_rank: int, to_rank: int):
-    """Pairs of a block of a bucket whose components differ and whose registers agree at least `low` times.
+def _block_links(least: float, low: int, band: int, k: int):
+    """Links inside a block of a bucket, or between two blocks, that join different components.
 
-    Of a member's partners, those whose rank by agreement among all of the block is in [from_rank, to_rank): ranks don't
-    change as components grow, so windows of ranks that follow each other cover every pair.
+    Members are compared by their sketches; of pairs that agree at least `low` times the exact similarity is taken. A pair
+    is looked at in the first bucket it shares, and not at all once links found here connect it.
     """
 
     def work(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
+        group = group.sort_by("node").combine_chunks()
         node = group["node"].combine_chunks()
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint32).reshape(len(node), -1)
-        _, component = np.unique(np.array(group["component"].to_pylist(), dtype=object), return_inverse=True)
+        names, root = np.unique(np.array(group["component"].to_pylist(), dtype=object), return_inverse=True)
         side = group["side"].to_numpy()
         # A block with itself comes once (side 2); two blocks come as side 0 and side 1.
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        text, runs, weight = shingles(Texts(group["text"].combine_chunks()), k)
+        cuts = np.searchsorted(text, np.arange(len(node) + 1))
+        size, plain = np.diff(cuts), np.bincount(text, weights=weight != 1, minlength=len(node)) == 0
+        _, ids = np.unique(runs, return_inverse=True)
+        has = np.zeros(len(ids) + 1, dtype=bool)
+        equal = (sketch == sketch[0]).reshape(len(node), -1, band).all(axis=2).all(axis=0)
+        here = int(equal.argmax())  # The first band in which all of the bucket agree.
         found = []
         for i in left:
-            if (component[right] == component[i]).all():
+            other = right[root[right] != root[i]]
+            if not len(other):
                 continue
-            agree = (sketch[right] == sketch[i]).sum(axis=1)
-            other, agree = right[agree >= low], agree[agree >= low]
-            ranked = other[np.argsort(-agree, kind="stable")][from_rank:to_rank]
-            found += [(i, j) for j in ranked[component[ranked] != component[i]]]
+            agree = sketch[other] == sketch[i]
+            first = agree.reshape(len(other), -1, band).all(axis=2).argmax(axis=1)
+            other = other[(first == here) & (agree.sum(axis=1) >= low)]
+            if not len(other):
+                continue
+            has[ids[cuts[i]:cuts[i + 1]]] = True
+            both = np.array([np.count_nonzero(has[ids[cuts[j]:cuts[j + 1]]]) for j in other])
+            has[ids[cuts[i]:cuts[i + 1]]] = False
+            near = both / (size[i] + size[other] - both)
+            for j in np.flatnonzero(~(plain[other] & plain[i])):
+                a, b = (slice(cuts[x], cuts[x + 1]) for x in (i, other[j]))
+                near[j] = similarity((runs[a], weight[a]), (runs[b], weight[b]))
+            for j in other[near >= least - 1e-9]:
+                if root[i] != root[j]:
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
         a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
         return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
 
@@ -211,31 +229,27 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                        .filter("doc_id <=> first").select("node", "text").dropDuplicates(["node"]))
     sketched = marked.select("node", "sketch").join(active, "node", "left_semi").dropDuplicates(["node"])
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        texts = [known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        return room.store(verify(pairs.join(texts[0], "a").join(texts[1], "b"), least))
-
     stars = shared.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     sides = [sketched.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
     stars = stars.join(sides[0], "a").join(sides[1], "b").filter(_agreement("sketch_a", "sketch_b") >= low)
-    links = linked(stars.select("a", "b"))
+    texts = [known.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+    links = room.store(verify(stars.select("a", "b").join(texts[0], "a").join(texts[1], "b"), least))
     found = components(links, room)
 
-    for from_rank, to_rank in RANKS:
-        open_ = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n"))
-        mixed = room.store(mixed.filter("x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        if mixed.isEmpty():
-            break
-        blocks = open_.drop("lead", "n").join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        # Block i meets every block j >= i: once as the left side, once as the right, with itself as both.
-        every = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
-            F.least("block", j).alias("low"), F.greatest("block", j).alias("high"),
-            F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))))
-        meetings = blocks.withColumn("m", every).join(sketched, "node").select("bucket", "m.*", "node", "component", "sketch")
-        pairs = meetings.groupBy("bucket", "low", "high").applyInArrow(_sketch_pairs(low, from_rank, to_rank), "a binary, b binary")
-        pairs = room.store(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = room.store(links.union(linked(pairs)).distinct())
+    members = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n"))
+    mixed = mixed.filter("x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = members.drop("lead", "n").join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # Block i meets every block j >= i: once as the left side, once as the right, with itself as both.
+    every = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("block", j).alias("low"), F.greatest("block", j).alias("high"),
+        F.when(F.col("block") == j, 2).when(F.col("block") < j, 0).otherwise(1).alias("side"))))
+    meetings = members.join(sketched, "node").join(known, "node").withColumn("m", every).select(
+        "bucket", "m.*", "node", "component", "sketch", "text")
+    more = room.store(meetings.groupBy("bucket", "low", "high").applyInArrow(
+        _block_links(least, low, BAND, SHINGLE), "a binary, b binary"))
+    if not more.isEmpty():
+        links = room.store(links.union(more).distinct())
         found = components(links, room)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))

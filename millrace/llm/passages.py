@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import SPACE, Spans, Texts
+from millrace.llm.words import SPACE, Spans, Texts, blobs, joined
 
 LENGTH, START = 13, 7
 GROUP_BYTES = 4 << 20
@@ -43,18 +43,6 @@ def levels(length: int, start: int) -> list[int]:
     return found
 
 
-def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary values that hold values[cuts[i]:cuts[i + 1]]."""
-    data = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(
-        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * data.itemsize), pa.py_buffer(data)]).cast(pa.binary())
-
-
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """All values in a column of blobs."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
-
-
 def _first_docs(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes with the smallest `first` and largest `last` of each."""
     if not len(hashes):
@@ -118,8 +106,8 @@ class _Group:
         # The last document is told by one byte: whether it differs from the first.
         return pa.table({
             "bucket": pa.array(names, pa.int32()), "part": pa.array(np.full(len(names), key), pa.int64()),
-            "hashes": _blobs(hashes[order], cuts), "first": _blobs(first[order], cuts),
-            "many": _blobs((first != last)[order].astype(np.uint8), cuts)})
+            "hashes": blobs(hashes[order], cuts), "first": blobs(first[order], cuts),
+            "many": blobs((first != last)[order].astype(np.uint8), cuts)})
 
 
 _ASKED = "bucket int, part long, hashes binary, first binary, many binary"
@@ -128,8 +116,8 @@ _ANSWERED = "part long, hashes binary, first binary"
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """To every group that asked: which of its windows two documents have, and the first of them."""
-    hashes, first = _joined(table["hashes"], np.uint64), _joined(table["first"], np.int64)
-    many = _joined(table["many"], np.uint8)
+    hashes, first = joined(table["hashes"], np.uint64), joined(table["first"], np.int64)
+    many = joined(table["many"], np.uint8)
     known, low, high = _first_docs(hashes, first, first)
     _, _, inside = _first_docs(hashes, first, many)
     repeated = (low != high) | (inside > 0)
@@ -139,7 +127,7 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(size)), size)[kept]
     cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int64)
     answers = pa.table({
-        "part": table["part"], "hashes": _blobs(hashes[kept], cuts), "first": _blobs(low[place][kept], cuts)})
+        "part": table["part"], "hashes": blobs(hashes[kept], cuts), "first": blobs(low[place][kept], cuts)})
     return answers.filter(pa.array(np.diff(cuts) > 0))
 
 
@@ -171,7 +159,7 @@ def finish_repeats(
     def extend(level: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         def next_level(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             group = _Group(table)
-            at, hashes = group.candidates(lengths, level, _joined(answers["hashes"], np.uint64))
+            at, hashes = group.candidates(lengths, level, joined(answers["hashes"], np.uint64))
             return group.ask(key[0].as_py(), at, hashes, buckets)
 
         return next_level
@@ -183,7 +171,7 @@ def finish_repeats(
 
     def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         group = _Group(table)
-        known, first = _joined(answers["hashes"], np.uint64), _joined(answers["first"], np.int64)
+        known, first = joined(answers["hashes"], np.uint64), joined(answers["first"], np.int64)
         order = np.argsort(known)
         known, first = known[order], first[order]
         at, hashes = group.words.windows(group.hashes, length)
@@ -257,3 +245,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> Da
         return pa.Table.from_batches([out.set_column(columns.index("text"), out.schema.field("text"), pa.array(values, column.type))])
 
     return finish_repeats(docs, finish, docs.schema, length, start)
+
+
+_joined, _blobs = joined, blobs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, huffman, neardup, packing, passages, quality, sharding, toxicity
+from millrace.llm import decontaminate, huffman, maxent, neardup, packing, passages, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_words(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules, op8_toxicity, op10_repeated_passages,
+        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules, op8_toxicity, op9_language_model, op10_repeated_passages,
     )
 }

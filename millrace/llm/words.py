@@ -143,3 +143,15 @@ def longs(column: pa.Array) -> np.ndarray:
 def sum_by(ids: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of integers or booleans per id, as int64."""
     return np.bincount(ids, weights=values, minlength=n).astype(np.int64)
+
+
+def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values that hold values[cuts[i]:cuts[i + 1]]."""
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64) * data.itemsize), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values in a column of blobs."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
