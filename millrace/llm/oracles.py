@@ -27,6 +27,17 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+ORACLES["op7_chat_formatting"] = """
+WITH turn AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM turn),
+conv AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY n) AS said, count(*) AS turns FROM numbered GROUP BY conv_id),
+beginning AS (SELECT DISTINCT list_slice(said, 1, i) AS said FROM conv, unnest(generate_series(1, turns - 1)) AS u(i)),
+kept AS (SELECT min(conv_id) AS conv_id, min(turns) AS turns FROM conv WHERE said NOT IN (SELECT said FROM beginning) GROUP BY said)
+SELECT conv_id, turns, n, role, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10)
+    AS rendered, coalesce(role, '') = 'assistant' AS trained
+FROM numbered JOIN kept USING (conv_id)
+"""
+
 ORACLES["op10_repeated_passages"] = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 run AS (

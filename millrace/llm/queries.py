@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, huffman, maxent, neardup, packing, passages, quality, sharding, toxicity
+from millrace.llm import conversations, decontaminate, huffman, maxent, neardup, packing, passages, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_docs", "links")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.render(table(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,6 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules, op8_toxicity, op9_language_model, op10_repeated_passages,
+        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules, op7_chat_formatting, op8_toxicity, op9_language_model, op10_repeated_passages,
     )
 }

@@ -99,12 +99,12 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = 0.0) ->
     return sorted(b.found for b in borders)
 
 
-def shard_of(found: list[tuple[int, int]]) -> Column:
-    """The shard of a row with key (h, d): how many splitters are not above it."""
+def shard_of(found: list[tuple[int, int]], h: str = "h", d: str = "d") -> Column:
+    """The shard of a row with its key in the columns h and d: how many splitters are not above it."""
     if not found:
         return F.lit(0)
     listed = F.array(*(F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in found))
-    return F.size(F.filter(listed, lambda s: s <= F.struct("h", "d")))
+    return F.size(F.filter(listed, lambda s: s <= F.struct(F.col(h).alias("h"), F.col(d).alias("d"))))
 
 
 def place(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0) -> DataFrame:
@@ -119,9 +119,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: fl
     key = keys(docs)
     found = splitters(key, shards, tolerance)
     h, d = F.shiftrightunsigned(F.xxhash64("text"), 1), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
-    keyed = docs.withColumns({"h": h, "d": d}).withColumn("shard", shard_of(found))
-    ordered = keyed.repartitionByRange("shard", "h", "d").sortWithinPartitions("shard", "h", "d")
-    ordered.drop("h", "d").write.partitionBy("shard").parquet(path)
+    keyed = docs.withColumns({"__h": h, "__d": d}).withColumn("shard", shard_of(found, "__h", "__d"))
+    ordered = keyed.repartitionByRange("shard", "__h", "__d").sortWithinPartitions("shard", "__h", "__d")
+    ordered.drop("__h", "__d").write.partitionBy("shard").parquet(path)
 
 
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
