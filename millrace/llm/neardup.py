@@ -209,8 +209,8 @@ def _block_links(least: float, low: int, band: int, k: int):
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, node (the text's key), class_id (the smallest doc_id of the class), class_docs, links, keeper.
 
-    `links` are the verified links of the text to different texts that were needed or found. `keeper` marks one row key,
-    (class_id, its smallest node), of each class.
+    `links` are the verified links of the text to different texts that the classes rest on. `keeper` marks the rows of one
+    (doc_id, text) of each class. A null doc_id names a class only where it has no other.
     """
     spark = docs.sparkSession
     room = Scratch(spark, "neardup")
@@ -255,7 +255,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     named = nodes.join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(
-        F.min(F.struct("first", "node")).alias("head"), F.sum("copies").alias("class_docs"))
+        F.min(F.struct(F.col("first").isNull().alias("unnamed"), "first", "node")).alias("head"), F.sum("copies").alias("class_docs"))
     named = named.join(heads, "component").select(
         "node", F.col("head.first").alias("class_id"), "class_docs", F.coalesce("links", F.lit(0)).alias("links"),
         (F.col("head.node") == F.col("node")).alias("heads"))

@@ -245,6 +245,3 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> Da
         return pa.Table.from_batches([out.set_column(columns.index("text"), out.schema.field("text"), pa.array(values, column.type))])
 
     return finish_repeats(docs, finish, docs.schema, length, start)
-
-
-_joined, _blobs = joined, blobs

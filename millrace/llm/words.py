@@ -7,13 +7,13 @@ table values times powers of an odd number, modulo 2**64, so the hash of any str
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are worked on at a time; a longer text is one piece by itself.
 PIECE_BYTES = 2 << 20
+HASHED_BYTES = 1 << 18
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
@@ -44,17 +44,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, base, dtype=np.uint64)
-    down = np.full(size, pow(base, -1, 2**64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_KNOWN_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of `base` and of its inverse, at least n + 1 of them."""
-    return _powers(int(base), max(1 << 21, 1 << int(n + 1).bit_length()))
+    """Powers of `base` and of its inverse, at least n + 1 of them; a worker keeps the longest list it needed."""
+    known = _KNOWN_POWERS.get(int(base))
+    if known is None or len(known[0]) <= n:
+        size = 1 << int(n + 1).bit_length()
+        up, down = np.full(size, base, dtype=np.uint64), np.full(size, pow(int(base), -1, 2**64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        known = _KNOWN_POWERS[int(base)] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return known
 
 
 class Texts:
@@ -100,10 +101,20 @@ class Spans:
         self.text = np.repeat(np.arange(len(counts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        up, down = powers(_BASE, len(self.data))
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[self.data] * up[:len(self.data)], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        """A hash of each stretch, some HASHED_BYTES of text at a time."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(out):
+            low = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, low + HASHED_BYTES, side="right")))
+            part = self.data[low:self.ends[j - 1]]
+            up, down = powers(_BASE, len(part))
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(BYTE_VALUES[part] * up[:len(part)], out=total[1:])
+            start = self.starts[i:j] - low
+            out[i:j] = (total[self.ends[i:j] - low] - total[start]) * down[start]
+            i = j
+        return mix(out)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of every run of k words of one text."""
