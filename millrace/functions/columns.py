@@ -113,16 +113,22 @@ def drop_nan(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def is_checkpoint(name: str = "name") -> Column:
+    """Whether a job or stage writes a checkpoint, by its name."""
+    return F.col(name).contains("checkpoint")
+
+
 def checkpoint_only(df: DataFrame, completed: bool = False) -> DataFrame:
     """Jobs or stages that write a checkpoint, by their name; with `completed` only those that finished."""
-    kept = df.filter(F.col("name").contains("checkpoint"))
+    kept = df.filter(is_checkpoint())
     return kept.filter(F.col("status") == "COMPLETE") if completed else kept
 
 
 def first_attempt(df: DataFrame, keys: Sequence[str], attempt: str = "attemptId") -> DataFrame:
     """The row with the lowest attempt per key; equal attempts are ordered by the other columns.
 
-    A minimum over rows, so every task sends one row per key and no group is sorted.
+    A minimum over rows, so every task sends one row per key. The minimum of a struct has no fixed width, so Spark
+    aggregates it over sorted rows: each task sorts its own rows by key before it sends, and what it gets after.
     """
     rest = [c for c in df.columns if c not in keys and c != attempt]
     lowest = df.groupBy(*keys).agg(F.min(F.struct(attempt, *rest)).alias("__first"))
@@ -131,6 +137,7 @@ def first_attempt(df: DataFrame, keys: Sequence[str], attempt: str = "attemptId"
 
 def flatten_tasks(stages: DataFrame, tasks: str = "tasks", keep: Sequence[str] | None = None) -> DataFrame:
     """One row per task of stage rows whose `tasks` is a map of structs; stages without tasks keep one row."""
+    # The fields of a task as the history server names them, and as run tables do.
     names = {"attempt": "taskAttempt", "duration": "taskDuration", "executorId": "taskExecutorId",
              "index": "taskIndex", "launchTime": "taskLaunchTime", "taskId": "taskId"}
     kept = list(keep) if keep is not None else [c for c in stages.columns if c != tasks]

@@ -17,11 +17,11 @@ def join_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
 def order_totals(orders: DataFrame, items: DataFrame) -> DataFrame:
     """order_id, order_date, sum_goods_price: the item total per order and date.
 
-    Both sides are summed up before they meet, so what is shuffled and joined is one row per order however
-    many items (or copies) a hot order has.
+    Items are summed up before they meet the orders, so a hot order sends one row per task. Orders are dealt out by
+    order_id, which both the count of copies per (order_id, order_date) and the join accept: one shuffle for each side.
     """
     per_order = items.groupBy("order_id").agg(F.sum("goods_price").alias("item_sum"))
-    copies = orders.groupBy("order_id", "order_date").agg(F.count(F.lit(1)).alias("copies"))
+    copies = orders.repartition("order_id").groupBy("order_id", "order_date").agg(F.count(F.lit(1)).alias("copies"))
     return copies.join(per_order, "order_id").select(
         "order_id", "order_date", (F.col("item_sum") * F.col("copies")).cast("double").alias("sum_goods_price"))
 

@@ -13,14 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt
+from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt, is_checkpoint
 from millrace.operators.ordering import exact_quantile, exact_quantiles
 from millrace.session import store
 from millrace.sources import eventlog
 
-# Ids of checkpointed RDDs go into the plan as constants up to this many; more of them are joined.
-MAX_INLINE_IDS = 10_000
-
 
 # --- checkpoint time ---------------------------------------------------------------------------------------
 
@@ -30,8 +27,12 @@ def checkpoint_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def tc_of_app(jobs: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    """tc_min per application: the minutes its checkpoint jobs took together."""
-    return checkpoint_jobs(jobs).groupBy(*by).agg(F.sum("duration_min").alias("tc_min"))
+    """tc_min per application: the minutes its checkpoint jobs took together, 0 if it has none.
+
+    A checkpoint job without an end adds nothing.
+    """
+    minutes = F.when(is_checkpoint(), elapsed_min("submissionTime", "completionTime"))
+    return jobs.groupBy(*by).agg(F.coalesce(F.sum(minutes), F.lit(0.0)).alias("tc_min"))
 
 
 def tc_per_stage(stages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -53,23 +54,17 @@ def add_tc_per_task(tasks: DataFrame, tc: DataFrame, keys: Sequence[str] = ("sta
     return tasks.join(tc, [*keys], "left").withColumn("tcMinTask", F.try_divide("tcMinStage", "numTasks"))
 
 
-def add_tc_by_rdd(tasks: DataFrame, rdd_tc: DataFrame, max_inline: int = MAX_INLINE_IDS) -> DataFrame:
+def add_tc_by_rdd(tasks: DataFrame, rdd_tc: DataFrame) -> DataFrame:
     """Add `rddId`, the last of a task's `rddIds` that was checkpointed, and its `tcMs`; null if none was.
 
-    `rdd_tc` holds rddId (once each) and tcMs. A few ids become constants of the plan, so the search stays
-    inside the row; more of them than `max_inline` are joined with the distinct id lists.
+    `rdd_tc` holds rddId (once each) and tcMs. The distinct id lists, one for each stage or so, are opened and meet the
+    times; what is found joins the tasks by list. Null ids and lists find nothing.
     """
-    ids = [row.rddId for row in rdd_tc.select("rddId").limit(max_inline + 1).collect()]
-    if len(ids) <= max_inline:
-        # As SQL text the ids reach the plan in one call.
-        known = F.expr(f"filter(rddIds, x -> x in ({', '.join(map(str, ids)) or 'null'}))")
-        found = tasks.withColumn("rddId", F.try_element_at(known, F.lit(-1)))
-    else:
-        places = tasks.select("rddIds").distinct().select("rddIds", F.posexplode("rddIds").alias("pos", "rddId"))
-        last = places.join(rdd_tc.select("rddId"), "rddId").groupBy("rddIds").agg(
-            F.max_by("rddId", "pos").alias("rddId"))
-        found = tasks.join(last, "rddIds", "left").select(*tasks.columns, "rddId")
-    return found.join(rdd_tc, "rddId", "left").select(*tasks.columns, "rddId", "tcMs")
+    places = tasks.select("rddIds").distinct().select("rddIds", F.posexplode("rddIds").alias("pos", "rddId"))
+    last = places.join(rdd_tc.select("rddId", "tcMs"), "rddId").groupBy("rddIds").agg(
+        F.max_by(F.struct("rddId", "tcMs"), "pos").alias("__last"))
+    return tasks.join(last, "rddIds", "left").select(
+        *tasks.columns, F.col("__last.rddId").alias("rddId"), F.col("__last.tcMs").alias("tcMs"))
 
 
 def sum_distinct_tc(tasks: DataFrame, by: Sequence[str] = (), tc: str = "tcMs") -> DataFrame:
@@ -84,9 +79,14 @@ def sum_distinct_tc(tasks: DataFrame, by: Sequence[str] = (), tc: str = "tcMs")
     return valid.distinct().agg((F.sum(tc).cast("double") / 1000).alias("tc_sum_seconds"))
 
 
-def tc_over_time(tasks: DataFrame, tc: str = "tcMs", time: str = "submissionTime") -> DataFrame:
-    """Checkpoint time by submission time, oldest first."""
-    return tasks.select(time, tc).filter(F.col(tc).isNotNull()).distinct().orderBy(time, tc)
+def tc_over_time(
+    tasks: DataFrame, tc: str = "tcMs", time: str = "submissionTime", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Checkpoint time by submission time, oldest first; rows without a checkpoint time stay, with null.
+
+    Equal pairs are one row unless `keys` (the application, the stage) tell them apart.
+    """
+    return tasks.select(*keys, time, tc).distinct().orderBy(time, tc, *keys)
 
 
 # --- tasks and stages --------------------------------------------------------------------------------------
@@ -106,10 +106,10 @@ def task_quantile(tasks: DataFrame, column: str = "executorDeserializeTime", q:
     return exact_quantile(tasks, column, q, by, method)
 
 
-def stage_progress(stages: DataFrame, time: str = "submissionTime") -> DataFrame:
-    """Completed and failed tasks by submission time."""
-    return stages.select(time, "numCompleteTasks", "numFailedTasks").distinct().orderBy(
-        time, "numCompleteTasks", "numFailedTasks")
+def stage_progress(stages: DataFrame, time: str = "submissionTime", keys: Sequence[str] = ()) -> DataFrame:
+    """Completed and failed tasks by submission time; equal rows are one unless `keys` tell them apart."""
+    return stages.select(*keys, time, "numCompleteTasks", "numFailedTasks").distinct().orderBy(
+        time, "numCompleteTasks", "numFailedTasks", *keys)
 
 
 def mttr(attempts: DataFrame, by: Sequence[str], time: str, failed: Column, order: Sequence[str]) -> DataFrame:
@@ -175,19 +175,21 @@ def align_runs(runs: DataFrame, names: Sequence, key: Sequence[str], columns: Se
                base_columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key that all runs have: the first run's columns plain, the others' as `<column>_<run>`.
 
-    `runs` is in long form with each key once per run. The runs meet in one aggregation, one shuffle for any
-    number of runs, where joins would take one each.
+    `runs` is in long form. What inner joins on the key give: a null key meets nothing, and a key that runs hold several
+    times gives every combination of their rows. The runs meet in one aggregation, one shuffle for any number of runs,
+    where joins would take one each; a key's rows of a run are kept together in a list, so a key should have few.
     """
     base = [*(base_columns if base_columns is not None else columns)]
-    per_run = []
-    for i, run in enumerate(names):
-        wanted = base if i == 0 else list(columns)
-        per_run += [F.max(F.when(F.col("run") == run, F.col(c))).alias(c if i == 0 else f"{c}_{run}") for c in wanted]
-    present = [F.max(F.when(F.col("run") == run, 1).otherwise(0)).alias(f"__has_{i}") for i, run in enumerate(names)]
-    wide = runs.filter(F.col("run").isin(list(names))).groupBy(*key).agg(*per_run, *present)
-    for i in range(len(names)):
-        wide = wide.filter(F.col(f"__has_{i}") == 1)
-    return wide.drop(*(f"__has_{i}" for i in range(len(names))))
+    wanted = [base if i == 0 else list(columns) for i in range(len(names))]
+    kept = runs.filter(F.col("run").isin(list(names))).dropna(subset=list(key))
+    lists = [
+        F.collect_list(F.when(F.col("run") == run, F.struct(F.lit(1).alias("__one"), *wanted[i]))).alias(f"__run_{i}")
+        for i, run in enumerate(names)]
+    met = kept.groupBy(*key).agg(*lists)
+    for i in range(len(names)):  # An empty list opens to no row: the key is missing in that run.
+        met = met.withColumn(f"__run_{i}", F.explode(f"__run_{i}"))
+    return met.select(*key, *(
+        F.col(f"__run_{i}.{c}").alias(c if i == 0 else f"{c}_{run}") for i, run in enumerate(names) for c in wanted[i]))
 
 
 def mean_across(aligned: DataFrame, columns: Sequence[str], names: Sequence) -> DataFrame:
@@ -353,10 +355,12 @@ def run_report(events: DataFrame, app_id: str | None = None) -> DataFrame:
     key = ["app_id", "stageId", "attemptId"]
     details = ["taskAttempt", "taskDuration", "taskExecutorId", "taskIndex", "taskLaunchTime", "taskId"]
     # Both are read more than once; as stored tables the log is parsed only once for each.
-    tasks = store(eventlog.tasks(events).select(*key, *details, "failed", "killed").distinct(), "tasks")
+    tasks = store(eventlog.tasks(events).select(*key, *details, "failed", "killed"), "tasks")
     stages = store(eventlog.stage_attempts(events, tasks), "stages")
     kept = [c for c in stages.columns if c != "numSeenTasks"]
-    with_tasks = tasks.join(stages, key).select(*kept, *details)
-    without = stages.filter(F.col("numSeenTasks") == 0).select(*kept)
-    rows = with_tasks.unionByName(without, allowMissingColumns=True)
-    return add_tc_per_task(rows, tc_per_stage(stages, by=["app_id"]), ["app_id", "stageId"])
+    # Checkpoint times join the stages, which are few; the tasks then meet both in one join.
+    timed = add_tc_per_task(stages, tc_per_stage(stages, by=["app_id"]), ["app_id", "stageId"])
+    shares = ["tcMinStage", "tcMinTask"]
+    with_tasks = tasks.join(timed, key).select(*kept, *details, *shares)
+    without = timed.filter(F.col("numSeenTasks") == 0).select(*kept, *shares)
+    return with_tasks.unionByName(without, allowMissingColumns=True).select(*kept, *details, *shares)

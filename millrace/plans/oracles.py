@@ -89,11 +89,13 @@ _LOG = """
     select user_id as log, ts, event_id, event_type, cast(json_extract_string(props, '$.k') as bigint) as k
     from events"""
 
+# Line numbers from 6 on give a run a second row of an order; returned items have no key.
 _LONG_RUNS = f"""
-    select l_linenumber % {len(RUNS)} + 1 as run, l_orderkey, max(l_quantity) as quantity
-    from lineitem group by 1, 2"""
+    select l_linenumber % {len(RUNS)} + 1 as run, case when l_returnflag <> 'R' then l_orderkey end as l_orderkey,
+        l_quantity as quantity, l_partkey as part
+    from lineitem"""
 _ALIGNED = f"""
-    select l_orderkey, {', '.join(f'r{r}.quantity as quantity' + ('' if r == 1 else f'_{r}') for r in RUNS)}
+    select l_orderkey, {', '.join(f'r{r}.{c} as {c}' + ('' if r == 1 else f'_{r}') for r in RUNS for c in ('quantity', 'part'))}
     from (select * from ({_LONG_RUNS}) where run = 1) r1
     {' '.join(f'join (select * from ({_LONG_RUNS}) where run = {r}) r{r} using (l_orderkey)' for r in RUNS[1:])}"""
 _ALL_QUANTITIES = "quantity + quantity_2 + quantity_3 + quantity_4 + quantity_5"
@@ -202,8 +204,9 @@ ORACLES: dict[str, str] = {
         left join tc on tc."stageId" = s."stageId" """,
     "tc_of_app": f"""
         select {_RUN.format('o_orderkey')} as app_id,
-            round(sum({_MINUTES.format(_AT.format(_ORDER_MS), _AT.format(_END_MS))}), 6) as tc_min
-        from orders where o_orderpriority = '1-URGENT' group by 1""",
+            round(coalesce(sum({_MINUTES.format(_AT.format(_ORDER_MS), _AT.format(_END_MS))})
+                filter (o_orderpriority = '1-URGENT'), 0), 6) as tc_min
+        from orders group by 1""",
     "tc_per_stage": f"""select app_id, "stageId", round("tcMinStage", 6) as "tcMinStage" from ({_TC_STAGE})""",
     "split_explode": """
         select page_id, cast(unnest(generate_series(0, len(a) - 1)) as integer) as pos, unnest(a) as part
@@ -359,8 +362,8 @@ ORACLES: dict[str, str] = {
             case when o_orderstatus = 'F' then 1 else 0 end::integer as "numFailedTasks"
         from orders""",
     "tc_over_time": """
-        select distinct o_orderdate as "submissionTime", o_totalprice as "tcMs"
-        from orders where o_orderpriority = '1-URGENT'""",
+        select distinct o_orderdate as "submissionTime", case when o_orderpriority = '1-URGENT' then o_totalprice end as "tcMs"
+        from orders""",
     "compare_runs": f"""
         with tc as (select {_MONEY.format('l_quantity')} / 60 as tc_min from lineitem),
         r as (

@@ -7,7 +7,6 @@ are skipped.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,31 +37,42 @@ _TASK = (
     "`Task Metrics` struct<`Executor Deserialize Time` long, `Executor Run Time` long>"
 )
 _STAGE = f"{_JOB}, `Stage Info` {_STAGE_INFO}"
+_TASK_START = f"`Event` string, `Stage ID` long, `Stage Attempt ID` int, `Task Info` {_TASK_INFO}"
 
 
 def _zstd_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """app_id, value: the lines of zstd files given as app_id, content, a bounded number at a time."""
-    import zstandard
+    """app_id, value: the lines of zstd files given as app_id, file, content, a bounded number at a time.
 
+    The log of a running application may end within a block; its whole lines count. Any other file that ends early or is
+    damaged is an error that names it.
+    """
     for batch in batches:
-        for app_id, content in zip(batch.column("app_id").to_pylist(), batch.column("content")):
-            stream = zstandard.ZstdDecompressor().stream_reader(content.as_buffer(), read_across_frames=True)
-            lines = io.TextIOWrapper(stream, encoding="utf-8", errors="replace")
-            while chunk := _some_lines(lines):
+        columns = (batch.column("app_id").to_pylist(), batch.column("file").to_pylist(), batch.column("content"))
+        for app_id, file, content in zip(*columns):
+            for chunk in _chunks_of_lines(pa.CompressedInputStream(pa.py_buffer(content.as_buffer()), "zstd"), file):
                 yield pa.RecordBatch.from_pydict({
                     "app_id": pa.array([app_id] * len(chunk), pa.string()), "value": pa.array(chunk, pa.string())})
 
 
-def _some_lines(lines: io.TextIOWrapper, limit: int = 2_000) -> list[str]:
-    chunk: list[str] = []
-    try:
-        for line in lines:
-            chunk.append(line.rstrip("\n"))
-            if len(chunk) == limit:
-                break
-    except (OSError, EOFError):  # the log of a running application may end within a block
-        pass
-    return chunk
+def _chunks_of_lines(stream: pa.NativeFile, file: str, limit: int = 2_000, size: int = 1 << 12) -> Iterator[list[str]]:
+    """Lists of about `limit` lines. Reads are short, as one that meets the end of a file too early returns nothing."""
+    lines: list[bytes] = []
+    rest, whole = b"", True
+    while whole:
+        try:
+            data = stream.read(size)
+        except OSError as error:
+            if ".inprogress" not in file:
+                raise ValueError(f"{file} is damaged or cut off: {error}") from error
+            data, rest = b"", b""
+        *found, rest = (rest + data).split(b"\n")
+        lines += found
+        whole = bool(data)
+        if not whole and rest:
+            lines.append(rest)
+        if len(lines) >= limit or not whole and lines:
+            yield [line.decode("utf-8", "replace") for line in lines]
+            lines = []
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +80,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
     The application is taken from the file's name (`<app>[.inprogress]`), or for a rolling log from its
     `events_<n>_<app>` part. Plain files are split and read by line. Files compressed as Spark does by default
-    (`.zstd`, which its text reader does not know) are opened whole, one task per file; rolling keeps them small.
+    (`.zstd`, which its text reader does not know) are opened whole, one task per file; rolling keeps them small, and a
+    file of 2 GB or more is refused. So are files of the codecs that can't be read here (lz4, lzf, snappy).
     """
     def app_id(name: Column) -> Column:
         return F.regexp_extract(name, r"^(?:events_\d+_)?([^.]+)", 1).alias("app_id")
@@ -79,10 +90,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
         files = spark.read.option("recursiveFileLookup", True)
         name = F.col("_metadata.file_name")
         lines = files.text(path).filter(~name.contains(".zstd")).select(app_id(name), "value")
-        packed = files.option("pathGlobFilter", "*.zstd*").format("binaryFile").load(path)
-        if not packed.inputFiles():
-            return lines
-        return lines.unionAll(packed.select(app_id(name), "content").mapInArrow(_zstd_lines, EVENTS))
+        unknown = files.option("pathGlobFilter", "*.{lz4,lzf,snappy}*").format("binaryFile").load(path).select("path").head()
+        if unknown is not None:
+            raise ValueError(f"{unknown.path}: event logs of this codec can't be read")
+        packed = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.zstd*").format("binaryFile").load(path)
+        return lines.unionAll(packed.select(app_id(name), name.alias("file"), "content").mapInArrow(_zstd_lines, EVENTS))
 
     return or_empty(spark, read, EVENTS, path)
 
@@ -149,7 +161,7 @@ def jobs(events: DataFrame, job_id: int | None = None) -> DataFrame:
 
 
 def tasks(events: DataFrame, stage_id: int | None = None, attempt: int | None = None) -> DataFrame:
-    """One row per finished task attempt."""
+    """One row per finished task attempt; a task that is logged twice counts once."""
     e = F.col("e")
     parsed = _parse(events, ["SparkListenerTaskEnd"], _TASK)
     if stage_id is not None:
@@ -171,56 +183,80 @@ def tasks(events: DataFrame, stage_id: int | None = None, attempt: int | None =
         (info["Failed"] & ~info["Killed"]).alias("failed"),
         info["Killed"].alias("killed"),
         _time(info["Finish Time"]).alias("taskFinishTime"),
-    )
+    ).distinct()
+
+
+def started_tasks(events: DataFrame) -> DataFrame:
+    """app_id, stageId, attemptId, taskId, taskLaunchTime of every task attempt that was launched, each once."""
+    e = F.col("e")
+    return _parse(events, ["SparkListenerTaskStart"], _TASK_START).select(
+        "app_id", e["Stage ID"].alias("stageId"), e["Stage Attempt ID"].alias("attemptId"),
+        e["Task Info"]["Task ID"].alias("taskId"), _time(e["Task Info"]["Launch Time"]).alias("taskLaunchTime")).distinct()
 
 
 def stage_attempts(events: DataFrame, finished_tasks: DataFrame | None = None) -> DataFrame:
     """One row per stage attempt with its task counts; sort by stageId, attemptId for the order of time.
 
-    The tasks are counted first, as plain sums; the counts then meet the stages that completed and those that
-    a job planned in one aggregation, so no join is needed and nothing of the size of the tasks is sorted. A
-    planned stage that never ran is SKIPPED. `finished_tasks`, the result of `tasks`, spares parsing them again.
+    Started and finished tasks are counted as plain sums; the counts then meet what the log says of the stages, when a
+    job planned them, when they were submitted, when they completed, in one aggregation, so no join is needed.
+    `finished_tasks`, the result of `tasks`, spares parsing them again.
+
+    A stage is COMPLETE or FAILED once its completion is logged, and ACTIVE from its submission (or its first task) on.
+    One that was only planned is PENDING while its application runs, that is without a logged end, and SKIPPED after it.
+    Active tasks are those started and not finished, in stages that are active; logs without task starts have none.
     """
     key = ["app_id", "stageId", "attemptId"]
-    counted = (tasks(events) if finished_tasks is None else finished_tasks).groupBy(*key).agg(
+    finished = tasks(events) if finished_tasks is None else finished_tasks
+    counted = finished.groupBy(*key).agg(
         F.count(F.lit(1)).cast("int").alias("numSeenTasks"),
         F.count_if("failed").cast("int").alias("numFailedTasks"),
         F.count_if("killed").cast("int").alias("numKilledTasks"),
         F.min("taskLaunchTime").alias("firstTaskLaunchedTime"),
     )
+    started = started_tasks(events).groupBy(*key).agg(
+        F.count(F.lit(1)).cast("int").alias("numStartedTasks"), F.min("taskLaunchTime").alias("firstTaskLaunchedTime"))
     e = F.col("e")
     info = e["Stage Info"]
+    plan_type = "struct<name string, tasks int>"
     planned = F.transform(e["Stage Infos"], lambda s: F.struct(
         s["Stage ID"].alias("stageId"), F.lit(0).alias("attemptId"),
         F.struct(s["Stage Name"].alias("name"), s["Number of Tasks"].alias("tasks")).alias("plan")))
-    completed = F.array(F.struct(
-        info["Stage ID"].alias("stageId"), info["Stage Attempt ID"].alias("attemptId"),
-        F.lit(None).cast("struct<name string, tasks int>").alias("plan")))
-    is_job = e["Event"] == "SparkListenerJobStart"
-    described = _parse(events, ["SparkListenerStageCompleted", "SparkListenerJobStart"], _STAGE).select(
-        "app_id", F.when(~is_job, info).alias("info"),
-        F.explode(F.when(is_job, planned).otherwise(completed)).alias("stage"),
-    ).select("app_id", "stage.*", "info")
-    counts = ["numSeenTasks", "numFailedTasks", "numKilledTasks"]
-    met = described.unionByName(counted, allowMissingColumns=True).groupBy(*key).agg(
-        F.max("info").alias("info"), F.max("plan").alias("plan"),
+    told = F.array(F.struct(
+        info["Stage ID"].alias("stageId"), info["Stage Attempt ID"].alias("attemptId"), F.lit(None).cast(plan_type).alias("plan")))
+    # The end of an application belongs to all its stages; it is told apart by a stage that no stage has.
+    ended = F.array(F.struct(F.lit(None).cast("long").alias("stageId"), F.lit(0).alias("attemptId"), F.lit(None).cast(plan_type).alias("plan")))
+    kind = e["Event"]
+    described = _parse(
+        events, ["SparkListenerStageCompleted", "SparkListenerStageSubmitted", "SparkListenerJobStart", "SparkListenerApplicationEnd"], _STAGE
+    ).select(
+        "app_id", F.when(kind == "SparkListenerStageCompleted", info).alias("info"),
+        F.when(kind == "SparkListenerStageSubmitted", info).alias("begun"),
+        F.explode(F.when(kind == "SparkListenerJobStart", planned).when(kind == "SparkListenerApplicationEnd", ended).otherwise(told)).alias("stage"),
+    ).select("app_id", "stage.*", "info", "begun")
+    counts = ["numSeenTasks", "numFailedTasks", "numKilledTasks", "numStartedTasks"]
+    met = described.unionByName(counted, allowMissingColumns=True).unionByName(started, allowMissingColumns=True).groupBy(*key).agg(
+        F.max("info").alias("info"), F.max("begun").alias("begun"), F.max("plan").alias("plan"),
         *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts),
-        F.max("firstTaskLaunchedTime").alias("firstTaskLaunchedTime"),
+        F.min("firstTaskLaunchedTime").alias("firstTaskLaunchedTime"),
     )
-    seen = F.col("numSeenTasks")
+    over = met.filter("stageId IS NULL").select("app_id", F.lit(True).alias("over"))
+    met = met.filter("stageId IS NOT NULL").join(over, "app_id", "left")
+    seen, info, begun = F.col("numSeenTasks"), F.col("info"), F.col("begun")
     status = (
-        F.when(F.col("info").isNull(), F.when(seen > 0, "ACTIVE").otherwise("SKIPPED"))
-        .when(F.col("info")["Failure Reason"].isNotNull(), "FAILED").otherwise("COMPLETE"))
+        F.when(info["Failure Reason"].isNotNull(), "FAILED").when(info.isNotNull(), "COMPLETE")
+        .when(begun.isNotNull() | (seen > 0) | (F.col("numStartedTasks") > 0), "ACTIVE")
+        .when(F.col("over"), "SKIPPED").otherwise("PENDING"))
+    active = F.when(status == "ACTIVE", F.greatest(F.col("numStartedTasks") - seen, F.lit(0))).otherwise(0)
     return met.select(
         "app_id", status.alias("status"), "stageId", "attemptId",
-        F.coalesce(F.col("info")["Number of Tasks"], F.col("plan.tasks"), seen).alias("numTasks"),
-        F.lit(0).alias("numActiveTasks"),
+        F.coalesce(info["Number of Tasks"], begun["Number of Tasks"], F.col("plan.tasks"), seen).alias("numTasks"),
+        active.alias("numActiveTasks"),
         (seen - F.col("numFailedTasks") - F.col("numKilledTasks")).alias("numCompleteTasks"),
         "numFailedTasks", "numKilledTasks",
-        _time(F.col("info")["Submission Time"]).alias("submissionTime"),
+        _time(F.coalesce(info["Submission Time"], begun["Submission Time"])).alias("submissionTime"),
         "firstTaskLaunchedTime",
-        _time(F.col("info")["Completion Time"]).alias("completionTime"),
-        F.coalesce(F.col("info")["Stage Name"], F.col("plan.name")).alias("name"),
-        F.transform(F.col("info")["RDD Info"], lambda r: r["RDD ID"]).alias("rddIds"),
+        _time(info["Completion Time"]).alias("completionTime"),
+        F.coalesce(info["Stage Name"], begun["Stage Name"], F.col("plan.name")).alias("name"),
+        F.transform(F.coalesce(info["RDD Info"], begun["RDD Info"]), lambda r: r["RDD ID"]).alias("rddIds"),
         "numSeenTasks",
     )

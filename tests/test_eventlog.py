@@ -110,12 +110,28 @@ def troubled(spark):
 def test_failed_running_and_skipped_stages(troubled):
     got = {(s.stageId, s.attemptId): s for s in eventlog.stage_attempts(troubled).collect()}
     assert {k: s.status for k, s in got.items()} == {
-        (0, 0): "FAILED", (0, 1): "COMPLETE", (1, 0): "ACTIVE", (2, 0): "SKIPPED"}
+        (0, 0): "FAILED", (0, 1): "COMPLETE", (1, 0): "ACTIVE", (2, 0): "PENDING"}
+    assert got[0, 1].numCompleteTasks == 1  # logged twice
+    over = troubled.union(troubled.sparkSession.createDataFrame([event("ApplicationEnd", Timestamp=9)], eventlog.EVENTS))
+    assert {s.stageId: s.status for s in eventlog.stage_attempts(over).collect()}[2] == "SKIPPED"
     assert (got[0, 0].numCompleteTasks, got[0, 0].numFailedTasks, got[0, 0].numKilledTasks) == (0, 1, 1)
     assert got[2, 0].numTasks == 3 and got[2, 0].name == "plan 2" and got[0, 1].rddIds == [5]
     assert eventlog.jobs(troubled).head().completionTime is None
 
 
+def test_submitted_stages_and_running_tasks(spark):
+    def start(number):
+        return event("TaskStart", Stage_ID=4, Stage_Attempt_ID=0, Task_Info={"Task ID": number, "Index": number, "Attempt": 0, "Launch Time": 3000 + number})
+
+    info = {"Stage ID": 4, "Stage Attempt ID": 0, "Stage Name": "count at B", "Number of Tasks": 5, "RDD Info": [{"RDD ID": 8}], "Submission Time": 2000}
+    end = event("TaskEnd", Stage_ID=4, Stage_Attempt_ID=0, Task_Info={
+        "Task ID": 1, "Index": 1, "Attempt": 0, "Launch Time": 3001, "Finish Time": 3500, "Executor ID": "1", "Failed": False, "Killed": False})
+    rows = [event("StageSubmitted", Stage_Info=info), start(1), start(2), start(2), start(3), end]
+    stage = eventlog.stage_attempts(spark.createDataFrame(rows, eventlog.EVENTS)).head()
+    assert (stage.status, stage.numTasks, stage.numActiveTasks, stage.numCompleteTasks, stage.rddIds) == ("ACTIVE", 5, 2, 1, [8])
+    assert stage.submissionTime.timestamp() == 2.0 and stage.firstTaskLaunchedTime.timestamp() == 3.001 and stage.completionTime is None
+
+
 def test_report_of_trouble(troubled):
     rows = runs.run_report(troubled).collect()
     assert sorted((r.stageId, r.attemptId, r.taskId or 0) for r in rows) == [
@@ -144,6 +160,30 @@ def test_a_cut_off_compressed_log(spark, folder):
     assert counts["whole"] == 30_000 and 0 < counts["cut"] < 30_000
 
 
+@pytest.mark.parametrize(("name", "content"), [("cut", lambda x: x[: len(x) // 2]), ("torn", lambda x: x[:5000] + b"?" * 50 + x[5050:])])
+def test_a_finished_log_that_is_not_whole_is_refused(spark, folder, name, content):
+    import zstandard
+
+    lines = "".join(event("TaskEnd", Stage_ID=i, Stage_Attempt_ID=0)[1] + "\n" for i in range(30_000))
+    with open(os.path.join(folder, f"app-{name}.zstd"), "wb") as file:
+        file.write(content(zstandard.ZstdCompressor().compress(lines.encode())))
+    with pytest.raises(Exception, match=f"app-{name}.zstd is damaged or cut off"):
+        eventlog.read_events(spark, folder).count()
+
+
+def test_many_frames_and_unknown_codecs(spark, folder):
+    import zstandard
+
+    with open(os.path.join(folder, "app-1.zstd"), "wb") as file:
+        for i in range(50):
+            file.write(zstandard.ZstdCompressor().compress(f"line {i}\n".encode()))
+    assert sorted(r.value for r in eventlog.read_events(spark, folder).collect()) == sorted(f"line {i}" for i in range(50))
+    with open(os.path.join(folder, "app-2.lz4"), "wb") as file:
+        file.write(b"anything")
+    with pytest.raises(ValueError, match="app-2.lz4"):
+        eventlog.read_events(spark, folder)
+
+
 def test_names_of_rolling_logs(spark, folder):
     part = os.path.join(folder, "eventlog_v2_app-7")
     os.mkdir(part)

@@ -19,6 +19,8 @@ def test_checkpoint_time_of_an_app(spark):
         "app_id string, name string, submissionTime string, completionTime string")
     assert runs.tc_of_app(jobs).head().tc_min == 17 / 60 + 19 + 1
     assert runs.checkpoint_jobs(jobs).count() == 2
+    without = spark.createDataFrame([("b", "count at Y", "2021-09-29 10:00:00", None), ("c", "checkpoint at X", "2021-09-29 10:00:00", None)], jobs.schema)
+    assert {r.app_id: r.tc_min for r in runs.tc_of_app(jobs.union(without)).collect()} == {"a": 17 / 60 + 20, "b": 0.0, "c": 0.0}
 
 
 def test_shares_per_task(spark):
@@ -31,15 +33,16 @@ def test_shares_per_task(spark):
         runs.assert_same_count(tasks, tc)
 
 
-def test_both_ways_by_rdd_agree(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_times_by_the_last_checkpointed_rdd(spark, kind):
     tasks = spark.createDataFrame(
-        [(1, [3, 1, 2]), (2, [9]), (3, []), (4, None), (5, [2, 3, 2]), (6, [1, 9])], "taskId int, rddIds array<long>")
-    tc = spark.createDataFrame([(1, 10), (2, 20)], "rddId long, tcMs long")
-    want = {1: (2, 20), 2: (None, None), 3: (None, None), 4: (None, None), 5: (2, 20), 6: (1, 10)}
-    for limit in (10_000, 1):
-        got = runs.add_tc_by_rdd(tasks, tc, max_inline=limit)
-        assert got.columns == ["taskId", "rddIds", "rddId", "tcMs"]
-        assert {r.taskId: (r.rddId, r.tcMs) for r in got.collect()} == want
+        [(1, [3, 1, 2]), (2, [9]), (3, []), (4, None), (5, [2, 3, 2]), (6, [1, 9]), (7, [None, 1, None])], "taskId int, rddIds array<long>")
+    tc = spark.createDataFrame([(1, 10), (2, 20), (None, 99)], "rddId long, tcMs long")
+    tasks, tc = tasks.withColumn("rddIds", F.col("rddIds").cast(f"array<{kind}>")), tc.withColumn("rddId", F.col("rddId").cast(kind))
+    want = {1: ("2", 20), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("2", 20), 6: ("1", 10), 7: ("1", 10)}
+    got = runs.add_tc_by_rdd(tasks, tc)
+    assert got.columns == ["taskId", "rddIds", "rddId", "tcMs"]
+    assert {r.taskId: (r.rddId if r.rddId is None else str(r.rddId), r.tcMs) for r in got.collect()} == want
 
 
 def test_distinct_times(spark):
@@ -100,6 +103,13 @@ def test_runs_align_on_common_keys(spark):
     assert means == {"k1": 3.0, "k2": None}
 
 
+def test_whole_rows_of_repeated_keys_meet(spark):
+    rows = [(1, "k", 1, 5), (1, "k", 2, 1), (2, "k", 7, None), (2, "k", None, 8), (1, None, 3, 3), (2, None, 4, 4), (1, "l", 0, 0)]
+    df = spark.createDataFrame(rows, "run int, k string, v int, w int")
+    got = sorted(((r.k, r.v, r.w, r.v_2, r.w_2) for r in runs.align_runs(df, [1, 2], ["k"], ["v", "w"]).collect()), key=str)
+    assert got == sorted([("k", a, b, c, d) for a, b in ((1, 5), (2, 1)) for c, d in ((7, None), (None, 8))], key=str)
+
+
 def test_separate_runs_are_stacked(spark):
     frames = {str(i): long_runs(spark).filter(F.col("run") == i).drop("run") for i in (1, 2)}
     aligned = runs.align_runs(runs.stack_runs(frames), ["1", "2"], ["k"], ["v"])
@@ -162,7 +172,9 @@ def test_over_time(spark):
     df = spark.createDataFrame([(2, 1, 0, 5.0), (1, 3, 1, None), (2, 1, 0, 5.0)],
                                "submissionTime int, numCompleteTasks int, numFailedTasks int, tcMs double")
     assert [tuple(r) for r in runs.stage_progress(df).collect()] == [(1, 3, 1), (2, 1, 0)]
-    assert [tuple(r) for r in runs.tc_over_time(df).collect()] == [(2, 5.0)]
+    assert [tuple(r) for r in runs.tc_over_time(df).collect()] == [(1, None), (2, 5.0)]
+    keyed = df.withColumn("stageId", F.monotonically_increasing_id())
+    assert runs.tc_over_time(keyed, keys=["stageId"]).count() == runs.stage_progress(keyed, keys=["stageId"]).count() == 3
     assert [tuple(r) for r in runs.first_distinct(df, ["tcMs", "submissionTime"], ["submissionTime"], 1).collect()] == [
         (None, 1)]
 
