@@ -24,6 +24,8 @@ from millrace.llm.tokens import encoder, slices
 from millrace.session import scratch_path
 
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 16, 64, 1 << 16
+#: Ids that a task encodes at a time, or one longer document.
+ENCODED_IDS = 1 << 18
 
 
 def token_rows(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
@@ -132,9 +134,9 @@ def encode(documents: list[np.ndarray], code: np.ndarray, length: np.ndarray) ->
     return [(raw[base[i]:base[i + 1]], inside[first[i]:first[i + 1]:CHECKPOINT].astype("<u4")) for i in range(len(documents))]
 
 
-def decode(payload: bytes, checkpoints: np.ndarray, sizes: np.ndarray, bits: int, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
+def decode(payload: bytes | pa.Buffer, checkpoints: np.ndarray, sizes: np.ndarray, bits: int, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All ids of a block, document after document, from the bit offset of every checkpoint."""
-    raw = np.frombuffer(payload + bytes(5), dtype=np.uint8).astype(np.uint64)
+    raw = np.concatenate([np.frombuffer(payload, dtype=np.uint8), np.zeros(5, dtype=np.uint8)]).astype(np.uint64)
     window = (raw[:-4] << np.uint64(32)) | (raw[1:-3] << np.uint64(24)) | (raw[2:-2] << np.uint64(16)) | (raw[3:-1] << np.uint64(8)) | raw[4:]
     runs = -(-sizes // CHECKPOINT)
     want = np.full(int(runs.sum()), CHECKPOINT)
@@ -167,18 +169,18 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int, path: str) ->
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, length = table.encoding()
         for batch in batches:
-            blobs, at = batch.column("ids").to_pylist(), 0
-            while at < len(blobs):
-                upto, room_left = at, 4 << 20
-                while upto < len(blobs) and (upto == at or room_left >= len(blobs[upto])):
-                    room_left -= len(blobs[upto])
-                    upto += 1
-                found = encode([np.frombuffer(x, dtype="<u4") for x in blobs[at:upto]], code, length)
+            column, at = batch.column("ids"), 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and (not part or size < ENCODED_IDS):
+                    part.append(np.frombuffer(column[at + len(part)].as_buffer(), dtype="<u4"))
+                    size += len(part[-1])
+                found = encode(part, code, length)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, upto - at), pa.array([len(x) // 4 for x in blobs[at:upto]], pa.int64()),
+                    batch.column("doc_id").slice(at, len(part)), pa.array([len(x) for x in part], pa.int64()),
                     pa.array([x for x, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary()),
                 ], ["doc_id", "size", "bits", "checkpoints"])
-                at = upto
+                at += len(part)
 
     encoded = tokens.mapInArrow(to_bits, f"doc_id {kind}, size long, bits binary, checkpoints binary")
     # Ranges are sampled from the ids alone; rows are sorted and laid out with the number of their part.
@@ -200,8 +202,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int, path: str) ->
             ], ["part", "block", "start", "n", "doc_ids", "sizes", "checkpoints", "payload"])
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "bits", "checkpoints", "part")), strict=True)
-            for doc, size, bits, marks, of in rows:
+            columns = [batch.column(c) for c in ("doc_id", "size", "bits", "checkpoints", "part")]
+            for i in range(batch.num_rows):
+                doc, size, bits, marks, of = (c[i].as_py() for c in columns)
                 if held and (of != part or sum_held >= BLOCK_IDS):
                     yield flush()
                     block, start, held = block + 1, start + sum_held, []
@@ -226,8 +229,12 @@ def doc_ranges(rows: DataFrame):
     return F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))), F.lit(0))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (binary) of every document of a file set."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of every document of a file set.
+
+    With `digest` the CRC-32 of the ids, as ids_crc32, in place of them. The total of every part, one row each, is all
+    that is collected.
+    """
     codes = spark.read.parquet(f"{path}/codes").toArrow()
     table = Code(codes["id"].to_numpy(), codes["bits"].to_numpy())
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -236,21 +243,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     for row in sorted(parts, key=lambda x: x["part"]):
         base[row["part"]] = before
         before += row["n"]
+    last = "ids_crc32" if digest else "ids"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, length = table.decoding()
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], dtype=np.int64)
-                found = decode(row["payload"], np.frombuffer(row["checkpoints"], dtype="<u8"), sizes, table.bits, symbol, length).tobytes()
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in ("part", "start", "doc_ids", "sizes", "checkpoints", "payload")}
+                sizes = row["sizes"].values.to_numpy()
+                marks = np.frombuffer(row["checkpoints"].as_buffer(), dtype="<u8")
+                found = decode(row["payload"].as_buffer(), marks, sizes, table.bits, symbol, length).tobytes()
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                starts = base[row["part"]] + row["start"] + cuts[:-1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(sizes),
-                    pa.array([found[4 * i:4 * j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                ], ["doc_id", "start", "n_tokens", "ids"])
+                starts = base[row["part"].as_py()] + row["start"].as_py() + cuts[:-1]
+                texts = (found[4 * a:4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+                ids = pa.array([zlib.crc32(x) for x in texts], pa.int64()) if digest else pa.array(list(texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(starts), pa.array(sizes), ids], ["doc_id", "start", "n_tokens", last])
 
-    return blocks.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(work, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
@@ -258,10 +267,4 @@ def round_trip(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "token-files")
     write_token_files(docs, vocabulary, end, path)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), sums], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, path).mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path, digest=True)

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MAX_KEPT = 800_000
+MAX_KEPT = 500_000
 
 #: Characters that Unicode calls white space.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
