@@ -17,6 +17,8 @@ from millrace.operators.checkpoints import checkpoint_timed
 # Numbers of centre coordinates that one function carries to the tasks (8 bytes each). More centres are
 # searched in several rounds.
 MAX_COORDINATES = 4_000_000
+# Distances that a task holds at a time.
+MAX_DISTANCES = 4_000_000
 
 
 def to_vector(column: str) -> Column:
@@ -61,17 +63,35 @@ def group_means(df: DataFrame, group: str, point: str = "point") -> DataFrame:
 
 
 def _nearest(numbers: np.ndarray, centres: np.ndarray):
-    """A function from points to (cluster, squared distance) of the nearest of these centres."""
+    """A function from points to (cluster, squared distance) of the nearest of these centres.
+
+    A point that is null, has a null coordinate, or another number of coordinates than the centres has neither.
+    """
     norms = (centres * centres).sum(axis=1)
+    # Points are compared a few at a time, so that points times centres stay below a fixed number of distances.
+    step = max(1, MAX_DISTANCES // max(len(centres), centres.shape[1]))
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for points in batches:
-            x = points.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
-            x = x.reshape(len(points), centres.shape[1])
-            best = (norms - 2.0 * (x @ centres.T)).argmin(axis=1)
-            distance = ((x - centres[best]) ** 2).sum(axis=1)
+            length = points.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            values = points.flatten()
+            holes = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+            ends = np.cumsum(np.maximum(length, 0))
+            whole = (length == centres.shape[1]) & (holes[ends] == holes[ends - np.maximum(length, 0)])
+            x = values.fill_null(0).to_numpy(zero_copy_only=False).astype("float64", copy=False)
+            x = x[np.repeat(whole, np.maximum(length, 0))].reshape(-1, centres.shape[1])
+            best, distance = np.zeros(len(x), dtype="int64"), np.zeros(len(x))
+            for at in range(0, len(x), step):
+                part = x[at:at + step]
+                found = (norms - 2.0 * (part @ centres.T)).argmin(axis=1)
+                best[at:at + step] = found
+                distance[at:at + step] = ((part - centres[found]) ** 2).sum(axis=1)
+            place = np.cumsum(whole) - 1
+            missing = pa.array(~whole)
+            cluster = pa.array(numbers[best][place] if len(x) else np.zeros(len(points), "int64"), mask=~whole)
             yield pa.StructArray.from_arrays(
-                [pa.array(numbers[best]), pa.array(distance)], names=["cluster", "distance"])
+                [cluster, pa.array(distance[place] if len(x) else np.zeros(len(points)), mask=~whole)], names=["cluster", "distance"],
+                mask=missing)
 
     return F.arrow_udf(find, "cluster long, distance double")
 
@@ -97,9 +117,9 @@ def kmeans_assign(
     """Add cluster and distance (squared) of the nearest centre; of equally near ones the lowest number.
 
     `centres` holds cluster and centre. No shuffle and no row per (point, centre): the centres travel with the
-    function, block by block if they are many.
+    function, block by block if they are many. Points that are null, ragged, or have a null coordinate stay, with null in both.
     """
-    plan = points.filter(F.col(point).isNotNull())
+    plan = points
     best = None
     for i, (numbers, block) in enumerate(_blocks(centres, max_coordinates)):
         found = f"__near{i}"

@@ -26,6 +26,12 @@ def stopword_filter(
     return StopWordsRemover(inputCol=column, outputCol=out, stopWords=words).transform(df)
 
 
+def drop_words(tokens: DataFrame, words: DataFrame, column: str = "token") -> DataFrame:
+    """The rows of `tokens` (a token each) whose token, lower-cased, is none of `words`: a list of any size."""
+    listed = words.select(F.lower("word").alias("__word")).distinct()
+    return tokens.join(listed, F.lower(column) == F.col("__word"), "left_anti")
+
+
 def term_counts(df: DataFrame, column: str = "tokens") -> DataFrame:
     """term, n_tokens, n_docs.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from millrace.functions import columns as C
 from millrace.functions import logs
 from millrace.operators import clustering, failures, generators, graph, orders, regression, runs, text
 from millrace.operators.ordering import number_rows
-from millrace.session import scratch_path, spread, store
+from millrace.session import scratch_path, ship_package, spread, store
 from millrace.sources import eventlog, sinks
 from millrace.sources import text as readers
 
@@ -33,6 +34,7 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -142,6 +144,60 @@ def scan_corpus(spark, sf_dir):
     return readers.read_corpus(spark, path).select("text")
 
 
+@query
+def corpus_ids(spark, sf_dir):
+    """Ids of a corpus file: one for each line, none twice."""
+    path = scratch_path(spark, "corpus-text")
+    table(spark, sf_dir, "documents").select("text").write.text(path)
+    return readers.read_corpus(spark, path).agg(
+        F.count("doc_id").alias("n_ids"), F.countDistinct("doc_id").alias("n_distinct"))
+
+
+@query
+def sample_fraction(spark, sf_dir):
+    """A sample of three tenths: how much it holds, whether it is part of the rows, and the same when taken again."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    first, again = (readers.sample_rows(rows, 0.3, 7).withColumn("n", F.lit(n)) for n in (1, 2))
+    met = first.unionAll(again).unionAll(rows.withColumn("n", F.lit(0))).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(
+        *(F.count_if(F.col("n") == n).alias(f"n{n}") for n in range(3)))
+    share = F.sum("n1") / F.sum("n0")
+    return met.agg(
+        share.between(0.25, 0.35).alias("near_share"), F.bool_and(F.col("n1") == F.col("n2")).alias("repeatable"),
+        F.bool_and(F.col("n1") <= F.col("n0")).alias("part_of_rows"))
+
+
+@query
+def stopword_list(spark, sf_dir):
+    path = scratch_path(spark, "stopwords")
+    table(spark, sf_dir, "documents").select(F.concat_ws(" ", "lang", "source", "lang")).write.text(path)
+    return readers.stopword_table(spark, path)
+
+
+@query
+def drop_listed_words(spark, sf_dir):
+    """Word counts without the words of a list that is a table: those of the pages' addresses."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("token")).filter("token <> ''")
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    return text.drop_words(words, listed).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def missing_source(spark, sf_dir):
+    """Lines of a log, and of one that is not there."""
+    path = scratch_path(spark, "some-log")
+    table(spark, sf_dir, "nation").select("n_name").write.text(path)
+    there, missing = readers.read_log(spark, path), readers.read_log(spark, f"{path}-none")
+    return there.unionAll(missing).agg(F.count(F.lit(1)).alias("n_lines"), F.count("value").alias("n_values"))
+
+
+@query
+def numeric_columns(spark, sf_dir):
+    """The columns to learn from, by type, after the dropped ones."""
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status").drop(*failures.DROPPED)
+    names = C.columns_of_type(rows, ["double", "bigint"], exclude=["o_custkey"])
+    return rows.select(names)
+
+
 @query
 def ranks_roundtrip(spark, sf_dir):
     ranks = graph.out_degree(_edges(spark, sf_dir)).select("src", (F.col("degree") / 7).alias("rank"))
@@ -194,65 +250,85 @@ def _json(event: str, *fields: Column) -> Column:
     return F.to_json(F.struct(F.lit(event).alias("Event"), *fields))
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-log lines made of the tables.
-
-    A customer is an application (one in MACHINERY is still running). An order is a job of one stage in run
-    `order key mod 64`; urgent ones write checkpoints. Status F fails and is tried again, priority 5-LOW never
-    completes. A line item is a task of the first attempt. The lines are stored, as a log is.
-    """
-    customers = table(spark, sf_dir, "customer")
+def app_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-log lines of customers as applications (those in MACHINERY are still running), stored as a log is."""
     app = F.concat(F.lit("customer-"), F.col("c_custkey"))
     start = F.lit(1_600_000_000_000) + F.col("c_custkey") * 1000
     end = F.when(F.col("c_mktsegment") != "MACHINERY", start + F.round(F.abs("c_acctbal") * 100).cast("long"))
-    app_lines = customers.select(app.alias("app_id"), F.explode(F.array_compact(F.array(
+    return store(table(spark, sf_dir, "customer").select(app.alias("app_id"), F.explode(F.array_compact(F.array(
         _json("SparkListenerApplicationStart", F.col("c_name").alias("App Name"), app.alias("App ID"),
               start.alias("Timestamp")),
         F.when(end.isNotNull(), _json("SparkListenerApplicationEnd", end.alias("Timestamp"))),
-    ))).alias("value"))
+    ))).alias("value")), "app-lines")
+
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event logs of 64 runs, written as text files in a folder for each run and read back.
+
+    An order is a job of one stage in run `order key mod 64`; urgent ones write checkpoints. Status F fails and is tried
+    again. Priority 5-LOW never completes, and of these only status O is submitted. A line item is a task of the first
+    attempt; the sixth and seventh of an order are still running. Runs of even number have ended. A returned item's end
+    is logged twice.
+    """
     ordered = spread(table(spark, sf_dir, "orders"))
     key, submitted = F.col("o_orderkey"), _epoch_ms("o_orderdate")
     name = F.when(F.col("o_orderpriority") == "1-URGENT", "checkpoint at Job.scala:84").otherwise("count at Job.scala:57")
-    failed, planned_only = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW"
+    failed, open_ = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "5-LOW"
     finished = submitted + F.floor("o_totalprice")
 
-    def stage(attempt: int, when: Column) -> Column:
+    def stage(event: str, attempt: int, when: Column, completed: bool = True) -> Column:
         info = F.struct(
             key.alias("Stage ID"), F.lit(attempt).alias("Stage Attempt ID"), name.alias("Stage Name"),
             F.lit(7).alias("Number of Tasks"),
             F.array(F.struct(F.col("o_custkey").alias("RDD ID")), F.struct(key.alias("RDD ID"))).alias("RDD Info"),
             (submitted + attempt * 1000).alias("Submission Time"),
-            (finished + attempt * 1000).alias("Completion Time"),
-            F.when(failed & F.lit(attempt == 0), "ExecutorLostFailure").alias("Failure Reason"))
-        return F.when(when, _json("SparkListenerStageCompleted", info.alias("Stage Info")))
+            *([(finished + attempt * 1000).alias("Completion Time"),
+               F.when(failed & F.lit(attempt == 0), "ExecutorLostFailure").alias("Failure Reason")] if completed else []))
+        return F.when(when, _json(f"SparkListenerStage{event}", info.alias("Stage Info")))
 
     planned = F.array(F.struct(key.alias("Stage ID"), name.alias("Stage Name"), F.lit(7).alias("Number of Tasks")))
     run = F.concat(F.lit("run-"), F.pmod(key, F.lit(64)))
     order_lines = ordered.select(run.alias("app_id"), F.explode(F.array_compact(F.array(
         _json("SparkListenerJobStart", key.alias("Job ID"), submitted.alias("Submission Time"),
               planned.alias("Stage Infos")),
-        stage(0, ~planned_only), stage(1, ~planned_only & failed),
+        stage("Submitted", 0, ~open_ | (F.col("o_orderstatus") == "O"), completed=False),
+        stage("Completed", 0, ~open_), stage("Completed", 1, ~open_ & failed),
         _json("SparkListenerJobEnd", key.alias("Job ID"), finished.alias("Completion Time")),
     ))).alias("value"))
 
     launch = _epoch_ms("l_shipdate")
-    task = F.struct(
-        F.col("l_partkey").alias("Task ID"), F.col("l_linenumber").alias("Index"), F.lit(0).alias("Attempt"),
-        launch.alias("Launch Time"), (launch + F.floor("l_extendedprice")).alias("Finish Time"),
+    begun = (F.col("l_partkey").alias("Task ID"), F.col("l_linenumber").alias("Index"), F.lit(0).alias("Attempt"),
+             launch.alias("Launch Time"))
+    ended = F.struct(
+        *begun, (launch + F.floor("l_extendedprice")).alias("Finish Time"),
         F.col("l_suppkey").cast("string").alias("Executor ID"), (F.col("l_returnflag") == "R").alias("Failed"),
         ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")).alias("Killed"))
+    of_stage = (F.col("l_orderkey").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"))
+    end_line = _json("SparkListenerTaskEnd", *of_stage, ended.alias("Task Info"),
+                     F.struct(F.floor("l_quantity").alias("Executor Deserialize Time")).alias("Task Metrics"))
+    done = F.col("l_linenumber") < 6
     task_lines = spread(table(spark, sf_dir, "lineitem")).select(
-        F.concat(F.lit("run-"), F.pmod(F.col("l_orderkey"), F.lit(64))).alias("app_id"),
-        _json("SparkListenerTaskEnd", F.col("l_orderkey").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"),
-              task.alias("Task Info"),
-              F.struct(F.floor("l_quantity").alias("Executor Deserialize Time")).alias("Task Metrics")).alias("value"))
-    return store(app_lines.unionAll(order_lines).unionAll(task_lines), "event-lines")
+        F.concat(F.lit("run-"), F.pmod(F.col("l_orderkey"), F.lit(64))).alias("app_id"), F.explode(F.array_compact(F.array(
+            _json("SparkListenerTaskStart", *of_stage, F.struct(*begun).alias("Task Info")),
+            F.when(done, end_line), F.when(done & (F.col("l_returnflag") == "R"), end_line)))).alias("value"))
+    run_ends = ordered.select(F.pmod(key, F.lit(64)).alias("n")).distinct().filter("n % 2 = 0").select(
+        F.concat(F.lit("run-"), F.col("n")).alias("app_id"),
+        _json("SparkListenerApplicationEnd", F.lit(1_700_000_000_000).alias("Timestamp")).alias("value"))
+    path = scratch_path(spark, "event-logs")
+    lines = order_lines.unionAll(task_lines).unionAll(run_ends)
+    # One folder for each run; the task salts keep a run from being one writer's work.
+    lines.repartition("app_id", F.pmod(F.xxhash64("value"), F.lit(2))).write.partitionBy("app_id").text(path)
+    return eventlog.read_events(spark, path, folder_key="app_id")
 
 
 @query
 def app_duration(spark, sf_dir):
-    return eventlog.app_durations(event_lines(spark, sf_dir))
+    return eventlog.app_durations(app_lines(spark, sf_dir))
+
+
+@query
+def app_duration_of_one(spark, sf_dir):
+    return eventlog.app_duration(app_lines(spark, sf_dir), "customer-7")
 
 
 @query
@@ -275,9 +351,9 @@ def stage_attempts(spark, sf_dir):
 
 @query
 def run_report(spark, sf_dir):
-    report = runs.run_report(event_lines(spark, sf_dir)).drop("rddIds", "numActiveTasks")
+    report = runs.run_report(event_lines(spark, sf_dir))
     report = _wall_clock(
-        report, "submissionTime", "firstTaskLaunchedTime", "completionTime", "taskLaunchTime")
+        report.withColumn("rddIds", F.concat_ws(",", F.col("rddIds").cast("array<string>"))), "submissionTime", "firstTaskLaunchedTime", "completionTime", "taskLaunchTime")
     return _rounded(report, "tcMinStage", "tcMinTask")
 
 
@@ -378,7 +454,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(event == "click", F.concat(F.lit("INFO Checkpointing took "), k, F.lit(" ms.")))
         .when(event == "purchase", F.concat(F.lit("INFO Done checkpointing RDD "), number, F.lit(" to /ckpt/a")))
         .when(event == "view", F.concat(F.lit("INFO Done checkpointing RDD "), k, F.lit(" to /ckpt/b")))
-        .when(event == "error", F.concat(F.lit("WARN Chejkpoint took: "), k, F.lit(" ms")))
+        .when(event == "error", F.concat(F.lit("WARN Checkpointing took long, "), k, F.lit(" ms")))
         .otherwise(F.concat(F.lit("INFO Logging to /job-event-log/spark-"), number, F.lit("x.inprogress"))).alias("value"))
 
 
@@ -650,6 +726,15 @@ def kmeans_fit(spark, sf_dir):
     return clustering.kmeans_summary(model, points).select("cluster", "size", F.round("cost", 6).alias("cost"))
 
 
+@query
+def kmeans_groups(spark, sf_dir):
+    """Clusters of points in four groups that lie far apart: size and cost of each."""
+    near, far = F.col("l_quantity") / 50, F.pmod(F.col("l_suppkey"), F.lit(4)) * 1000.0
+    points = table(spark, sf_dir, "lineitem").select(F.array(near + far, -far).alias("point"))
+    model = clustering.kmeans_fit(points, 4, 100, checkpoint=True)
+    return _rounded(clustering.kmeans_summary(model, points).select("size", "cost"), "cost", digits=4)
+
+
 @query
 def kmeans_assign(spark, sf_dir):
     points = _points(spark, sf_dir)
@@ -687,7 +772,7 @@ def vocabulary(spark, sf_dir):
 
 @query
 def corpus_counts(spark, sf_dir):
-    return text.corpus_counts(_tokens(spark, sf_dir), 1000)
+    return text.corpus_counts(_tokens(spark, sf_dir))
 
 
 @query
@@ -715,6 +800,32 @@ def gbt_regression(spark, sf_dir):
     return model.transform(parts.filter("part = 1")).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
+def _stepped(spark: SparkSession, sf_dir: str):
+    """A hundred boosted trees on a target that is constant for each line number, so they predict its mean."""
+    line = F.col("l_linenumber").cast("double")
+    rows = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", line.alias("x"), (line * line).alias("label"))
+    parts = regression.split_by_key(rows, "l_orderkey", [7, 3])
+    return regression.gbt_regression(parts.filter("part = 0"), "label", ["x"], checkpoint_interval=10), parts.filter("part = 1")
+
+
+@query
+def gbt_steps(spark, sf_dir):
+    model, rest = _stepped(spark, sf_dir)
+    return _rounded(model.transform(rest).select("l_orderkey", "l_linenumber", "label", "prediction"), "prediction")
+
+
+@query
+def model_description(spark, sf_dir):
+    """How many trees the description of a model names, and whether a model saved once is loaded as it was."""
+    model, rest = _stepped(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    kept = sinks.load_or_fit(PipelineModel.load, lambda: model, path)
+    again = sinks.load_or_fit(PipelineModel.load, lambda: None, path)
+    trees = regression.describe_model(kept).count("Tree ")
+    same = regression.describe_model(again).split("\n", 1)[1] == regression.describe_model(kept).split("\n", 1)[1]
+    return rest.agg(F.lit(trees).alias("trees"), F.lit(same).alias("same"), F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def rmse(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(

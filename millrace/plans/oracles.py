@@ -47,39 +47,44 @@ _AT = "epoch_ms({})"
 _STAGE_NAME = "case when o_orderpriority = '1-URGENT' then 'checkpoint at Job.scala:84' else 'count at Job.scala:57' end"
 _RUN = "'run-' || cast({} % 64 as varchar)"
 
+# The sixth and seventh task of a stage have started and not finished.
 _TASK_COUNTS = f"""
-    select l_orderkey, count(*) as seen,
-        count(*) filter (l_returnflag <> 'R' and not (l_returnflag = 'A' and l_linestatus = 'O')) as done,
-        count(*) filter (l_returnflag = 'R') as failed,
-        count(*) filter (l_returnflag = 'A' and l_linestatus = 'O') as killed,
+    select l_orderkey, count(*) as started, count(*) filter (l_linenumber < 6) as seen,
+        count(*) filter (l_linenumber < 6 and l_returnflag <> 'R' and not (l_returnflag = 'A' and l_linestatus = 'O')) as done,
+        count(*) filter (l_linenumber < 6 and l_returnflag = 'R') as failed,
+        count(*) filter (l_linenumber < 6 and l_returnflag = 'A' and l_linestatus = 'O') as killed,
         min({_SHIP_MS}) as first
     from lineitem group by 1"""
-# Attempts: 0 of every order (it may have tasks, a completion, or neither), 1 of failed ones.
+# Attempts: 0 of every order (it may have tasks, a submission, a completion, or none of these), 1 of failed ones.
 _STAGES = f"""
+    with base as (
+        select *, o_orderpriority = '5-LOW' as unfinished, o_orderpriority <> '5-LOW' or o_orderstatus = 'O' as submitted,
+            case when attempt = 0 then coalesce(started, 0) else 0 end as n_started, case when attempt = 0 then coalesce(seen, 0) else 0 end as n_seen
+        from orders cross join (select unnest([0, 1]) as attempt) left join ({_TASK_COUNTS}) on l_orderkey = o_orderkey
+        where attempt = 0 or (o_orderstatus = 'F' and o_orderpriority <> '5-LOW'))
     select {_RUN.format('o_orderkey')} as app_id,
-        case when o_orderpriority = '5-LOW' then case when attempt = 0 and seen > 0 then 'ACTIVE' else 'SKIPPED' end
-             when o_orderstatus = 'F' and attempt = 0 then 'FAILED' else 'COMPLETE' end as status,
+        case when not unfinished then case when o_orderstatus = 'F' and attempt = 0 then 'FAILED' else 'COMPLETE' end
+             when submitted or n_started > 0 then 'ACTIVE' when o_orderkey % 2 = 0 then 'SKIPPED' else 'PENDING' end as status,
         o_orderkey as "stageId", cast(attempt as integer) as "attemptId", 7::integer as "numTasks",
-        0::integer as "numActiveTasks",
+        cast(case when unfinished then n_started - n_seen else 0 end as integer) as "numActiveTasks",
         cast(case when attempt = 0 then coalesce(done, 0) else 0 end as integer) as "numCompleteTasks",
         cast(case when attempt = 0 then coalesce(failed, 0) else 0 end as integer) as "numFailedTasks",
         cast(case when attempt = 0 then coalesce(killed, 0) else 0 end as integer) as "numKilledTasks",
-        case when o_orderpriority <> '5-LOW' then {_AT.format(f'{_ORDER_MS} + attempt * 1000')} end as "submissionTime",
+        case when submitted then {_AT.format(f'{_ORDER_MS} + attempt * 1000')} end as "submissionTime",
         case when attempt = 0 then {_AT.format('first')} end as "firstTaskLaunchedTime",
-        case when o_orderpriority <> '5-LOW' then {_AT.format(f'{_END_MS} + attempt * 1000')} end as "completionTime",
+        case when not unfinished then {_AT.format(f'{_END_MS} + attempt * 1000')} end as "completionTime",
         {_STAGE_NAME} as name,
-        case when o_orderpriority <> '5-LOW' then o_custkey || ',' || o_orderkey else '' end as "rddIds",
-        cast(case when attempt = 0 then coalesce(seen, 0) else 0 end as integer) as "numSeenTasks"
-    from orders cross join (select unnest([0, 1]) as attempt) left join ({_TASK_COUNTS}) on l_orderkey = o_orderkey
-    where attempt = 0 or (o_orderstatus = 'F' and o_orderpriority <> '5-LOW')"""
+        case when submitted then o_custkey || ',' || o_orderkey else '' end as "rddIds",
+        cast(n_seen as integer) as "numSeenTasks"
+    from base"""
 _TASKS = f"""
-    select {_RUN.format('l_orderkey')} as app_id, l_orderkey as "stageId", 0::integer as "attemptId",
+    select distinct {_RUN.format('l_orderkey')} as app_id, l_orderkey as "stageId", 0::integer as "attemptId",
         0::integer as "taskAttempt", cast(floor(l_extendedprice) as bigint) as "taskDuration",
         cast(l_suppkey as varchar) as "taskExecutorId", l_linenumber as "taskIndex",
         {_AT.format(_SHIP_MS)} as "taskLaunchTime", l_partkey as "taskId",
         cast(floor(l_quantity) as bigint) as "executorDeserializeTime",
         l_returnflag = 'R' as failed, l_returnflag = 'A' and l_linestatus = 'O' as killed
-    from lineitem"""
+    from lineitem where l_linenumber < 6"""
 _MINUTES = "floor((epoch_us({1}) - epoch_us({0})) / 1000000) / 60"
 _TC_STAGE = f"""
     select app_id, "stageId", {_MINUTES.format('"firstTaskLaunchedTime"', '"completionTime"')} as "tcMinStage"
@@ -150,6 +155,29 @@ _X = f"({_uniform('o_orderkey', 'poly42', 0)} * 10)"
 _CLUSTER = f"cast(floor({_uniform('o_orderkey', 'point42', 0)} * 55) as integer)"
 
 ORACLES: dict[str, str] = {
+    "app_duration_of_one": """
+        select 'customer-7' as app_id, coalesce(max(case when c_mktsegment <> 'MACHINERY' then
+            cast(round(abs(c_acctbal) * 100) as bigint) end), 0) as duration_ms
+        from customer where c_custkey = 7""",
+    "corpus_ids": """
+        select count(*) as n_ids, count(*) as n_distinct from (select unnest(string_split(text, chr(10))) from documents)""",
+    "sample_fraction": "select count(*) > 0 as near_share, true as repeatable, true as part_of_rows from lineitem",
+    "stopword_list": "select lang as word from documents union select source from documents",
+    "drop_listed_words": """
+        select token, count(*) as n from (select unnest(string_split(text, ' ')) as token from documents)
+        where token <> '' and lower(token) not in (select lower(unnest(string_split(text, ' '))) from benchmark) group by 1""",
+    "missing_source": "select count(*) as n_lines, count(n_name) as n_values from nation",
+    "numeric_columns": "select o_orderkey, o_totalprice from orders",
+    "gbt_steps": """
+        select l_orderkey, l_linenumber, cast(l_linenumber * l_linenumber as double) as label,
+            cast(l_linenumber * l_linenumber as double) as prediction
+        from lineitem where l_orderkey % 10 >= 7""",
+    "model_description": """
+        select 100::integer as trees, true as same, count(*) as n_rows from lineitem where l_orderkey % 10 >= 7""",
+    "kmeans_groups": """
+        with p as (select l_suppkey % 4 as g, l_quantity / 50 as x from lineitem),
+        m as (select g, avg(x) as c from p group by 1)
+        select count(*) as size, round(sum((x - c) * (x - c)), 4) as cost from p join m using (g) group by g""",
     "top_orders": _TOP_ORDERS,
     "top_orders_checkpoint": _TOP_ORDERS,
     "order_totals": _TOTALS,
@@ -196,8 +224,8 @@ ORACLES: dict[str, str] = {
     "run_report": f"""
         with s as ({_STAGES}), t as (select distinct * exclude ("executorDeserializeTime", failed, killed) from ({_TASKS})),
         tc as ({_TC_STAGE})
-        select s.app_id, status, s."stageId", s."attemptId", "numTasks", "numCompleteTasks", "numFailedTasks",
-            "numKilledTasks", "submissionTime", "firstTaskLaunchedTime", "completionTime", name, "taskAttempt",
+        select s.app_id, status, s."stageId", s."attemptId", "numTasks", "numActiveTasks", "numCompleteTasks", "numFailedTasks",
+            "numKilledTasks", "submissionTime", "firstTaskLaunchedTime", "completionTime", name, "rddIds", "taskAttempt",
             "taskDuration", "taskExecutorId", "taskIndex", "taskLaunchTime", "taskId",
             round("tcMinStage", 6) as "tcMinStage", round("tcMinStage" / "numTasks", 6) as "tcMinTask"
         from s left join t on t."stageId" = s."stageId" and t."attemptId" = s."attemptId"
@@ -390,7 +418,7 @@ ORACLES: dict[str, str] = {
     "vocabulary": f"{_VOCABULARY} order by n_tokens desc, term limit 10000",
     "corpus_counts": f"""
         select (select count(*) from documents) as n_docs, (select count(*) from ({_KEPT})) as n_tokens,
-            (select cast(sum(n_docs) as bigint) from ({_VOCABULARY} order by n_tokens desc, term limit 1000)) as n_pairs""",
+            (select cast(sum(n_docs) as bigint) from ({_VOCABULARY} order by n_tokens desc, term limit 10000)) as n_pairs""",
     "split_by_key": """
         select o_orderkey, cast(case when o_orderkey % 100 < 50 then 0 when o_orderkey % 100 < 75 then 1 else 2 end
             as integer) as part

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,15 +22,17 @@ SETTINGS = {
 }
 
 
-def sized_settings(input_bytes: int, shuffled_share: float = 0.25) -> dict[str, str]:
+def sized_settings(
+    input_bytes: int, shuffled_share: float = 0.25, max_split_mb: int = 512, max_partitions: int = 200_000
+) -> dict[str, str]:
     """Split and shuffle sizes for an input of that many bytes, to pass to `build_session`.
 
-    Splits of 128 MB, growing to 512 MB where that keeps a scan near 200,000 tasks. Enough shuffle partitions for
-    `shuffled_share` of the input in pieces of 128 MB, at most 50,000; adaptive execution merges what is too small.
+    Splits of 128 MB, growing to `max_split_mb` where that keeps a scan near 200,000 tasks. Enough shuffle partitions for
+    `shuffled_share` of the input in pieces of 128 MB, at most `max_partitions`; adaptive execution merges what is too small.
     """
     mb = 1 << 20
-    split = min(max(128, math.ceil(input_bytes / 200_000 / mb)), 512)
-    parts = min(max(200, math.ceil(input_bytes * shuffled_share / (128 * mb))), 50_000)
+    split = min(max(128, math.ceil(input_bytes / 200_000 / mb)), max_split_mb)
+    parts = min(max(200, math.ceil(input_bytes * shuffled_share / (128 * mb))), max_partitions)
     return {"spark.sql.files.maxPartitionBytes": f"{split}m", "spark.sql.shuffle.partitions": str(parts)}
 
 
@@ -38,19 +43,22 @@ def build_session(app_name: str = "millrace", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and stored tables, and make `checkpoint()` use it.
 
-    Taken from `spark.checkpoint.dir`. Where that is unset a local session gets a new folder under the
-    system's temporary folder; a cluster session is refused, since its executors share no such folder.
+    Taken from `spark.checkpoint.dir`; a `file:` folder given there must be one that all machines mount. Where it is
+    unset a session in one process gets a new folder under the system's temporary folder; any other is refused, since
+    its executors share no such folder.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
     if not context.getCheckpointDir():
@@ -63,6 +71,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._millrace_shipped = True
+
+
 def store(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 

@@ -75,15 +75,17 @@ def _chunks_of_lines(stream: pa.NativeFile, file: str, limit: int = 2_000, size:
             lines = []
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, folder_key: str | None = None) -> DataFrame:
     """Event-log lines with their application: app_id, value. No lines and a warning if nothing is there.
 
     The application is taken from the file's name (`<app>[.inprogress]`), or for a rolling log from its
-    `events_<n>_<app>` part. Plain files are split and read by line. Files compressed as Spark does by default
+    `events_<n>_<app>` part; with a `folder_key`, for logs collected by Spark, from the folder `<key>=<app>`. Plain files are split and read by line. Files compressed as Spark does by default
     (`.zstd`, which its text reader does not know) are opened whole, one task per file; rolling keeps them small, and a
     file of 2 GB or more is refused. So are files of the codecs that can't be read here (lz4, lzf, snappy).
     """
     def app_id(name: Column) -> Column:
+        if folder_key:
+            return F.regexp_extract("_metadata.file_path", f"/{folder_key}=([^/]+)/", 1).alias("app_id")
         return F.regexp_extract(name, r"^(?:events_\d+_)?([^.]+)", 1).alias("app_id")
 
     def read() -> DataFrame:

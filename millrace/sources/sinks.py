@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.ordering import number_rows
+from millrace.session import path_exists
 
 # Fixed value: times in run tables, as the history server writes them.
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'"
 
 
+# Fixed value: the layout of the folders of run tables.
 def run_table_path(root: str, mode: str, workload: str, app_id: str, checkpoint: bool) -> str:
     return f"{root}/output/{mode}/{workload}/{app_id}_{'checkpoint' if checkpoint else 'normal'}.csv"
 
@@ -49,10 +51,8 @@ def write_scored(df: DataFrame, path: str, files: int | None = None) -> str:
 
 
 def load_or_fit(load: Callable[[str], MLWritable], fit: Callable[[], MLWritable], path: str) -> MLWritable:
-    """The model saved at `path`; fitted and saved there first if there is none."""
-    spark = SparkSession.getActiveSession()
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    """The model saved at `path`; fitted and saved there first if there is no whole one."""
+    if path_exists(SparkSession.getActiveSession(), f"{path}/metadata/_SUCCESS"):
         return load(path)
     model = fit()
     model.write().overwrite().save(path)

@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.session import path_exists
 from millrace.sources import schemas
 
 logger = logging.getLogger(__name__)
 
-# A stop-word list is handed to every task, so its size is checked before it is collected.
-MAX_STOPWORDS = 200_000
-
 
 def read_delimited(spark: SparkSession, path: str, schema: str | StructType, sep: str = "|") -> DataFrame:
     """Delimited text without header under a declared schema.
@@ -106,25 +104,33 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
 
 
-def read_stopwords(spark: SparkSession, path: str) -> list[str]:
-    """The words of a stop-word file, in sorted order."""
-    words = (
+def stopword_table(spark: SparkSession, path: str) -> DataFrame:
+    """The distinct words of a stop-word file, however many, as `word`."""
+    return (
         spark.read.text(path)
         .select(F.explode(F.split("value", r"\s+")).alias("word"))
-        .filter(F.col("word") != "").distinct().limit(MAX_STOPWORDS + 1).collect()
+        .filter(F.col("word") != "").distinct()
     )
-    if len(words) > MAX_STOPWORDS:
-        raise ValueError(f"{path} holds more than {MAX_STOPWORDS} words; that is no stop-word list")
+
+
+def read_stopwords(spark: SparkSession, path: str, limit: int = 200_000) -> list[str]:
+    """The words of a stop-word file, in sorted order, to hand to every task.
+
+    A file of more than `limit` words is refused; `stopword_table` takes any, for `text.drop_words`.
+    """
+    words = stopword_table(spark, path).limit(limit + 1).collect()
+    if len(words) > limit:
+        raise ValueError(f"{path} holds more than {limit} words; read it with stopword_table")
     return sorted(row.word for row in words)
 
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table stored at `path`; computed and stored there first if it is not there yet."""
-    try:
+    """The table stored at `path`; computed and stored there first if it is not there yet.
+
+    Only a folder with the marker of a finished write counts; what a failed writer left is replaced.
+    """
+    if path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
     df = compute()
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -154,7 +154,8 @@ def test_sizes_follow_the_input():
 
     small, large = sized_settings(1 << 30), sized_settings(100 << 40)
     assert small == {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.shuffle.partitions": "200"}
-    assert large == {"spark.sql.files.maxPartitionBytes": "512m", "spark.sql.shuffle.partitions": "50000"}
+    assert large == {"spark.sql.files.maxPartitionBytes": "512m", "spark.sql.shuffle.partitions": "200000"}
+    assert sized_settings(100 << 40, max_partitions=9)["spark.sql.shuffle.partitions"] == "9"
 
 
 def test_stored_tables_can_be_dropped(spark):
