@@ -13,6 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import DistributedLDAModel, KMeansModel
 from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.functions import logs
 from millrace.operators import clustering, failures, graph, orders, regression, runs, text
@@ -109,14 +110,27 @@ def failure_study(
 
 def report_run(
     spark: SparkSession, log_path: str, events_path: str, root: str, workload: str, checkpoint: bool,
-    local: bool = True, app_id: str | None = None,
+    local: bool = True, app_id: str | None = None, by_rdd: bool = False, cache: str | None = None,
 ) -> str:
-    """Write the run table of the application that a driver log names; returns its path."""
+    """Write the run table of the application that a driver log names; returns its path.
+
+    Checkpoint times are those of stages, shared by their tasks (`tcMinStage`, `tcMinTask`), or with `by_rdd` those the
+    driver log gives for the last checkpointed RDD of a task's stage (`rddId`, `tcMs`). With a `cache` folder the parsed
+    event log is kept there, and read from there when it is asked for again.
+    """
+    lines = readers.read_log(spark, log_path)
     if app_id is None:
-        named = logs.log_app_id(readers.read_log(spark, log_path), local).head()
+        named = logs.log_app_id(lines, local).head()
         if named is None:
             raise ValueError(f"{log_path} names no application")
         app_id = named.app_id
-    report = runs.run_report(eventlog.read_events(spark, events_path), app_id).drop("app_id")
+
+    def parse() -> DataFrame:
+        return runs.run_report(eventlog.read_events(spark, events_path), app_id)
+
+    report = (readers.cached(spark, f"{cache}/{app_id}", parse) if cache else parse()).drop("app_id")
+    if by_rdd:
+        times = logs.zip_matches(lines).groupBy("rddId").agg(F.max("tcMs").alias("tcMs"))
+        report = runs.add_tc_by_rdd(report.drop("tcMinStage", "tcMinTask"), times)
     order = ["stageId", "attemptId", "taskIndex", "taskAttempt", "taskId"]
     return sinks.write_run_table(report, root, "local" if local else "cluster", workload, app_id, checkpoint, order)

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +68,29 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses, below the folder of this application."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, below the folder of this application.
+
+    It belongs to the innermost `stored_for` block, which removes it at its end, or else to the application.
+    """
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def stored_for(spark: SparkSession) -> Iterator[None]:
+    """Remove what is stored inside the block at its end. Use results before that, or write them elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete_path(spark, path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -76,6 +98,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, so that their Python workers can import it."""
     context = spark.sparkContext
@@ -94,8 +121,8 @@ def store(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write `df` as a parquet table in the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, but stays columnar: a later reader fetches only the columns it
-    needs. Every reader sees the same rows, also after executors are lost. Like checkpoints, stored tables
-    stay until they are removed, see `drop_stored`.
+    needs. Every reader sees the same rows, also after executors are lost. Stored tables go at the end of the
+    `stored_for` block they were made in, or else stay until `drop_stored`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -105,8 +132,7 @@ def store(df: DataFrame, label: str = "stored") -> DataFrame:
 
 def drop_stored(spark: SparkSession) -> None:
     """Delete all tables this application has stored; frames that still read one fail afterwards."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -167,3 +167,20 @@ def test_stored_tables_can_be_dropped(spark):
     with pytest.raises(Exception):
         store(spark.range(3), "short").unionAll(table).collect()
     assert store(spark.range(3), "short").count() == 3
+
+
+def test_a_block_removes_what_it_stored(spark):
+    from millrace.session import path_exists, scratch_path, store, stored_for
+
+    with stored_for(spark):
+        path = scratch_path(spark, "own")
+        spark.range(3).write.parquet(path)
+        assert store(spark.range(4)).count() == 4
+    assert not path_exists(spark, path)
+
+
+def test_a_folder_of_a_failed_writer_is_no_cache(spark, folder):
+    spark.range(2).write.parquet(f"{folder}/kept")
+    os.remove(f"{folder}/kept/_SUCCESS")
+    assert text.cached(spark, f"{folder}/kept", lambda: spark.range(5)).count() == 5
+    assert text.cached(spark, f"{folder}/kept", lambda: spark.range(7)).count() == 5

@@ -92,3 +92,23 @@ def test_run_table_of_an_application(spark, folder):
     assert typed[0].submissionTime is not None and typed[0].taskDuration == 50_000
     with pytest.raises(ValueError):
         workloads.report_run(spark, f"{folder}/none.log", folder_events, folder, "Analytics", True)
+
+
+def test_run_table_by_rdd_and_from_the_cache(spark, folder):
+    name = "local-78"
+    info = {"Stage ID": 0, "Stage Attempt ID": 0, "Stage Name": "checkpoint at A", "Number of Tasks": 1,
+            "RDD Info": [{"RDD ID": 5}, {"RDD ID": 3}], "Submission Time": 1_632_900_000_000, "Completion Time": 1_632_900_090_000}
+    task = {"Task ID": 1, "Index": 0, "Attempt": 0, "Launch Time": 1_632_900_000_000, "Executor ID": "driver",
+            "Finish Time": 1_632_900_050_000, "Failed": False, "Killed": False}
+    os.mkdir(f"{folder}/events")
+    write(f"{folder}/events/{name}", "\n".join(line for _, line in (
+        event("StageCompleted", Stage_Info=info), event("TaskEnd", Stage_ID=0, Stage_Attempt_ID=0, Task_Info=task))) + "\n")
+    log = write(f"{folder}/app.log", f"INFO logging to /x/{name}.inprogress\nINFO Checkpointing took 120 ms.\n"
+                "INFO Done checkpointing RDD 5 to /c/a, new parent\nINFO Checkpointing took 45 ms.\nINFO Done checkpointing RDD 9 to /c/b\n")
+    arguments = dict(by_rdd=True, cache=f"{folder}/cache")
+    path = workloads.report_run(spark, log, f"{folder}/events", f"{folder}/first", "Analytics", True, **arguments)
+    row = cast_run_table(readers.read_run_table(spark, path)).head()
+    assert (row.rddId, row.tcMs, row.rddIds) == (5, 120.0, [5, 3])
+    os.remove(f"{folder}/events/{name}")
+    again = workloads.report_run(spark, log, f"{folder}/events", f"{folder}/second", "Analytics", True, **arguments)
+    assert cast_run_table(readers.read_run_table(spark, again)).head() == row
