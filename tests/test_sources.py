@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import logging
+import os
 
 import pytest
 from pyspark.ml.clustering import KMeansModel
