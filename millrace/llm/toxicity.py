@@ -28,6 +28,7 @@ GRAMS, BIN_BITS = (4, 5, 6, 7, 8, 10), 20
 #: Labelled texts the model is fitted on, and bins it weighs.
 MAX_TRAIN, MAX_FEATURES = 20_000, 8_192
 FOLDS, STEPS, PENALTY = 5, 300, 1e-4
+SLICES = 32
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -53,19 +54,29 @@ def _grams(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield bins[inside], np.flatnonzero(inside)
 
 
-def _present(texts: Texts, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bin) of the bins that each text has, each once; of those marked in `wanted`, if given."""
+def _present(texts: Texts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bin) of the bins marked in `wanted` that each text has, each once."""
     found = [np.zeros(0, dtype=np.int64)]
-    owner = np.repeat(np.arange(texts.n), np.diff(texts.bounds))
     for bins, at in _grams(texts):
-        if wanted is not None:
-            kept = wanted[bins]
-            bins, at = bins[kept], at[kept]
-        found.append(np.unique(owner[at] << BIN_BITS | bins))
+        kept = wanted[bins]
+        owner = np.searchsorted(texts.bounds, at[kept], side="right") - 1
+        found.append(owner << BIN_BITS | bins[kept])
     both = np.unique(np.concatenate(found))
     return both >> BIN_BITS, both & ((1 << BIN_BITS) - 1)
 
 
+def _counts(texts: Texts, toxic: np.ndarray, counts: np.ndarray) -> None:
+    """Add to `counts` (a row for clean texts, one for toxic ones) the bins that each text has."""
+    sized = [(bins.astype(np.int32), np.searchsorted(at, texts.bounds)) for bins, at in _grams(texts)]
+    seen = np.zeros(1 << BIN_BITS, dtype=bool)
+    for i in range(texts.n):
+        for bins, cuts in sized:
+            seen[bins[cuts[i]:cuts[i + 1]]] = True
+        has = np.flatnonzero(seen)
+        counts[int(toxic[i]), has] += 1
+        seen[has] = False
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # By bin; zero for bins that are not weighed.
@@ -116,19 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
         return Model(np.zeros(1 << BIN_BITS), float(np.log((toxic + 0.5) / (clean + 0.5))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, 1 << BIN_BITS), dtype=np.int64)
+        both = np.zeros((2, 1 << BIN_BITS), dtype=np.int32)
         for part, texts in pieces(batches):
-            text, bins = _present(texts)
-            label = part.column("toxic").to_numpy(zero_copy_only=False) == 1
-            for side in (0, 1):
-                both[side] += np.bincount(bins[label[text] == side], minlength=1 << BIN_BITS)
-        seen = np.flatnonzero(both.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, both[0, seen], both[1, seen])], ["bin", "clean", "toxic"])
-
-    # At most a row for each bin comes to the driver.
-    table = rows.mapInArrow(count, "bin long, clean long, toxic long").groupBy("bin").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
-    bins, with_toxic, with_clean = (table[c].to_numpy() for c in ("bin", "toxic", "clean"))
+            _counts(texts, part.column("toxic").to_numpy(zero_copy_only=False) == 1, both)
+        if both.any():
+            parts = both.reshape(2, SLICES, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), pa.array([parts[:, i].tobytes() for i in range(SLICES)])], ["slice", "counts"])
+
+    # The sample is bounded, and so are the rows of a slice; all slices together are two counts for each bin.
+    table = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
+    total = np.stack([np.frombuffer(x, np.int32).reshape(2, -1) for x in table.orderBy("slice").toArrow()["counts"].to_pylist()])
+    both = total.transpose(1, 0, 2).reshape(2, -1)
+    bins = np.flatnonzero(both.any(axis=0))
+    with_clean, with_toxic = both[0, bins].astype(float), both[1, bins].astype(float)
     ratio = np.log((with_toxic + 0.5) / (toxic + 1)) - np.log((with_clean + 0.5) / (clean + 1))
     sureness = np.abs(ratio) / np.sqrt(1 / (with_toxic + 0.5) + 1 / (with_clean + 0.5))
     best = np.lexsort((bins, -sureness))[:MAX_FEATURES]
@@ -152,6 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     return Model(weights * scale, intercept)
 
 
+def _add(key: tuple, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"])
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.int32).tobytes()])})
+
+
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = fit(docs, labels, limit)
