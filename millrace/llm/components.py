@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import scratch_path
+from millrace.session import delete_path, scratch_path
 
 
 class Scratch:
@@ -26,34 +23,31 @@ class Scratch:
 
     def drop(self, *stored: DataFrame) -> None:
         for df in stored:
-            path, _ = self.paths.pop(id(df))
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession, label: str) -> Iterator[Scratch]:
-    """Tables for the length of a block; those still held at its end are kept, as the result may read them."""
-    yield Scratch(spark, label)
+            delete_path(self.spark, self.paths.pop(id(df))[0])
 
 
 def components(edges: DataFrame, room: Scratch) -> DataFrame:
     """node, component for every node of `edges` (a, b); a component is named by its smallest node.
 
-    Every round gives a node the smallest name among its neighbours' and then its name's name, so long chains shrink
-    by half. Rounds end when no name changes. A hot node is only ever a group that is reduced by minimum.
+    In every round a node takes the smallest of itself and its neighbours as its parent, and then its parent's parent.
+    Edges are redrawn between parents; those inside one parent go, so what is left shrinks from round to round until no
+    edge is left. A hot node is only ever a group that is reduced by minimum.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.filter("a <> b")
-    names = room.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("name")).withColumnRenamed("a", "node"))
-    while True:
-        seen = both.join(names, both["b"] == names["node"]).groupBy(both["a"].alias("node")).agg(F.min("name").alias("seen"))
-        step = names.join(seen, "node").select("node", F.col("name").alias("old"), F.least("name", "seen").alias("name"))
-        jump = step.select(F.col("node").alias("name"), F.col("name").alias("further"))
-        # A name is itself a node, and its own name is never larger.
-        moved = room.store(step.join(jump, "name", "left").select(
-            "node", "old", F.least("name", F.coalesce("further", "name")).alias("name")))
-        room.drop(names)
-        names = moved
-        if moved.filter("old <> name").isEmpty():
-            return moved.select("node", F.col("name").alias("component"))
+    def drawn(a: str, b: str):
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+    live = room.store(edges.select(*drawn("a", "b")).filter("a <> b").distinct())
+    names = room.store(live.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    while not live.isEmpty():
+        both = live.union(live.select("b", "a")).toDF("node", "other")
+        parents = both.groupBy("node").agg(F.least("node", F.min("other")).alias("parent"))
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        parents = room.store(parents.join(above, "parent").select("node", F.col("further").alias("parent")))
+        renamed = room.store(names.join(parents.withColumnRenamed("node", "component"), "component", "left").select(
+            "node", F.coalesce("parent", "component").alias("component")))
+        redrawn = live.join(parents.toDF("a", "pa"), "a").join(parents.toDF("b", "pb"), "b").filter("pa <> pb")
+        redrawn = room.store(redrawn.select(*drawn("pa", "pb")).distinct())
+        room.drop(live, names, parents)
+        live, names = redrawn, renamed
+    room.drop(live)
+    return names

@@ -249,8 +249,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     more = room.store(meetings.groupBy("bucket", "low", "high").applyInArrow(
         _block_links(least, low, BAND, SHINGLE), "a binary, b binary"))
     if not more.isEmpty():
-        links = room.store(links.union(more).distinct())
-        found = components(links, room)
+        # What is connected already enters as one edge for each node.
+        found = components(found.toDF("a", "b").union(more), room)
+        links = links.union(more).distinct()
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     named = nodes.join(found, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
