@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import LOWER, SPACE, Texts, blobs, joined
+from millrace.llm.words import SPACE, Texts, blobs, joined
 
 GROUP_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 2

@@ -57,9 +57,8 @@ class _Group:
     """The words of a group of documents, and the windows a level asks about."""
 
     def __init__(self, table: pa.Table):
-        self.table = table.combine_chunks()
-        batch = self.table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
-        self.batch = batch
+        table = table.combine_chunks()
+        self.batch = batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
         docs = batch.column("doc_id").cast(pa.int64())
         self.known = docs.is_valid().to_numpy(zero_copy_only=False)
         self.docs = docs.fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
@@ -219,7 +218,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> Da
     columns = docs.columns
 
     def finish(group: _Group, covered: np.ndarray) -> pa.Table:
-        data, bounds, out = group.texts.data.tobytes(), group.texts.bounds, []
+        data, bounds = group.texts.data.tobytes(), group.texts.bounds
         edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
         text_of = group.words.text
         texts: dict[int, list[tuple[int, int]]] = {}

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import NEWLINE, SPACE, Texts, mix, pieces, separators, sum_by
+from millrace.llm.words import NEWLINE, SPACE, Texts, mix, pieces, sum_by
 
 GRAM, BIN_BITS = 4, 16
 BINS = 1 << BIN_BITS
