@@ -136,8 +136,13 @@ def encode(documents: list[np.ndarray], code: np.ndarray, length: np.ndarray) ->
 
 def decode(payload: bytes | pa.Buffer, checkpoints: np.ndarray, sizes: np.ndarray, bits: int, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All ids of a block, document after document, from the bit offset of every checkpoint."""
-    raw = np.concatenate([np.frombuffer(payload, dtype=np.uint8), np.zeros(5, dtype=np.uint8)]).astype(np.uint64)
-    window = (raw[:-4] << np.uint64(32)) | (raw[1:-3] << np.uint64(24)) | (raw[2:-2] << np.uint64(16)) | (raw[3:-1] << np.uint64(8)) | raw[4:]
+    raw = np.concatenate([np.frombuffer(payload, dtype=np.uint8), np.zeros(5, dtype=np.uint8)])
+    # At every byte, the next bytes that a code beginning in it may reach.
+    reach = (bits + 14) // 8
+    kind = np.uint32 if reach <= 4 else np.uint64
+    window = np.zeros(len(raw) - reach + 1, dtype=kind)
+    for i in range(reach):
+        window |= raw[i:len(raw) - reach + 1 + i].astype(kind) << kind(8 * (reach - 1 - i))
     runs = -(-sizes // CHECKPOINT)
     want = np.full(int(runs.sum()), CHECKPOINT)
     want[np.cumsum(runs) - 1] = sizes - (runs - 1) * CHECKPOINT
@@ -145,11 +150,11 @@ def decode(payload: bytes | pa.Buffer, checkpoints: np.ndarray, sizes: np.ndarra
     ids, at = np.zeros(int(sizes.sum()), dtype="<u4"), checkpoints.astype(np.int64)
     order = np.argsort(-want, kind="stable")  # Runs that end early drop off the end.
     at, start, want = at[order], start[order], want[order]
-    mask = np.uint64((1 << bits) - 1)
+    mask = kind((1 << bits) - 1)
     for i in range(int(want.max(initial=0))):
         n = int(np.searchsorted(-want, -i, side="left"))
         at, start, want = at[:n], start[:n], want[:n]
-        peek = (window[at >> 3] >> (np.uint64(40 - bits) - (at & 7).astype(np.uint64))) & mask
+        peek = (window[at >> 3] >> (8 * reach - bits - (at & 7)).astype(kind)) & mask
         ids[start + i] = symbol[peek]
         at = at + length[peek]
     return ids

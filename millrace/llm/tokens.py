@@ -2,8 +2,9 @@
 
 Neither kind of vocabulary has a token that goes on from a non-blank to a blank, or from a letter to an ASCII mark: their
 patterns split there, and the normal forms they use don't join characters across it. So a text's ids are those of its
-stretches in order, and stretches come again and again. A worker keeps the ids of the stretches it has seen, at most
-`MAX_KEPT` of them. A new stretch of Latin letters alone goes straight to the vocabulary's model, as its pattern would
+stretches in order, and stretches come again and again. A worker keeps the ids of the stretches it has seen, in two
+lists of some `MAX_KEPT`: when the newer one is full it takes the place of the older one, out of which what comes again
+moves over. A new stretch of Latin letters alone goes straight to the vocabulary's model, as its pattern would
 leave it whole; all other new ones take the library's whole way. Which of two spellings the model wants (leading blank
 kept, or dropped with letters lowered) is probed once; if neither gives the library's ids, all stretches go the whole way.
 """
@@ -59,6 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Blanks go with what follows them, as some patterns join one to the next word; the rest end a text.
         self.stretch = re.compile(f"[{BLANKS}]*(?:[{LETTERS}]+(?=[{BLANKS}{MARKS}]|\\Z)|[^{BLANKS}]+)|[{BLANKS}]+")
         self.simple = re.compile(f" ?[{LETTERS}]+").fullmatch
@@ -73,8 +75,11 @@ class Encoder:
         """For each text its ids and then the id `end`, as little-endian unsigned 32-bit integers."""
         parts = [self.stretch.findall(text) for text in texts]
         if len(self.kept) > MAX_KEPT:
-            self.kept.clear()
-        new = list(set().union(*parts).difference(self.kept)) if parts else []
+            self.kept, self.older = {}, self.kept
+        unknown = set().union(*parts).difference(self.kept)
+        again = unknown.intersection(self.older)
+        self.kept.update((text, self.older[text]) for text in again)
+        new = list(unknown - again)
         if self.spelling:
             model, spelling = self.tokenizer.model, self.spelling
             for text in filter(self.simple, new):
