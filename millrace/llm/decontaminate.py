@@ -8,7 +8,8 @@ then compared word by word with the document, so matches are exact.
 
 All steps are DataFrame expressions. Benchmark tables are broadcast only while they are small (`MAX_BROADCAST` rows),
 else joined by key. Null and empty texts have no words: they count 0 and match nothing. Items without an id or without
-words are left out. Repeated rows are each reported; repeated items count once. A null doc_id is a document like others.
+words are left out. Repeated rows are each reported; repeated items count once. Postings are kept by a hash of doc_id and
+text, so that rows that share an id, or have none, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -95,17 +96,22 @@ def proximity(index: DataFrame, items: DataFrame, rarest: DataFrame, within: int
     return near.select("item", "doc_id").union(lone).join(items.select("item", "item_id"), "item").select("item_id", "doc_id").distinct()
 
 
+def row_key() -> Column:
+    """A key that only rows equal in doc_id and text share."""
+    return F.xxhash64("doc_id", "text")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, hits (array of item_id, item_start, pos: words pos.. of the document equal item_start.. of the
+    """key, doc_id, n_words, hits (array of item_id, item_start, pos: words pos.. of the document equal item_start.. of the
     item), spans, near (number of items with a proximity match) for every document."""
     room = Scratch(docs.sparkSession, "index")
     items = room.store(items_of(benchmark))
-    index = build_index(docs, items, room)
+    index = build_index(docs.select(row_key().alias("doc_id"), "text"), items, room)
     picks, rarest = rare_terms(index, items, room)
     found = diagonals(index, picks).join(small(items), "item").groupBy(F.col("doc_id").alias("in_doc")).agg(
         F.collect_list(F.struct("item_id", "words", "width", "diagonal")).alias("found"))
     near = proximity(index, items, rarest).groupBy(F.col("doc_id").alias("near_doc")).agg(F.count(F.lit(1)).alias("near"))
-    found = found.join(near, F.col("in_doc").eqNullSafe(F.col("near_doc")), "full").select(
+    found = found.join(near, F.col("in_doc") == F.col("near_doc"), "full").select(
         F.coalesce("in_doc", "near_doc").alias("in_doc"), "found", "near")
 
     def starts(candidate: Column) -> Column:
@@ -115,14 +121,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.filter(places, lambda i: F.slice(F.col("doc_words"), candidate["diagonal"] + i + 1, candidate["width"])
                         == F.slice(candidate["words"], i + 1, candidate["width"]))
 
-    with_words = docs.select("doc_id", words_of(F.col("text")).alias("doc_words"))
-    joined = with_words.join(found, F.col("doc_id").eqNullSafe(F.col("in_doc")), "left")
+    with_words = docs.select(row_key().alias("key"), "doc_id", words_of(F.col("text")).alias("doc_words"))
+    joined = with_words.join(found, F.col("key") == F.col("in_doc"), "left")
     hits = F.filter(
         F.transform(F.col("found"), lambda c: F.struct(
             c["item_id"].alias("item_id"), c["width"].alias("width"), c["diagonal"].alias("diagonal"), starts(c).alias("starts"))),
         lambda h: F.size(h["starts"]) > 0)
     return joined.select(
-        "doc_id", F.size("doc_words").cast("long").alias("n_words"),
+        "key", "doc_id", F.size("doc_words").cast("long").alias("n_words"),
         F.coalesce(hits, F.array()).alias("hits"), F.coalesce("near", F.lit(0)).alias("near"))
 
 
@@ -143,6 +149,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without those documents that hold an item's window."""
-    dirty = report(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("__dirty")), "left_anti")
+    """The rows of `docs`, all columns, without those whose own text holds an item's window."""
+    dirty = matches(docs, benchmark).filter(F.size("hits") > 0).select(F.col("key").alias("__dirty")).distinct()
+    return docs.join(dirty, row_key() == F.col("__dirty"), "left_anti")

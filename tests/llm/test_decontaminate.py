@@ -65,6 +65,16 @@ def test_large_benchmarks_are_joined_without_a_broadcast(spark, awkward, awkward
     assert sorted(map(tuple, got), key=str) == brute(awkward_rows, [x for x in items if x[0] is not None])
 
 
+def test_rows_that_share_an_id_are_judged_each_by_its_own_text(spark):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, f"so {leak} on"), (None, "a clean text"), (None, "another"), (5, leak), (5, "clean too"), (6, "clean"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    near = {(r["doc_id"], r["n_words"]): r["n_near"] for r in decontaminate.report(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()}
+    assert near[None, 12] == 1 and near[None, 3] == 0 and near[5, 2] == 0
+
+
 def test_proximity(spark):
     filler = " ".join(["and"] * 30)
     docs = spark.createDataFrame([
