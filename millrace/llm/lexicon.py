@@ -1,6 +1,6 @@
 """How often every token of a corpus occurs in its training part, told to the groups of documents that hold it.
 
-Documents are dealt into groups by a hash of doc_id. A group asks about each of its distinct tokens once, in buckets by
+Documents are dealt into groups by a hash of the row. A group asks about each of its distinct tokens once, in buckets by
 token hash; a bucket adds the counts up and answers each group in the order it asked. A token that every document has is
 one row per group, and no list of all tokens is ever in one place.
 """
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.groups import dealt
 from millrace.llm.words import SPACE, Texts, blobs, joined
 
 GROUP_BYTES = 8 << 20
@@ -28,9 +29,8 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """`docs` with the number of their group, `part`."""
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // GROUP_BYTES)))))
+    """`docs` with the number of their group, `part`, and of the rows each stands for, `copies`."""
+    return dealt(docs, GROUP_BYTES, "part", "copies")
 
 
 def distinct(hashes: np.ndarray, counted: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,18 +43,23 @@ def distinct(hashes: np.ndarray, counted: np.ndarray, buckets: int) -> tuple[np.
     return known[order], count[order], names, np.append(cuts, len(known)).astype(np.int64)
 
 
+def trained(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """How many training documents each row is."""
+    return np.where(table["held_out"].to_numpy(zero_copy_only=False), 0, table["copies"].to_numpy(zero_copy_only=False))
+
+
 def ask(texts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, part, tokens, counts: a row for each bucket a group has tokens in. `texts` has part, text, held_out."""
+    """bucket, part, tokens, counts: a row for each bucket a group has tokens in. `texts` has part, text, held_out, copies."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         found = Texts(table["text"].combine_chunks())
         text, hashes = tokens(found)
-        train = ~table["held_out"].to_numpy(zero_copy_only=False)
+        train = trained(table)
         known, count, names, cuts = distinct(hashes, train[text], buckets)
         return pa.table({"bucket": pa.array(names), "part": pa.array(np.full(len(names), key[0].as_py())),
                          "tokens": blobs(known, cuts), "counts": blobs(count, cuts)})
 
-    return texts.select("part", "text", "held_out").groupBy("part").applyInArrow(work, "bucket long, part long, tokens binary, counts binary")
+    return texts.select("part", "text", "held_out", "copies").groupBy("part").applyInArrow(work, "bucket long, part long, tokens binary, counts binary")
 
 
 def answer(asked: DataFrame, top: int, rare: int) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import lexicon
 from millrace.llm.components import Scratch
+from millrace.llm.groups import repeated
 from millrace.llm.toxicity import fold
 from millrace.llm.words import Texts, joined, mix, pieces
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, found: Units, rounds: int = ROUNDS) -> dict[str, np.n
     """Weights trained on `docs` (doc_id, text), every document in one of the rounds."""
     weights = start_weights(found)
     for turn in range(rounds):
-        some = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(rounds)) == turn)
+        some = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn)
         changes = some.select("text").mapInArrow(_trainer(weights, found), "slice int, seen double, change binary")
         # In two steps, so that no task adds up what all partitions send.
         lanes = changes.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
@@ -218,7 +219,7 @@ def score(docs: DataFrame) -> DataFrame:
     def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
-        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        train = lexicon.trained(batch)
         text, hashes = lexicon.tokens(Texts(batch.column("text")))
         # The same tokens in the same order as when they were asked about.
         known, _, names, cuts = lexicon.distinct(hashes, train[text], buckets)
@@ -238,8 +239,8 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table({
             "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.bincount(text, minlength=n)),
             "n_known": pa.array(np.bincount(text, weights=count > 0, minlength=n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model / np.log(10))})
+            "train_tokens": pa.array(np.full(n, total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model / np.log(10)), "copies": batch.column("copies")})
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(work, schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
+    return repeated(texts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(work, schema), "copies")

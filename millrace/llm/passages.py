@@ -6,7 +6,7 @@ for by the smallest hash of the `start`-word windows in it, so a quarter of all
 found in two documents at one level are alone extended to the next: a window there is a candidate only if its two ends
 (which overlap if the length is not doubled in full) both repeat. A level without survivors leaves later ones empty.
 
-Documents are dealt into groups by a hash of doc_id, about GROUP_BYTES of text each. A group asks about each of its
+Rows are dealt into groups by a hash of all their columns, about GROUP_BYTES of text each. A group asks about each of its
 distinct windows once, so a window that every document has is one row per group, not per document. Windows go to
 buckets by hash; a bucket answers which of its windows two documents have, and which document is the first.
 
@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from millrace.llm.groups import dealt, repeated
 from millrace.llm.words import SPACE, Spans, Texts, blobs, joined
 
 LENGTH, START = 13, 7
@@ -32,6 +34,7 @@ GROUP_BYTES = 4 << 20
 #: Buckets of windows for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 
+COPIES = StructField("__copies", LongType())
 _NO_DOC = -(2**63)
 
 
@@ -130,20 +133,17 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     return answers.filter(pa.array(np.diff(cuts) > 0))
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
-    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    return docs.withColumn("__part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-
-
 def finish_repeats(
-    docs: DataFrame, finish: Callable[[_Group, np.ndarray], pa.Table], schema: str, length: int = LENGTH, start: int = START
+    docs: DataFrame, finish: Callable[[_Group, np.ndarray], pa.Table], schema: StructType, length: int = LENGTH, start: int = START
 ) -> DataFrame:
-    """`finish(group, covered)` for every group of documents; `covered` marks the words inside repeated passages."""
+    """`finish(group, covered)` for every group of documents; `covered` marks the words inside repeated passages.
+
+    `finish` gives a row of `schema` for each row of its group, in order.
+    """
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lengths = levels(length, start)
-    texts = _grouped(docs)
+    texts = dealt(docs, GROUP_BYTES, "__part", "__copies")
     grouped = texts.groupBy("__part")
 
     def first_level(key: tuple, table: pa.Table) -> pa.Table:
@@ -181,9 +181,9 @@ def finish_repeats(
         step = np.zeros(len(group.hashes) + 1, dtype=np.int64)
         step[at[found]] += 1
         step[at[found] + length] -= 1
-        return finish(group, np.cumsum(step)[:-1] > 0)
+        return finish(group, np.cumsum(step)[:-1] > 0).append_column("__copies", group.batch.column("__copies"))
 
-    return grouped.cogroup(answered.groupBy("part")).applyInArrow(last, schema)
+    return repeated(grouped.cogroup(answered.groupBy("part")).applyInArrow(last, StructType([*schema, COPIES])), "__copies")
 
 
 def _kept_bytes(group: _Group, covered: np.ndarray, text: int) -> list[tuple[int, int]]:
@@ -205,9 +205,9 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, start: int = START) ->
             "doc_id": group.batch.column("doc_id"), "n_words": pa.array(group.words.counts), "n_removed": pa.array(removed),
             "kept_sha256": pa.array(digests, pa.string())})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return finish_repeats(
-        docs.select("doc_id", "text"), finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string", length, start)
+    schema = StructType([
+        docs.schema["doc_id"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
+    return finish_repeats(docs.select("doc_id", "text"), finish, schema, length, start)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
