@@ -6,9 +6,16 @@ over sums of weights of active features, and the last is the token's smoothed sh
 last unit, the ones two and three back (skips), and the last two together, hashed to rows of weights; class weights have a
 row per feature, unit weights a row per feature and class, and both start from the units' counts.
 
+On top of that model lie the counts of every pair, skip (two apart) and triple of whole tokens in the training part, kept as
+a table by the hash of each, which grows with the corpus and is told to the groups of documents that hold them, as the
+counts of tokens are. Each kind of context c corrects what is below it: (n(c, token) + t(c) P(token)) / (n(c) + t(c)), where
+t counts the different tokens after c (Witten and Bell); the skip first, then the last token, then the last two. So each is a distribution over all tokens if the one below is, and
+word order is learned for every token. A training token's own occurrence is left out of the counts it is scored with.
+
 Training goes over every training document once, in ROUNDS parts. In a round each partition takes gradient steps over its
 tokens from the weights sent to it, and the changes of all partitions are averaged by their tokens. Scoring runs the
-model over batches of tokens. Only tables of fixed size are collected or sent: units, weights, and sums.
+model over batches of tokens. Only tables of fixed size are collected or sent: units, weights, and sums. The weights are of
+fixed size; what grows with the corpus are the counts of tokens, pairs, skips and triples.
 
 `base_score` is the smoothed unigram sum of log10((c + 1) / (N + V + 1)). Null and empty texts are an end alone. Repeated rows
 are documents of their own. Without training documents the units are equally likely.
@@ -28,17 +35,75 @@ from millrace.llm import lexicon
 from millrace.llm.components import Scratch
 from millrace.llm.groups import repeated
 from millrace.llm.toxicity import fold
-from millrace.llm.words import Texts, joined, mix, pieces
+from millrace.llm.words import Texts, mix, pieces
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, MEMBERS, RARE = 24, 24, 64
 #: Rows of weights in each table, tokens of a gradient step, passes over parts of the corpus.
 ROWS, BATCH, ROUNDS, RATE = 1 << 13, 1 << 14, 3, 0.4
 SLICES = 32
+#: Stands for what is before a text.
+START = np.uint64(0x3C79AC492BA7B653)
 
 _SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
 
 
+class Grams:
+    """Keys of the pairs, skips and triples of whole tokens that end at each token, and of their contexts."""
+
+    def __init__(self, text: np.ndarray, hashes: np.ndarray):
+        back = []
+        for i in (1, 2):
+            last = np.full(len(hashes), START, dtype=np.uint64)
+            last[i:] = np.where(text[i:] == text[:-i], hashes[:-i], START)
+            back.append(last)
+        pair = mix(mix(back[0] + _SALTS[0]) + hashes)
+        skip = mix(mix(back[1] + _SALTS[1]) + hashes)
+        both = np.full(len(hashes), mix(mix(np.array([START + _SALTS[0]])) + START)[0], dtype=np.uint64)
+        both[1:] = np.where(text[1:] == text[:-1], pair[:-1], both[:1])
+        triple = mix(mix(both + _SALTS[2]) + hashes)
+        after = mix(back[1] + _SALTS[1])
+        alone = mix(back[0] + _SALTS[0])
+        #: (context, its continuation) by the order in which they correct each other.
+        self.kinds = ((after, skip), (alone, pair), (mix(both + _SALTS[2]), triple))
+        self.keys = np.concatenate([x for kind in self.kinds for x in kind])
+        self.contexts = np.concatenate([context for context, _ in self.kinds])
+
+    def first_seen(self, count: np.ndarray, is_first: np.ndarray) -> np.ndarray:
+        """1 for the one token of each continuation that this group is first with, by the order of `contexts`."""
+        out = np.zeros((len(self.kinds), is_first.shape[1]), dtype=np.int64)
+        for i, (_, gram) in enumerate(self.kinds):
+            at = np.unique(gram, return_index=True)[1]
+            out[i, at] = is_first[2 * i + 1, at] & (count[2 * i + 1, at] > 0)
+        return out.ravel()
+
+    def corrected(self, count: np.ndarray, after: np.ndarray, own: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """P(token | context), given P of the model below, counts of `keys`, different tokens after each context, and 1
+        for each token that is counted itself."""
+        for i in range(len(self.kinds)):
+            context, gram = count[2 * i] - own, count[2 * i + 1] - own
+            others = np.where(own > 0, after[i] - (gram == 0), after[i])
+            p = np.where(context > 0, (gram + others * p) / np.maximum(context + others, 1), p)
+        return p
+
+
+def _grams(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return Grams(text, hashes).keys
+
+
+def _ask_after(texts: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
+    """How many different tokens come after each context: every group tells of those that it is first with."""
+
+    def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        text, hashes = lexicon.tokens(Texts(table["text"].combine_chunks()))
+        found = Grams(text, hashes)
+        shape = (2 * len(found.kinds), len(hashes))
+        count, is_first = (x.reshape(shape) for x in lexicon.told(answers, found.keys, buckets))
+        return lexicon.asked(key[0].as_py(), found.contexts, found.first_seen(count, is_first), buckets)
+
+    return texts.select("part", "text").groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(work, lexicon.ASKED)
+
+
 @dataclass
 class Units:
     """Tokens that are units of their own, by rank, and the counts of all units."""
@@ -214,27 +279,35 @@ def score(docs: DataFrame) -> DataFrame:
     texts = lexicon.grouped(marked)
     answered = Scratch(spark, "lexicon").store(lexicon.answer(lexicon.ask(texts, buckets), CLASSES * MEMBERS, RARE))
     found, total, words = units(answered)
+    grams = Scratch(spark, "grams").store(lexicon.answer_counts(lexicon.ask(texts, buckets, _grams)))
+    after = lexicon.answer_counts(_ask_after(texts, grams, buckets))
     weights = train(marked.filter("NOT held_out").select("doc_id", "text"), found)
 
-    def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+    def work(key: tuple, table: pa.Table, both: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
         train = lexicon.trained(batch)
         text, hashes = lexicon.tokens(Texts(batch.column("text")))
         # The same tokens in the same order as when they were asked about.
-        known, _, names, cuts = lexicon.distinct(hashes, train[text], buckets)
-        count = joined(answers.sort_by("bucket")["counts"], np.int64)
-        order = np.argsort(known)
-        count = count[order][np.searchsorted(known[order], hashes)]
+        answers = [both.filter(pa.array(both["kind"].to_numpy() == i)) for i in range(3)]
+        count, _ = lexicon.told(answers[0], hashes, buckets)
+        following = Grams(text, hashes)
+        of_grams, _ = lexicon.told(answers[1], following.keys, buckets)
+        of_contexts, _ = lexicon.told(answers[2], following.contexts, buckets)
+        shape = (2 * len(following.kinds), len(hashes))
         n = batch.num_rows
         base, model = np.zeros(n), np.zeros(n)
         unit = found.of(hashes)
+        logs = np.zeros(len(unit))
         for at in range(0, len(unit), BATCH):
             # Features look three tokens back.
             low, part = max(0, at - 3), slice(at, at + BATCH)
             rows = features(text[low:at + BATCH], unit[low:at + BATCH])[at - low:]
             log = log_probability(weights, rows, unit[part]) + found.log_share(unit[part], count[part])
-            model += np.bincount(text[part], weights=log, minlength=n)
+            logs[part] = log
+        own = (train > 0)[text].astype(np.int64)
+        model += np.bincount(text, weights=np.log(
+            following.corrected(of_grams.reshape(shape), of_contexts.reshape((len(following.kinds), len(hashes))), own, np.exp(logs))), minlength=n)
         base += np.bincount(text, weights=np.log10((count + 1) / (total + words + 1)), minlength=n)
         return pa.table({
             "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.bincount(text, minlength=n)),
@@ -243,4 +316,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
-    return repeated(texts.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(work, schema), "copies")
+    frames = (answered.select("part", "bucket", "counts"), grams.select("part", "bucket", "counts"), after.select("part", "bucket", "counts"))
+    told, *more = [frame.withColumn("kind", F.lit(i)) for i, frame in enumerate(frames)]
+    for frame in more:
+        told = told.unionAll(frame)
+    return repeated(texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(work, schema), "copies")

@@ -40,6 +40,29 @@ def test_the_model_learns_an_order_that_counts_do_not_show(spark):
     assert held and all(r["score"] > 0.5 * r["base_score"] for r in held)
 
 
+def test_order_of_rare_words_is_learned(spark):
+    # 1500 pairs of words that always come together: too many for words to be units of their own.
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"left{j} right{j}" for j in rng.permutation(1500)[:300])) for i in range(140)]
+    rows = maxent.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    held = [r for r in rows if r["held_out"]]
+    # Half of the words follow from the one before, so the scores come near half of what words alone give.
+    assert held and all(r["score"] > 0.75 * r["base_score"] for r in held)
+
+
+def test_counts_of_contexts_keep_a_distribution():
+    text, hashes = np.zeros(40, np.int64), np.arange(40, dtype=np.uint64) % np.uint64(5) * np.uint64(7919) + np.uint64(3)
+    hashes[::7] = 3
+    keys, count = np.unique(maxent.Grams(text, hashes).keys, return_counts=True)
+    known = dict(zip(keys.tolist(), count.tolist(), strict=True))
+    p = []
+    for last in np.unique(hashes):
+        grams = maxent.Grams(np.zeros(3, np.int64), np.array([hashes[1], hashes[2], last]))
+        seen = np.array([known.get(k, 0) for k in grams.keys.tolist()])
+        p.append(grams.corrected(seen.reshape(6, 3), np.full((3, 3), 4), np.zeros(3, np.int64), np.full(3, 0.2))[2])
+    assert abs(sum(p) - 1) < 1e-9
+
+
 def test_probabilities_of_all_units_sum_to_one():
     rng = np.random.default_rng(1)
     units = maxent.Units(np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.integers(0, 50, maxent.CLASSES * maxent.MEMBERS), np.zeros(maxent.RARE, np.int64))
