@@ -45,6 +45,18 @@ def distinct(hashes: np.ndarray, counted: np.ndarray, buckets: int) -> tuple[np.
     return known[order], count[order], names, np.append(cuts, len(known)).astype(np.int64)
 
 
+def planes(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """`blobs` of 64-bit values with all first bytes of a blob first, and so on: sorted values so take less when compressed."""
+    data = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    turned = [data[i:j].T.ravel() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return blobs(np.concatenate([data[:0].ravel(), *turned]), cuts * 8)
+
+
+def unplaned(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8).reshape(8, -1).T.ravel() for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint8), *parts]).view("<u8").astype(np.uint64)
+
+
 ASKED = "bucket long, part long, tokens binary, counts binary"
 
 
@@ -52,7 +64,7 @@ def asked(part: int, hashes: np.ndarray, counted: np.ndarray, buckets: int) -> p
     """What group `part` asks: a row for each bucket."""
     known, count, names, cuts = distinct(hashes, counted, buckets)
     return pa.table({"bucket": pa.array(names), "part": pa.array(np.full(len(names), part)),
-                     "tokens": blobs(known, cuts), "counts": blobs(count, cuts)})
+                     "tokens": planes(known, cuts), "counts": blobs(count, cuts)})
 
 
 def trained(table: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -84,7 +96,7 @@ def answer(asked: DataFrame, top: int, rare: int) -> DataFrame:
     """
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        hashes, counts = joined(table["tokens"], np.uint64), joined(table["counts"], np.int64)
+        hashes, counts = unplaned(table["tokens"]), joined(table["counts"], np.int64)
         known, place = np.unique(hashes, return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)
         size = np.array([len(x) // 8 for x in table["tokens"].to_pylist()], dtype=np.int64)
@@ -111,7 +123,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        hashes, counts = joined(table["tokens"], np.uint64), joined(table["counts"], np.int64)
+        hashes, counts = unplaned(table["tokens"]), joined(table["counts"], np.int64)
         size = np.array([len(x) // 8 for x in table["tokens"].to_pylist()], dtype=np.int64)
         known, at, place = np.unique(hashes, return_index=True, return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)

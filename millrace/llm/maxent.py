@@ -49,39 +49,49 @@ _SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0x
 
 
 class Grams:
-    """Keys of the pairs, skips and triples of whole tokens that end at each token, and of their contexts."""
+    """Pairs, skips and triples of whole tokens that end at each token, and their contexts, by 48-bit hashes.
+
+    How often a token or a pair goes on is its own count, as an end is last in every text; `keys` holds all else that is counted.
+    """
 
     def __init__(self, text: np.ndarray, hashes: np.ndarray):
+        self.first = np.ones(len(hashes), dtype=bool)
+        self.first[1:] = text[1:] != text[:-1]
+        self.hashes = hashes
         back = []
         for i in (1, 2):
             last = np.full(len(hashes), START, dtype=np.uint64)
             last[i:] = np.where(text[i:] == text[:-i], hashes[:-i], START)
             back.append(last)
-        pair = mix(mix(back[0] + _SALTS[0]) + hashes)
-        skip = mix(mix(back[1] + _SALTS[1]) + hashes)
-        both = np.full(len(hashes), mix(mix(np.array([START + _SALTS[0]])) + START)[0], dtype=np.uint64)
-        both[1:] = np.where(text[1:] == text[:-1], pair[:-1], both[:1])
-        triple = mix(mix(both + _SALTS[2]) + hashes)
-        after = mix(back[1] + _SALTS[1])
-        alone = mix(back[0] + _SALTS[0])
-        #: (context, its continuation) by the order in which they correct each other.
-        self.kinds = ((after, skip), (alone, pair), (mix(both + _SALTS[2]), triple))
-        self.keys = np.concatenate([x for kind in self.kinds for x in kind])
-        self.contexts = np.concatenate([context for context, _ in self.kinds])
+        alone, after = (mix(x + s) for x, s in zip(back, _SALTS[:2], strict=True))
+        pair, skip = mix(alone + hashes), mix(after + hashes)
+        both = mix(self._back(pair, START) + _SALTS[2])
+        #: Continuations in the order in which they correct each other.
+        self.grams = [x >> np.uint64(16) for x in (skip, pair, mix(both + hashes))]
+        after = after >> np.uint64(16)
+        self.keys = np.concatenate([after, *self.grams])
+        self.contexts = np.concatenate([after, alone >> np.uint64(16), both >> np.uint64(16)])
+
+    def _back(self, x: np.ndarray, start: int | np.uint64) -> np.ndarray:
+        out = np.full(len(x), start, dtype=x.dtype)
+        out[1:] = np.where(self.first[1:], out[1:], x[:-1])
+        return out
 
     def first_seen(self, count: np.ndarray, is_first: np.ndarray) -> np.ndarray:
         """1 for the one token of each continuation that this group is first with, by the order of `contexts`."""
-        out = np.zeros((len(self.kinds), is_first.shape[1]), dtype=np.int64)
-        for i, (_, gram) in enumerate(self.kinds):
+        out = np.zeros((len(self.grams), len(self.hashes)), dtype=np.int64)
+        for i, gram in enumerate(self.grams):
             at = np.unique(gram, return_index=True)[1]
-            out[i, at] = is_first[2 * i + 1, at] & (count[2 * i + 1, at] > 0)
+            out[i, at] = is_first[i + 1, at] & (count[i + 1, at] > 0)
         return out.ravel()
 
-    def corrected(self, count: np.ndarray, after: np.ndarray, own: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """P(token | context), given P of the model below, counts of `keys`, different tokens after each context, and 1
-        for each token that is counted itself."""
-        for i in range(len(self.kinds)):
-            context, gram = count[2 * i] - own, count[2 * i + 1] - own
+    def corrected(self, words: np.ndarray, count: np.ndarray, after: np.ndarray, own: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """P(token | context), given P of the model below, counts of tokens and `keys`, different tokens after each
+        context, and 1 for each token that is counted itself."""
+        texts = words[self.hashes == lexicon.END][:1]  # So many ends, so many starts.
+        before = np.where(self.first, texts if len(texts) else 0, self._back(words, 0))
+        for i, context in enumerate((count[0], before, self._back(count[2], 0))):
+            context, gram = np.maximum(context - own, 0), count[i + 1] - own
             others = np.where(own > 0, after[i] - (gram == 0), after[i])
             p = np.where(context > 0, (gram + others * p) / np.maximum(context + others, 1), p)
         return p
@@ -97,7 +107,7 @@ def _ask_after(texts: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
     def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         text, hashes = lexicon.tokens(Texts(table["text"].combine_chunks()))
         found = Grams(text, hashes)
-        shape = (2 * len(found.kinds), len(hashes))
+        shape = (len(found.grams) + 1, len(hashes))
         count, is_first = (x.reshape(shape) for x in lexicon.told(answers, found.keys, buckets))
         return lexicon.asked(key[0].as_py(), found.contexts, found.first_seen(count, is_first), buckets)
 
@@ -294,7 +304,6 @@ def score(docs: DataFrame) -> DataFrame:
         following = Grams(text, hashes)
         of_grams, _ = lexicon.told(answers[1], following.keys, buckets)
         of_contexts, _ = lexicon.told(answers[2], following.contexts, buckets)
-        shape = (2 * len(following.kinds), len(hashes))
         n = batch.num_rows
         base, model = np.zeros(n), np.zeros(n)
         unit = found.of(hashes)
@@ -307,7 +316,7 @@ def score(docs: DataFrame) -> DataFrame:
             logs[part] = log
         own = (train > 0)[text].astype(np.int64)
         model += np.bincount(text, weights=np.log(
-            following.corrected(of_grams.reshape(shape), of_contexts.reshape((len(following.kinds), len(hashes))), own, np.exp(logs))), minlength=n)
+            following.corrected(count, of_grams.reshape(4, len(hashes)), of_contexts.reshape(3, len(hashes)), own, np.exp(logs))), minlength=n)
         base += np.bincount(text, weights=np.log10((count + 1) / (total + words + 1)), minlength=n)
         return pa.table({
             "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.bincount(text, minlength=n)),

@@ -51,16 +51,20 @@ def test_order_of_rare_words_is_learned(spark):
 
 
 def test_counts_of_contexts_keep_a_distribution():
-    text, hashes = np.zeros(40, np.int64), np.arange(40, dtype=np.uint64) % np.uint64(5) * np.uint64(7919) + np.uint64(3)
-    hashes[::7] = 3
-    keys, count = np.unique(maxent.Grams(text, hashes).keys, return_counts=True)
-    known = dict(zip(keys.tolist(), count.tolist(), strict=True))
-    p = []
-    for last in np.unique(hashes):
-        grams = maxent.Grams(np.zeros(3, np.int64), np.array([hashes[1], hashes[2], last]))
-        seen = np.array([known.get(k, 0) for k in grams.keys.tolist()])
-        p.append(grams.corrected(seen.reshape(6, 3), np.full((3, 3), 4), np.zeros(3, np.int64), np.full(3, 0.2))[2])
-    assert abs(sum(p) - 1) < 1e-9
+    rng = np.random.default_rng(3)
+    # Three texts of six words, each with an end, and all words as the last ones of a text's first three.
+    words = rng.integers(1, 7, 60).astype(np.uint64) * np.uint64(7919)
+    text, hashes = np.repeat(np.arange(3), 21), np.insert(words, [20, 40, 60], lexicon.END)
+    seen = dict(zip(*(x.tolist() for x in np.unique(maxent.Grams(text, hashes).keys, return_counts=True)), strict=True))
+    counts = dict(zip(*(x.tolist() for x in np.unique(hashes, return_counts=True)), strict=True))
+    p = 0.0
+    for last in counts:
+        now = np.array([hashes[4], hashes[5], last, lexicon.END], np.uint64)
+        grams = maxent.Grams(np.zeros(4, np.int64), now)
+        count = np.array([seen.get(k, 0) for k in grams.keys.tolist()]).reshape(4, 4)
+        known = np.array([counts[w] for w in now.tolist()])
+        p += grams.corrected(known, count, np.full((3, 4), 4), np.zeros(4, np.int64), np.full(4, 1 / len(counts)))[2]
+    assert abs(p - 1) < 1e-9
 
 
 def test_probabilities_of_all_units_sum_to_one():
