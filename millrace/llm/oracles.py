@@ -54,3 +54,71 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) A
     sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op11_lexical_search"] = r"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM doc WHERE len(w) > 0),
+item AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+held AS (
+    SELECT doc_id, term, n, count(*) AS tf
+    FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM doc) WHERE term IN (SELECT term FROM item) GROUP BY doc_id, term, n),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM held GROUP BY term), total),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words))))) AS BIGINT) AS score
+    FROM item JOIN weight USING (term) JOIN held USING (term), total GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES["op12_exact_duplicates"] = r"""
+WITH doc AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM doc
+"""
+
+ORACLES["op13_filter_audit"] = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS first FROM doc GROUP BY t),
+said AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+         'C': 100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+         'E': coalesce(first < doc_id, false)} AS f
+    FROM doc JOIN first USING (t) LEFT JOIN said USING (doc_id)),
+mask AS (
+    SELECT part, good, toxic, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END)
+        || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+        count(*) AS n FROM failed GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+step AS (
+    SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, filter_order[1:i - 1] AS earlier
+    FROM orders, unnest(generate_series(1, 5)) AS u(i)),
+each AS (
+    SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS fail,
+        len(fails) > len(translate(fails, earlier, '')) AS gone FROM mask, step),
+counted AS (
+    SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (fail AND NOT gone), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (fail AND gone), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(n) FILTER (fail AND NOT gone AND good), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(n) FILTER (fail AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+    FROM each GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted
+"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import conversations, decontaminate, huffman, maxent, neardup, packing, passages, quality, sharding, toxicity
+from millrace.llm import (
+    conversations, decontaminate, filters, huffman, maxent, neardup, packing, passages, quality, recipes, sharding, strata, toxicity,
+)
 from millrace.session import ship_package
 
 
@@ -63,8 +65,22 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules, op7_chat_formatting, op8_toxicity, op9_language_model, op10_repeated_passages,
+        op1_near_duplicates, op2_best_fit_packing, op3_token_files, op4_decontamination, op5_shards, op6_quality_rules,
+        op7_chat_formatting, op8_toxicity, op9_language_model, op10_repeated_passages, op11_lexical_search,
+        op12_exact_duplicates, op13_filter_audit,
     )
 }
