@@ -96,6 +96,16 @@ def regex_all(column: str | Column, pattern: str, group: int = 1, as_int: bool =
     return F.transform(found, lambda x: x.try_cast("long")) if as_int else found
 
 
+def key_share(key: Sequence[str | Column], salt: int | str = 0) -> Column:
+    """A whole number in [0, 2**32) that depends on the key's values and the salt alone, and is spread evenly.
+
+    The first 32 bits of the MD5 of salt and key as text, which SQL engines agree on. Null counts as empty.
+    """
+    parts = [F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in key]
+    digest = F.md5(F.concat_ws("|", F.lit(str(salt)), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def polyvander(x: str | Column, n: int) -> Column:
     """The powers 1, x, …, x^(n-1) as an array."""
     base = F.col(x) if isinstance(x, str) else x

@@ -69,6 +69,25 @@ def number_rows(
         *df.columns, (F.col("__position") + F.coalesce(F.col("__before"), F.lit(0))).alias(name))
 
 
+def running_totals(df: DataFrame, columns: Mapping[str, str], order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
+    """Add for each of `columns` (name of the new one by that of the summed one) the total of the rows before in the group.
+
+    Rows equal in `order` should be summed up first. A group is spread over partitions as in `number_rows`.
+    """
+    by = list(by)
+    laid = _lay_out(df, [*by, *order])
+    group = [_PART, *by]
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = laid.groupBy(*group).agg(*(F.sum(c).alias(f"__sum_{c}") for c in columns)).select(
+        *group, *(F.sum(f"__sum_{c}").over(earlier).alias(f"__before_{c}") for c in columns)).filter(
+        F.greatest(F.lit(False), *(F.col(f"__before_{c}").isNotNull() for c in columns)))
+    inside = Window.partitionBy(*group).orderBy(_POS).rowsBetween(Window.unboundedPreceding, -1)
+    placed = laid.withColumns({f"__inside_{c}": F.sum(c).over(inside) for c in columns})
+    # A group that goes on in a partition: at most one row for each partition.
+    return _match(placed, F.broadcast(carried), group, "left").select(*df.columns, *(
+        (F.coalesce(f"__inside_{c}", F.lit(0)) + F.coalesce(f"__before_{c}", F.lit(0))).alias(name) for c, name in columns.items()))
+
+
 def _ranks(method: str, q: float, total: Column) -> list[tuple[Column, Column]]:
     """The (index, share) pairs that make up a quantile of `total` sorted values."""
     whole = F.lit(1.0)

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import cast_all, max_width, widen
+from millrace.functions.columns import cast_all, key_share, max_width, widen
 from millrace.session import shared_dir
 
 
@@ -48,6 +48,14 @@ def split_by_key(df: DataFrame, key: str, weights: Sequence[int], name: str = "p
     return df.withColumn(name, part)
 
 
+def part_by_share(key: Sequence[str | Column], weights: Sequence[float], seed: int = 0) -> Column:
+    """The number of the part a row belongs to, by a hash of its key: random parts that no partitioning changes."""
+    place, part = key_share(key, f"part{seed}"), F.lit(len(weights) - 1)
+    for i in reversed(range(len(weights) - 1)):
+        part = F.when(place < round(sum(weights[:i + 1]) / sum(weights) * 2**32), i).otherwise(part)
+    return part
+
+
 def gbt_regression(
     train: DataFrame, label: str, features: Sequence[str], iterations: int = 100,
     checkpoint_interval: int = -1, seed: int = 42,

@@ -153,6 +153,19 @@ def corpus_ids(spark, sf_dir):
         F.count("doc_id").alias("n_ids"), F.countDistinct("doc_id").alias("n_distinct"))
 
 
+@query
+def sample_by_key(spark, sf_dir):
+    """The rows that a sample of three tenths by a hash of their key takes, however they are partitioned."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return readers.sample_by_key(rows.repartition(3), ["l_orderkey", "l_linenumber"], 0.3, 7)
+
+
+@query
+def split_by_share(spark, sf_dir):
+    """Half, a quarter and a quarter of the orders, by a hash of their key."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", regression.part_by_share(["o_orderkey"], [0.5, 0.25, 0.25], 77).alias("part"))
+
+
 @query
 def sample_fraction(spark, sf_dir):
     """A sample of three tenths: how much it holds, whether it is part of the rows, and the same when taken again."""
@@ -881,18 +894,43 @@ def _study(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("double").alias("quality"))
 
 
-def _nested_cv(spark: SparkSession, sf_dir: str):
-    return failures.nested_cv(_study(spark, sf_dir), parallelism=4)
+#: What the failure study of a folder has selected, so that its two queries do so once in an application.
+SELECTED: dict[tuple[str, str], tuple[failures.Selection, list]] = {}
+
+
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The study with a label that its columns tell apart: good documents in one language."""
+    return _study(spark, sf_dir).withColumn(
+        "labels", (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.col("map_reduce") == "m")).cast("int"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> tuple[failures.Selection, list]:
+    """The selection, and the metrics of both steps as rows."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in SELECTED:
+        selection, metrics, _ = failures.nested_cv(_failures(spark, sf_dir), key=["doc_id"])
+        SELECTED[name] = selection, metrics.collect()
+    return SELECTED[name]
 
 
 @query
 def cv_metrics(spark, sf_dir):
-    return _nested_cv(spark, sf_dir)[1]
+    """Model selection and evaluation of the failure study, at full settings."""
+    rows = _selected(spark, sf_dir)[1]
+    return _rounded(spark.createDataFrame(rows, "step string, metric string, params string, mean double, stddev double"), "mean", "stddev")
 
 
 @query
 def failure_scores(spark, sf_dir):
-    return _nested_cv(spark, sf_dir)[2]
+    """The last quarter of the rows with what the selected model predicts."""
+    return failures.predict(_selected(spark, sf_dir)[0].bestModel, failures.study_parts(_failures(spark, sf_dir), ["doc_id"])[2])
+
+
+@query
+def curve_areas(spark, sf_dir):
+    """Exact areas under both curves for every language at once."""
+    study = _study(spark, sf_dir)
+    return _rounded(failures.areas(study, ["map_reduce"], "labels", "plan_cpu"), "roc", "pr")
 
 
 @query

@@ -20,6 +20,20 @@ ENGLISH_STOPWORDS = """
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in [*ENGLISH_STOPWORDS, *EXTRA_STOPWORDS])
 
+#: The columns of the failure study.
+STUDY = """
+    select doc_id, cast(toxic as integer) as labels, case when lang = 'en' then 'm' else 'r' end as map_reduce,
+        cast(n_chars as double) as plan_cpu, case when lang <> 'de' then cast(len(string_split(text, ' ')) as double) end as cpu_avg,
+        cast(len(string_split(text, chr(10))) as double) as cpu_max, cast(quality as double) as quality
+    from labels join documents using (doc_id)"""
+
+
+def key_share(salt: str, *key: str) -> str:
+    """The 32 bits that samples and parts by key are drawn by."""
+    text = " || '|' || ".join([f"'{salt}'", *(f"coalesce(cast({k} as varchar), '')" for k in key)])
+    return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
+
+
 _MONEY = "cast(sum(cast({} as decimal(18,2))) as double)"
 _SALES = _MONEY.format("l_extendedprice")
 
@@ -161,6 +175,29 @@ ORACLES: dict[str, str] = {
         from customer where c_custkey = 7""",
     "corpus_ids": """
         select count(*) as n_ids, count(*) as n_distinct from (select unnest(string_split(text, chr(10))) from documents)""",
+    "sample_by_key": f"""
+        select l_orderkey, l_linenumber, l_partkey from lineitem
+        where {key_share("7", "l_orderkey", "l_linenumber")} < 1288490189""",
+    "split_by_share": f"""
+        select o_orderkey, cast(case when share < 2147483648 then 0 when share < 3221225472 then 1 else 2 end as integer) as part
+        from (select o_orderkey, {key_share("part77", "o_orderkey")} as share from orders)""",
+    "cv_metrics": """
+        select 'selection' as step, 'areaUnderROC' as metric, 'maxBins=' || b || ', maxDepth=' || d as params, 1.0::double as mean, 0.0::double as stddev
+        from unnest([12, 20]) as u(b), unnest(generate_series(2, 9)) as v(d) where exists (select * from labels)
+        union all select 'evaluation', 'areaUnderPR', '', 1.0::double, 0.0::double""",
+    "failure_scores": f"""
+        select doc_id, cast(label as integer) as labels, map_reduce, plan_cpu, cpu_avg, cpu_max, quality, label as prediction
+        from (select *, cast(quality = 1 and map_reduce = 'm' as double) as label from ({STUDY}))
+        where {key_share("part77", "doc_id")} >= 3221225472""",
+    "curve_areas": f"""
+        with counted as (
+            select map_reduce, plan_cpu, cast(sum(labels) as double) as p, cast(count(*) - sum(labels) as double) as n from ({STUDY}) group by 1, 2),
+        placed as (
+            select *, coalesce(sum(p) over w, 0) as tp, coalesce(sum(n) over w, 0) as fp from counted
+            window w as (partition by map_reduce order by plan_cpu desc rows between unbounded preceding and 1 preceding))
+        select map_reduce, round(sum(n * (tp + p / 2)) / (sum(p) * sum(n)), 6) as roc,
+            round(sum(p * ((tp + p) / (tp + p + fp + n) + case when tp + fp > 0 then tp / (tp + fp) else p / (p + n) end) / 2) / sum(p), 6) as pr
+        from placed group by map_reduce""",
     "sample_fraction": "select count(*) > 0 as near_share, true as repeatable, true as part_of_rows from lineitem",
     "stopword_list": "select lang as word from documents union select source from documents",
     "drop_listed_words": """

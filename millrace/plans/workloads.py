@@ -11,7 +11,6 @@ from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import DistributedLDAModel, KMeansModel
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +96,7 @@ def gradient_boosted_trees(
 def failure_study(
     spark: SparkSession, glob: str, models: str, scored: str, order: Sequence[str] = (), limit: int = 10_000,
     **settings,
-) -> tuple[CrossValidatorModel, DataFrame]:
+) -> tuple[failures.Selection, DataFrame]:
     """Nested cross-validation on the first rows of gzip CSV files; models are kept, scored rows written.
 
     Returns the selection and the metrics of both steps.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.functions.columns import key_share
 from millrace.session import path_exists
 from millrace.sources import schemas
 
@@ -37,6 +38,14 @@ def sample_rows(df: DataFrame, fraction: float = 1.0, seed: int = 42) -> DataFra
     return df if fraction >= 1.0 else df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
+def sample_by_key(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
+    """A Bernoulli sample that takes a row or not by a hash of its key: the same rows however `df` is partitioned.
+
+    A filter in the scan, without a shuffle. Rows of one key go together; other seeds take other rows.
+    """
+    return df.filter(key_share(key, seed) < round(fraction * 2**32))
+
+
 def read_run_table(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """CSV with header. Without a schema the types are inferred, at the cost of one more pass over the files."""
     reader = spark.read.option("header", True)

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from millrace.operators import clustering, failures, graph, regression, text
+from millrace.plans import bindings
 from tests.test_workloads import ranks_by_hand, some_edges
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,6 +35,7 @@ def test_queries_take_the_defaults(spark, monkeypatch, query, module, name, sett
         raise Called(bound.arguments)
 
     monkeypatch.setattr(module, name, stub)
+    monkeypatch.setattr(bindings, "SELECTED", {})
     with pytest.raises(Called) as caught:
         entry.queries()[query](spark, SF_DIR)
     assert {s: caught.value.args[0][s] for s in settings} == {s: signature.parameters[s].default for s in settings}
