@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.paths = spark, label, {}
 
-    def store(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame, **options: str | int) -> DataFrame:
         path = scratch_path(self.spark, self.label)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(stored)] = (path, stored)
         return stored
@@ -26,6 +29,18 @@ class Scratch:
             delete_path(self.spark, self.paths.pop(id(df))[0])
 
 
+@contextmanager
+def rows_at_a_time(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand tasks at most so many rows at a time, for wide rows. Holds for what runs inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame, room: Scratch) -> DataFrame:
     """node, component for every node of `edges` (a, b); a component is named by its smallest node.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.components import Scratch
+from millrace.llm.components import Scratch, rows_at_a_time
 from millrace.llm.words import PLAIN, Texts, blobs, pieces
 
 TOP = 10
@@ -40,6 +40,8 @@ BLOCK_DOCS, BLOCK_WORDS = 1 << 12, 1 << 17
 GROUP_TERMS, SEEDS = 1 << 13, 4
 #: Documents of a block that are scored at a time, and results of a task that are held before they are reduced.
 SCORED, HELD = 1 << 10, 1 << 14
+#: Rows of documents and blocks that are handed to a task at a time, and bytes of a row group of the stored index.
+READ_ROWS, READ_BLOCKS, ROW_GROUP = 1 << 10, 1 << 4, 1 << 24
 
 
 def _counted(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +179,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id") -> Index:
     m = F.expr(f"10 + (90 * n * {documents}L) div {max(1, words)}L").alias("m")
     placed = forward.select(m, "id", "terms", "tfs", "row").repartitionByRange("m", "row").sortWithinPartitions("m").drop("row")
     blocks = placed.mapInArrow(_blocks, f"m long, ids array<{kind}>, {BLOCK}").withColumn("block", F.monotonically_increasing_id())
-    index = Index(room.store(blocks), documents)
+    with rows_at_a_time(docs.sparkSession, READ_ROWS):
+        index = Index(room.store(blocks, **{"parquet.block.size": ROW_GROUP}), documents)
     room.drop(forward)
     return index
 
@@ -195,8 +198,8 @@ class Queries:
     terms: np.ndarray  # Sorted hashes.
     item: np.ndarray
     term: np.ndarray
-    weight: np.ndarray | None = None
-    limit: np.ndarray | None = None  # What a score must reach to count, by item.
+    weight: np.ndarray
+    limit: np.ndarray  # What a score must reach to count, by item.
 
     @property
     def items(self) -> int:
@@ -342,23 +345,26 @@ def search(index: Index, items: DataFrame) -> DataFrame:
     terms = room.store(items.select("item_id", "text").mapInArrow(_terms, f"item_id {item_kind}, term long").distinct())
     out = spark.createDataFrame([], f"item_id {item_kind}, rank int, doc_id {doc_kind}, score long")
     for group in _groups(terms):
-        names = group["item_id"].unique()
-        hashes, term = np.unique(group["term"].to_numpy().view(np.uint64), return_inverse=True)
-        queries = Queries(hashes, _numbers(group["item_id"], names), term)
-        df = document_counts(index, hashes)
-        weight = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * n + 1))) for n in df.tolist()], dtype=np.int64)
-        queries.weight = weight[term]
-        queries.limit = np.zeros(len(names))
-        seeds = seed_blocks(index, queries)
-        for row in _best(_visit(index.blocks.filter(F.col("block").isin(seeds)), queries, doc_kind)).filter(f"rank = {TOP}").collect():
-            queries.limit[row["item"]] = row["score"]
-        best = _best(_visit(index.blocks, queries, doc_kind))
-        numbered = spark.createDataFrame(pa.table({"item": pa.array(range(len(names)), pa.int64()), "item_id": names}))
-        named = best.join(F.broadcast(numbered), "item")
-        out = out.unionAll(room.store(named.select(F.col("item_id").cast(item_kind).alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")))
+        with rows_at_a_time(spark, READ_BLOCKS):
+            out = out.unionAll(room.store(_search_group(index, group, item_kind, doc_kind)))
     return out
 
 
+def _search_group(index: Index, group: pa.Table, item_kind: str, doc_kind: str) -> DataFrame:
+    spark, names = index.blocks.sparkSession, group["item_id"].unique()
+    hashes, term = np.unique(group["term"].to_numpy().view(np.uint64), return_inverse=True)
+    df = document_counts(index, hashes)
+    weight = np.array([math.floor(1000 * math.log((2 * index.documents + 2) / (2 * n + 1))) for n in df.tolist()], dtype=np.int64)
+    queries = Queries(hashes, _numbers(group["item_id"], names), term, weight[term], np.zeros(len(names)))
+    seeds = index.blocks.filter(F.col("block").isin(seed_blocks(index, queries)))
+    for row in _best(_visit(seeds, queries, doc_kind)).filter(f"rank = {TOP}").collect():
+        queries.limit[row["item"]] = row["score"]
+    best = _best(_visit(index.blocks, queries, doc_kind))
+    numbered = spark.createDataFrame(pa.table({"item": pa.array(range(len(names)), pa.int64()), "item_id": names}))
+    return best.join(F.broadcast(numbered), "item").select(
+        F.col("item_id").cast(item_kind).alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def _numbers(column: pa.ChunkedArray, names: pa.Array) -> np.ndarray:
     place = {name: i for i, name in enumerate(names.to_pylist())}
     return np.array([place[x] for x in column.to_pylist()], dtype=np.int64)
