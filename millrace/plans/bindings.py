@@ -640,6 +640,19 @@ def median_by_group(spark, sf_dir):
     return runs.median_by(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_quantity", "l_extendedprice"])
 
 
+@query
+def approx_medians(spark, sf_dir):
+    """Medians from sketches per supplier and of all rows, and whether a hundredth of the ranks holds them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice").unionAll(
+        table(spark, sf_dir, "lineitem").select(F.lit(-1).cast("long").alias("l_suppkey"), "l_extendedprice"))
+    medians = runs.median_by(rows, ["l_suppkey"], ["l_extendedprice"], accuracy=1000)
+    price, median = F.col("l_extendedprice"), F.col("medianL_extendedprice")
+    ranked = rows.join(medians, "l_suppkey").groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(price < median).alias("below"), F.count_if(price <= median).alias("upto"))
+    half, slack = F.col("n") / 2, F.greatest(F.col("n") / 100, F.lit(1))
+    return ranked.select("l_suppkey", "n", ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("near"))
+
+
 @query
 def sum_of_medians(spark, sf_dir):
     return _rounded(

@@ -175,6 +175,9 @@ ORACLES: dict[str, str] = {
         from customer where c_custkey = 7""",
     "corpus_ids": """
         select count(*) as n_ids, count(*) as n_distinct from (select unnest(string_split(text, chr(10))) from documents)""",
+    "approx_medians": """
+        select l_suppkey, count(*) as n, true as near from lineitem group by 1
+        union all select -1, count(*), true from lineitem having count(*) > 0""",
     "sample_by_key": f"""
         select l_orderkey, l_linenumber, l_partkey from lineitem
         where {key_share("7", "l_orderkey", "l_linenumber")} < 1288490189""",
