@@ -181,7 +181,9 @@ def _select(rows: DataFrame, image: Column, targets: DataFrame, by: list[str], k
         open_targets = [t for t in held if t["__low"] < t["__high"]]
         if not open_targets or sum(t["inside"] for t in open_targets) <= enough:
             break
-        cells = min(4096, max(16, CELLS // len(open_targets)))
+        # Enough that some 32 values share a cell, or so many that the counts stay within CELLS.
+        each = sum(t["inside"] for t in open_targets) // len(open_targets) // 32
+        cells = max(16, min(4096, each, CELLS // len(open_targets)))
         numbered = spark.createDataFrame(
             [(t["number"], *(t[c] for c in by), t["__low"], t["__high"], t["at"], t["below"]) for t in open_targets],
             StructType([StructField("number", IntegerType()), *(StructField(f"__t_{c}", schema[c].dataType) for c in by),
