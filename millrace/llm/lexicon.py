@@ -7,8 +7,6 @@ one row per group, and no list of all tokens is ever in one place.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.llm.groups import dealt
 from millrace.llm.words import SPACE, Texts, blobs, joined
 
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 BUCKETS_PER_PARTITION = 2
 #: The hash of the token that ends every text.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -57,37 +55,22 @@ def unplaned(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint8), *parts]).view("<u8").astype(np.uint64)
 
 
-ASKED = "bucket long, part long, tokens binary, counts binary"
-
-
-def asked(part: int, hashes: np.ndarray, counted: np.ndarray, buckets: int) -> pa.Table:
-    """What group `part` asks: a row for each bucket."""
-    known, count, names, cuts = distinct(hashes, counted, buckets)
-    return pa.table({"bucket": pa.array(names), "part": pa.array(np.full(len(names), part)),
-                     "tokens": planes(known, cuts), "counts": blobs(count, cuts)})
-
-
 def trained(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     """How many training documents each row is."""
     return np.where(table["held_out"].to_numpy(zero_copy_only=False), 0, table["copies"].to_numpy(zero_copy_only=False))
 
 
-def ask(texts: DataFrame, buckets: int, keys: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """bucket, part, tokens, counts: a row for each bucket a group has tokens in. `texts` has part, text, held_out, copies.
-
-    With `keys` of (text, hashes), those are asked about: some number of keys for all tokens, one kind after the other.
-    """
+def ask(texts: DataFrame, buckets: int) -> DataFrame:
+    """bucket, part, tokens, counts: a row for each bucket a group has tokens in. `texts` has part, text, held_out, copies."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        found = Texts(table["text"].combine_chunks())
-        text, hashes = tokens(found)
-        counted = trained(table)[text]
-        if keys is not None:
-            hashes = keys(text, hashes)
-            counted = np.tile(counted, len(hashes) // max(1, len(counted)))
-        return asked(key[0].as_py(), hashes, counted, buckets)
+        text, hashes = tokens(Texts(table["text"].combine_chunks()))
+        known, count, names, cuts = distinct(hashes, trained(table)[text], buckets)
+        return pa.table({"bucket": pa.array(names), "part": pa.array(np.full(len(names), key[0].as_py())),
+                         "tokens": planes(known, cuts), "counts": blobs(count, cuts)})
 
-    return texts.select("part", "text", "held_out", "copies").groupBy("part").applyInArrow(work, ASKED)
+    return texts.select("part", "text", "held_out", "copies").groupBy("part").applyInArrow(
+        work, "bucket long, part long, tokens binary, counts binary")
 
 
 def answer(asked: DataFrame, top: int, rare: int) -> DataFrame:
@@ -101,7 +84,8 @@ def answer(asked: DataFrame, top: int, rare: int) -> DataFrame:
         total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)
         size = np.array([len(x) // 8 for x in table["tokens"].to_pylist()], dtype=np.int64)
         best = np.lexsort((known, -total))[:top]
-        best = best[total[best] > 0]
+        # What occurs once is not worth a unit of its own.
+        best = best[total[best] > 1]
         unit = rare_unit(known, rare)
         first = {
             "total": int(total.sum()), "words": int((total > 0).sum()),
@@ -118,33 +102,13 @@ def answer(asked: DataFrame, top: int, rare: int) -> DataFrame:
         "best: array<struct<token: long, n: long>>, unit_total: array<long>, unit_words: array<long>>"))
 
 
-def answer_counts(asked: DataFrame) -> DataFrame:
-    """part, bucket, counts (over all groups, in the order asked), firsts (1 if no group of a smaller number asked)."""
-
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        hashes, counts = unplaned(table["tokens"]), joined(table["counts"], np.int64)
-        size = np.array([len(x) // 8 for x in table["tokens"].to_pylist()], dtype=np.int64)
-        known, at, place = np.unique(hashes, return_index=True, return_inverse=True)
-        total = np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64)
-        first = np.zeros(len(hashes), dtype=np.uint8)
-        first[at] = 1
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        return pa.table({"part": table["part"], "bucket": table["bucket"], "counts": blobs(total[place], cuts), "firsts": blobs(first, cuts)})
-
-    return asked.groupBy("bucket").applyInArrow(work, "part long, bucket long, counts binary, firsts binary")
-
-
-def told(answers: pa.Table, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The count of each of a group's hashes, the same ones that it asked about, and whether it was first to ask."""
+def told(answers: pa.Table, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The count of each of a group's hashes, the same ones that it asked about."""
     known, place = np.unique(hashes, return_inverse=True)
     order = np.argsort((known % np.uint64(buckets)).astype(np.int64), kind="stable")
-    answers = answers.sort_by("bucket")
-    count, first = np.empty(len(known), dtype=np.int64), np.zeros(len(known), dtype=bool)
-    count[order] = joined(answers["counts"], np.int64)
-    if "firsts" in answers.column_names:
-        first[order] = joined(answers["firsts"], np.uint8) > 0
-    return count[place], first[place]
+    count = np.empty(len(known), dtype=np.int64)
+    count[order] = joined(answers.sort_by("bucket")["counts"], np.int64)
+    return count[place]
 
 
 _HELD = pa.struct([

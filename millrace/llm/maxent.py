@@ -1,21 +1,19 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are words with A-Z lowered and an end after each text. The most frequent ones are units of their own; all others
-share units by hash. P(token | context) is P(class of unit) P(unit in class) P(token in unit): the first two are softmaxes
-over sums of weights of active features, and the last is the token's smoothed share of its unit's count. Features are the
-last unit, the ones two and three back (skips), and the last two together, hashed to rows of weights; class weights have a
-row per feature, unit weights a row per feature and class, and both start from the units' counts.
-
-On top of that model lie the counts of every pair, skip (two apart) and triple of whole tokens in the training part, kept as
-a table by the hash of each, which grows with the corpus and is told to the groups of documents that hold them, as the
-counts of tokens are. Each kind of context c corrects what is below it: (n(c, token) + t(c) P(token)) / (n(c) + t(c)), where
-t counts the different tokens after c (Witten and Bell); the skip first, then the last token, then the last two. So each is a distribution over all tokens if the one below is, and
-word order is learned for every token. A training token's own occurrence is left out of the counts it is scored with.
-
-Training goes over every training document once, in ROUNDS parts. In a round each partition takes gradient steps over its
-tokens from the weights sent to it, and the changes of all partitions are averaged by their tokens. Scoring runs the
-model over batches of tokens. Only tables of fixed size are collected or sent: units, weights, and sums. The weights are of
-fixed size; what grows with the corpus are the counts of tokens, pairs, skips and triples.
+share units by hash. Units are the leaves of a tree of classes: WIDTH classes, WIDTH in each, and so on. P(token | context) is
+the product over the levels of P(class | class above, context), times P(token in unit). Each of the former is a softmax over WIDTH
+children; what is summed up is the children's share of their class's count and the weights of the active features: the last
+unit, at the first levels also both last ones together and the one before the last (a skip), each together with the class.
+Their hash names a row of WIDTH weights.
+P(token in unit) is the token's smoothed share of its unit's count. So the scores are those of one model, a distribution over all
+tokens after any context, for training texts and others alike.
+
+Sizes follow the lexicon: levels until there is a unit for every fourth distinct token (WIDTH ** MAX_LEVELS units at most), and
+rows of weights by its cube root (2 ** MAX_ROW_BITS at most), as all of them are sent to every task. Training goes over every training
+document once, in rounds whose number grows with the logarithm of the tokens. In a round each partition takes gradient steps over
+its tokens from the weights sent to it; of each row, the changes of all partitions are brought `together` by the tokens that
+used the row there, so what one partition alone has seen is kept in full. Scoring runs the model over batches of tokens.
 
 `base_score` is the smoothed unigram sum of log10((c + 1) / (N + V + 1)). Null and empty texts are an end alone. Repeated rows
 are documents of their own. Without training documents the units are equally likely.
@@ -23,6 +21,7 @@ are documents of their own. Without training documents the units are equally lik
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,80 +37,34 @@ from millrace.llm.toxicity import fold
 from millrace.llm.words import Texts, mix, pieces
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, MEMBERS, RARE = 24, 24, 64
-#: Rows of weights in each table, tokens of a gradient step, passes over parts of the corpus.
-ROWS, BATCH, ROUNDS, RATE = 1 << 13, 1 << 14, 3, 0.4
-SLICES = 32
-#: Stands for what is before a text.
-START = np.uint64(0x3C79AC492BA7B653)
+#: Children of a class, levels of classes, and units that rare tokens share.
+WIDTH, MAX_LEVELS, RARE = 16, 4, 64
+#: Rows of weights, tokens of a gradient step, step size, and tokens of a corpus that is trained on in two rounds.
+MIN_ROW_BITS, MAX_ROW_BITS, BATCH, RATE, SMALL = 15, 20, 1 << 13, 0.4, 1 << 20
+#: Kinds of features (the last unit, the last two, a skip) that count at each level; the first alone further down.
+KINDS = (3, 3, 1, 1)
+#: What a row counts as spent before its first step: the more, the less a single token teaches.
+FIRST = 1.0
+#: Tokens of a row in a partition that are few, slices of rows, and partitions that one task adds up.
+FEW, SLICES, LANE = 32, 32, 256
 
-_SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
+_SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xAF251AF3B0F025B5))
+_CLASS = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Grams:
-    """Pairs, skips and triples of whole tokens that end at each token, and their contexts, by 48-bit hashes.
+def levels_for(words: int) -> int:
+    """Levels of classes for a lexicon of that many tokens."""
+    return min(MAX_LEVELS, max(2, math.ceil(math.log(max(1, words / 4), WIDTH))))
 
-    How often a token or a pair goes on is its own count, as an end is last in every text; `keys` holds all else that is counted.
-    """
-
-    def __init__(self, text: np.ndarray, hashes: np.ndarray):
-        self.first = np.ones(len(hashes), dtype=bool)
-        self.first[1:] = text[1:] != text[:-1]
-        self.hashes = hashes
-        back = []
-        for i in (1, 2):
-            last = np.full(len(hashes), START, dtype=np.uint64)
-            last[i:] = np.where(text[i:] == text[:-i], hashes[:-i], START)
-            back.append(last)
-        alone, after = (mix(x + s) for x, s in zip(back, _SALTS[:2], strict=True))
-        pair, skip = mix(alone + hashes), mix(after + hashes)
-        both = mix(self._back(pair, START) + _SALTS[2])
-        #: Continuations in the order in which they correct each other.
-        self.grams = [x >> np.uint64(16) for x in (skip, pair, mix(both + hashes))]
-        after = after >> np.uint64(16)
-        self.keys = np.concatenate([after, *self.grams])
-        self.contexts = np.concatenate([after, alone >> np.uint64(16), both >> np.uint64(16)])
-
-    def _back(self, x: np.ndarray, start: int | np.uint64) -> np.ndarray:
-        out = np.full(len(x), start, dtype=x.dtype)
-        out[1:] = np.where(self.first[1:], out[1:], x[:-1])
-        return out
-
-    def first_seen(self, count: np.ndarray, is_first: np.ndarray) -> np.ndarray:
-        """1 for the one token of each continuation that this group is first with, by the order of `contexts`."""
-        out = np.zeros((len(self.grams), len(self.hashes)), dtype=np.int64)
-        for i, gram in enumerate(self.grams):
-            at = np.unique(gram, return_index=True)[1]
-            out[i, at] = is_first[i + 1, at] & (count[i + 1, at] > 0)
-        return out.ravel()
-
-    def corrected(self, words: np.ndarray, count: np.ndarray, after: np.ndarray, own: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """P(token | context), given P of the model below, counts of tokens and `keys`, different tokens after each
-        context, and 1 for each token that is counted itself."""
-        texts = words[self.hashes == lexicon.END][:1]  # So many ends, so many starts.
-        before = np.where(self.first, texts if len(texts) else 0, self._back(words, 0))
-        for i, context in enumerate((count[0], before, self._back(count[2], 0))):
-            context, gram = np.maximum(context - own, 0), count[i + 1] - own
-            others = np.where(own > 0, after[i] - (gram == 0), after[i])
-            p = np.where(context > 0, (gram + others * p) / np.maximum(context + others, 1), p)
-        return p
 
+def rows_for(words: int) -> int:
+    """Rows of weights: eight times as many for 512 times as many tokens."""
+    return 1 << min(MAX_ROW_BITS, max(MIN_ROW_BITS, 10 + math.floor(math.log2(max(1, words)) / 3)))
 
-def _grams(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return Grams(text, hashes).keys
 
-
-def _ask_after(texts: DataFrame, grams: DataFrame, buckets: int) -> DataFrame:
-    """How many different tokens come after each context: every group tells of those that it is first with."""
-
-    def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        text, hashes = lexicon.tokens(Texts(table["text"].combine_chunks()))
-        found = Grams(text, hashes)
-        shape = (len(found.grams) + 1, len(hashes))
-        count, is_first = (x.reshape(shape) for x in lexicon.told(answers, found.keys, buckets))
-        return lexicon.asked(key[0].as_py(), found.contexts, found.first_seen(count, is_first), buckets)
-
-    return texts.select("part", "text").groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(work, lexicon.ASKED)
+def rounds_for(tokens: int) -> int:
+    """Four, and one more for every 16 times as many tokens."""
+    return 4 + max(0, math.floor(math.log(max(1, tokens / SMALL), 16)))
 
 
 @dataclass
@@ -127,6 +80,10 @@ class Units:
     def top(self) -> int:
         return len(self.total) - RARE
 
+    @property
+    def levels(self) -> int:
+        return round(math.log(len(self.total), WIDTH))
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         unit = self.top + lexicon.rare_unit(hashes, RARE)
         if len(self.tokens):
@@ -146,10 +103,11 @@ def units(answered: DataFrame) -> tuple[Units, int, int]:
     held = answered.filter("held IS NOT NULL").select("held.*")
     sums = [F.sum(F.col(name)[i]).alias(f"{name}_{i}") for name in ("unit_total", "unit_words") for i in range(RARE)]
     row = held.agg(F.sum("total").alias("total"), F.sum("words").alias("words"), *sums).head()
-    top = CLASSES * MEMBERS - RARE
+    size = WIDTH ** levels_for(row["words"] or 0)
+    top = size - RARE
     best = held.select(F.explode("best").alias("b")).select("b.*").orderBy(F.desc("n"), "token").limit(top).toArrow()
     token, n = best["token"].to_numpy().view(np.uint64), best["n"].to_numpy()
-    total = np.zeros(CLASSES * MEMBERS, dtype=np.int64)
+    total = np.zeros(size, dtype=np.int64)
     total[:len(n)] = n
     total[top:] = [row[f"unit_total_{i}"] or 0 for i in range(RARE)]
     words = np.array([row[f"unit_words_{i}"] or 0 for i in range(RARE)], dtype=np.int64)
@@ -160,173 +118,178 @@ def units(answered: DataFrame) -> tuple[Units, int, int]:
     return Units(token[order], order.astype(np.int64), total, words), row["total"] or 0, row["words"] or 0
 
 
-def start_weights(found: Units) -> dict[str, np.ndarray]:
-    """Weights of a model that knows the units' counts alone. Unit u is member u // CLASSES of class u % CLASSES."""
-    count = (found.total + 0.5).reshape(MEMBERS, CLASSES).T
-    return {
-        "class_bias": np.log(count.sum(axis=1) / count.sum()).astype(np.float32),
-        "member_bias": np.log(count / count.sum(axis=1, keepdims=True)).astype(np.float32),
-        "class_rows": np.zeros((ROWS, CLASSES), np.float32), "member_rows": np.zeros((ROWS, MEMBERS), np.float32)}
+def first_class(level: int) -> int:
+    """The number of the first class of a level; the root is 0."""
+    return (WIDTH ** level - 1) // (WIDTH - 1)
 
 
-def features(text: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """The rows of the class features of every token, one column for each kind; a text starts with unknown units."""
-    none = CLASSES * MEMBERS
-    back = []
-    for i in (1, 2, 3):
-        last = np.full(len(unit), none, dtype=np.uint64)
-        last[i:] = np.where(text[i:] == text[:-i], unit[:-i], none)
-        back.append(last)
-    both = back[0] * np.uint64(none + 1) + back[1]
-    kinds = [mix(x + s) for x, s in zip((*back, both), _SALTS, strict=True)]
-    return np.stack([(k % np.uint64(ROWS)).astype(np.int64) for k in kinds], axis=1)
-
+@dataclass
+class Weights:
+    shares: np.ndarray  # Log of the children's shares of their class, by class.
+    rows: np.ndarray  # Weights of features.
+
+    @classmethod
+    def start(cls, found: Units, rows: int) -> Weights:
+        """A model that knows the units' counts alone. Digit i of a unit, in base WIDTH, is its child at level i."""
+        unit = np.arange(len(found.total))
+        shares = []
+        for level in range(found.levels):
+            count = np.bincount(unit % WIDTH ** (level + 1), weights=found.total + 0.5).reshape(WIDTH, -1).T
+            shares.append(np.log(count / count.sum(axis=1, keepdims=True)))
+        return cls(np.concatenate(shares).astype(np.float32), np.zeros((rows, WIDTH), np.float32))
 
-def _log_softmax(total: np.ndarray) -> np.ndarray:
-    total -= total.max(axis=1, keepdims=True)
-    return total - np.log(np.exp(total).sum(axis=1, keepdims=True))
+    @property
+    def levels(self) -> int:
+        return round(math.log(len(self.shares) * (WIDTH - 1) + 1, WIDTH))
+
+    def steps(self, features: np.ndarray, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every level: the rows of each token's features, its child, and the log probabilities of all children."""
+        for level in range(self.levels):
+            above = WIDTH ** level
+            klass = first_class(level) + unit % above
+            rows = (mix(features[:KINDS[level]] + klass.astype(np.uint64) * _CLASS) % np.uint64(len(self.rows))).astype(np.int64)
+            total = self.shares.take(klass, axis=0)
+            for of_kind in rows:
+                total += self.rows.take(of_kind, axis=0)
+            total -= total.max(axis=1, keepdims=True)
+            total -= np.log(np.exp(total).sum(axis=1, keepdims=True))
+            yield rows, unit // above % WIDTH, total
+
+    def log_probability(self, features: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """log P(unit | context) of tokens with these features."""
+        out, at = np.zeros(len(unit)), np.arange(len(unit))
+        for _, child, log in self.steps(features, unit):
+            out += log[at, child]
+        return out
 
+    def train(self, spent: np.ndarray, used: np.ndarray, features: np.ndarray, unit: np.ndarray) -> None:
+        """A gradient step of the log loss of a batch, in place; `used` counts the tokens of each row."""
+        at = np.arange(len(unit))
+        for rows, child, log in self.steps(features, unit):
+            slope = np.exp(log)
+            slope[at, child] -= 1
+            for of_kind in rows:
+                # Adagrad: the sum of a row's slopes, scaled by what the row has spent.
+                order = np.argsort(of_kind)
+                placed = of_kind[order]
+                first = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+                row, total = placed[first], np.add.reduceat(slope.take(order, axis=0), first, axis=0)
+                now = spent[row] + np.einsum("ij,ij->i", total, total)
+                spent[row] = now
+                used[row] += np.diff(np.append(first, len(order)))
+                total *= (-RATE / np.sqrt(now + FIRST)).astype(np.float32)[:, None]
+                self.rows[row] += total
+
+
+def contexts(text: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
+    """Hashes of what is before every token, a row for each kind; a text starts after units that are none."""
+    back = []
+    for i in (1, 2):
+        last = np.full(len(unit), units, dtype=np.uint64)
+        last[i:] = np.where(text[i:] == text[:-i], unit[:-i], units)
+        back.append(last)
+    both = back[0] * np.uint64(units + 1) + back[1]
+    return np.stack([mix(x + s) for x, s in zip((back[0], both, back[1]), _SALTS, strict=True)])
 
-def _member_features(rows: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    return (rows * 31 + klass[:, None] * 7919) % ROWS
 
+def _trainer(sent: Weights, found: Units):
+    """Gradient steps over a partition; for each slice of rows the change of weights and the tokens that used them."""
 
-def _sum_rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = table[rows[:, 0]]
-    for i in range(1, rows.shape[1]):
-        total += table[rows[:, i]]
-    return total
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Weights(sent.shares, sent.rows.copy())
+        spent, used = np.zeros(len(own.rows)), np.zeros(len(own.rows), np.float32)
+        for _, texts in pieces(batches):
+            text, hashes = lexicon.tokens(texts)
+            unit = found.of(hashes)
+            features = contexts(text, unit, len(found.total))
+            for at in range(0, len(unit), BATCH):
+                own.train(spent, used, features[:, at:at + BATCH], unit[at:at + BATCH])
+        if used.any():
+            change = own.rows - sent.rows
+            scale = np.abs(change).max(axis=1) / 127
+            steps = np.rint(change / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+            columns = [np.split(x, SLICES) for x in (np.minimum(used, 60_000).astype(np.float16), scale.astype(np.float16), steps)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), *(pa.array([x.tobytes() for x in c]) for c in columns)], ["slice", "used", "scale", "steps"])
 
+    return work
 
-def log_probability(weights: dict[str, np.ndarray], rows: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """log P(unit | context) of tokens with these features."""
-    klass, member, at = unit % CLASSES, unit // CLASSES, np.arange(len(unit))
-    of_class = _log_softmax(_sum_rows(weights["class_rows"], rows) + weights["class_bias"])
-    of_member = _log_softmax(_sum_rows(weights["member_rows"], _member_features(rows, klass)) + weights["member_bias"][klass])
-    return of_class[at, klass].astype(np.float64) + of_member[at, member]
 
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a slice, for some partitions: tokens that used each row, their squares, and changes times tokens, added up."""
+    used = squares = total = 0
+    for row in table.select(["used", "scale", "steps"]).to_pylist():
+        tokens, scale = (np.frombuffer(row[c], np.float16).astype(np.float32) for c in ("used", "scale"))
+        steps = np.frombuffer(row["steps"], np.int8).reshape(len(tokens), WIDTH)
+        used, squares, total = used + tokens, squares + tokens * tokens, total + steps * (scale * tokens)[:, None]
+    return _sums(key, used, squares, total)
 
-def _step(table: np.ndarray, spent: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
-    """Adagrad on the rows a batch uses: mean slope of each row's tokens, scaled by what the row has spent."""
-    for i in range(rows.shape[1]):
-        order = np.argsort(rows[:, i], kind="stable")
-        used, first = np.unique(rows[order, i], return_index=True)
-        total = np.add.reduceat(slope[order], first, axis=0)
-        spent[used] += (total * total).sum(axis=1)
-        table[used] -= RATE * total / np.sqrt(spent[used] + 1.0)[:, None]
 
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    return _sums(key, *(sum(np.frombuffer(x, np.float32) for x in table[c].to_pylist()) for c in ("used", "squares", "total")))
 
-def train_step(weights: dict[str, np.ndarray], spent: dict[str, np.ndarray], rows: np.ndarray, unit: np.ndarray) -> None:
-    """One gradient step of the mean log loss of a batch, in place."""
-    klass, member, at = unit % CLASSES, unit // CLASSES, np.arange(len(unit))
-    inner = _member_features(rows, klass)
-    slope = np.exp(_log_softmax(_sum_rows(weights["class_rows"], rows) + weights["class_bias"]))
-    slope[at, klass] -= 1
-    _step(weights["class_rows"], spent["class_rows"], rows, slope)
-    slope = np.exp(_log_softmax(_sum_rows(weights["member_rows"], inner) + weights["member_bias"][klass]))
-    slope[at, member] -= 1
-    _step(weights["member_rows"], spent["member_rows"], inner, slope)
 
+def _sums(key: tuple, *sums: np.ndarray) -> pa.Table:
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), **{
+        c: pa.array([x.astype(np.float32).tobytes()]) for c, x in zip(("used", "squares", "total"), sums, strict=True)}})
 
-def _trainer(sent: dict[str, np.ndarray], found: Units):
-    """Gradient steps over a partition; a row for each slice of the change of its weights, times its tokens."""
-    names = ("class_rows", "member_rows")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: v.copy() for k, v in sent.items()}
-        spent = {k: np.zeros(ROWS) for k in names}
-        seen = 0
-        for _, texts in pieces(batches):
-            text, hashes = lexicon.tokens(texts)
-            unit = found.of(hashes)
-            rows = features(text, unit)
-            for at in range(0, len(unit), BATCH):
-                train_step(own, spent, rows[at:at + BATCH], unit[at:at + BATCH])
-            seen += len(unit)
-        if seen:
-            change = np.concatenate([(own[k] - sent[k]).ravel() for k in names]) * np.float32(seen)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES),
-                pa.array([x.astype(np.float32).tobytes() for x in np.split(change, SLICES)]),
-            ], ["slice", "seen", "change"])
+def together(used: np.ndarray, squares: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The change of every row from the sums of its changes times tokens, of its tokens, and of their squares by partition.
 
-    return work
+    Partitions that have used a row often have each found where its weights should be, and their mean is taken. Those that
+    have used it a few times have only gone some way, and more of them go further: as the root of their number.
+    """
+    partitions = np.maximum(used * used / np.maximum(squares, 1e-9), 1)
+    each = used / partitions
+    return total / np.maximum(used, 1e-9)[:, None] * (partitions ** (0.5 / (1 + each / FEW)))[:, None]
 
 
-def train(docs: DataFrame, found: Units, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, found: Units, rows: int, rounds: int) -> Weights:
     """Weights trained on `docs` (doc_id, text), every document in one of the rounds."""
-    weights = start_weights(found)
+    weights, sums = Weights.start(found, rows), "slice int, used binary, squares binary, total binary"
+    # So many partitions are added up by one task at first.
+    lanes = max(1, docs.rdd.getNumPartitions() // LANE)
     for turn in range(rounds):
         some = docs.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds)) == turn)
-        changes = some.select("text").mapInArrow(_trainer(weights, found), "slice int, seen double, change binary")
-        # In two steps, so that no task adds up what all partitions send.
-        lanes = changes.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
-        summed = lanes.groupBy("slice", "lane").applyInArrow(_add, "slice int, seen double, change binary")
-        total = summed.groupBy("slice").applyInArrow(_add, "slice int, seen double, change binary").orderBy("slice").toArrow()
-        if not total.num_rows:
-            continue
-        change = np.concatenate([np.frombuffer(x, np.float32) for x in total["change"].to_pylist()]) / np.float32(total["seen"][0].as_py())
-        half = ROWS * CLASSES
-        weights["class_rows"] = weights["class_rows"] + change[:half].reshape(ROWS, CLASSES)
-        weights["member_rows"] = weights["member_rows"] + change[half:].reshape(ROWS, MEMBERS)
+        changes = some.select("text").mapInArrow(_trainer(weights, found), "slice int, used binary, scale binary, steps binary")
+        lane = changes.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+        total = lane.groupBy("slice", "lane").applyInArrow(_added, sums).groupBy("slice").applyInArrow(_merged, sums).orderBy("slice").toArrow()
+        if total.num_rows:
+            used, squares, change = (np.frombuffer(b"".join(total[c].to_pylist()), np.float32) for c in ("used", "squares", "total"))
+            weights.rows = weights.rows + together(used, squares, change.reshape(rows, WIDTH)).astype(np.float32)
     return weights
 
 
-def _add(key: tuple, table: pa.Table) -> pa.Table:
-    total = None
-    for x in table["change"]:
-        part = np.frombuffer(x.as_buffer(), np.float32)
-        total = part.copy() if total is None else total + part
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "seen": pa.array([sum(table["seen"].to_pylist())]),
-                     "change": pa.array([total.tobytes()])})
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     buckets = lexicon.BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
     texts = lexicon.grouped(marked)
-    answered = Scratch(spark, "lexicon").store(lexicon.answer(lexicon.ask(texts, buckets), CLASSES * MEMBERS, RARE))
+    answered = Scratch(spark, "lexicon").store(lexicon.answer(lexicon.ask(texts, buckets), WIDTH ** MAX_LEVELS, RARE))
     found, total, words = units(answered)
-    grams = Scratch(spark, "grams").store(lexicon.answer_counts(lexicon.ask(texts, buckets, _grams)))
-    after = lexicon.answer_counts(_ask_after(texts, grams, buckets))
-    weights = train(marked.filter("NOT held_out").select("doc_id", "text"), found)
+    weights = train(marked.filter("NOT held_out").select("doc_id", "text"), found, rows_for(words), rounds_for(total))
 
-    def work(key: tuple, table: pa.Table, both: pa.Table) -> pa.Table:
+    def work(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         batch = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
-        train = lexicon.trained(batch)
-        text, hashes = lexicon.tokens(Texts(batch.column("text")))
         # The same tokens in the same order as when they were asked about.
-        answers = [both.filter(pa.array(both["kind"].to_numpy() == i)) for i in range(3)]
-        count, _ = lexicon.told(answers[0], hashes, buckets)
-        following = Grams(text, hashes)
-        of_grams, _ = lexicon.told(answers[1], following.keys, buckets)
-        of_contexts, _ = lexicon.told(answers[2], following.contexts, buckets)
-        n = batch.num_rows
-        base, model = np.zeros(n), np.zeros(n)
-        unit = found.of(hashes)
-        logs = np.zeros(len(unit))
+        text, hashes = lexicon.tokens(Texts(batch.column("text")))
+        count = lexicon.told(answers, hashes, buckets)
+        n, unit = batch.num_rows, found.of(hashes)
+        features = contexts(text, unit, len(found.total))
+        logs = found.log_share(unit, count)
         for at in range(0, len(unit), BATCH):
-            # Features look three tokens back.
-            low, part = max(0, at - 3), slice(at, at + BATCH)
-            rows = features(text[low:at + BATCH], unit[low:at + BATCH])[at - low:]
-            log = log_probability(weights, rows, unit[part]) + found.log_share(unit[part], count[part])
-            logs[part] = log
-        own = (train > 0)[text].astype(np.int64)
-        model += np.bincount(text, weights=np.log(
-            following.corrected(count, of_grams.reshape(4, len(hashes)), of_contexts.reshape(3, len(hashes)), own, np.exp(logs))), minlength=n)
-        base += np.bincount(text, weights=np.log10((count + 1) / (total + words + 1)), minlength=n)
+            logs[at:at + BATCH] += weights.log_probability(features[:, at:at + BATCH], unit[at:at + BATCH])
         return pa.table({
             "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(np.bincount(text, minlength=n)),
             "n_known": pa.array(np.bincount(text, weights=count > 0, minlength=n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, total, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(model / np.log(10)), "copies": batch.column("copies")})
+            "train_tokens": pa.array(np.full(n, total, dtype=np.int64)),
+            "base_score": pa.array(np.bincount(text, weights=np.log10((count + 1) / (total + words + 1)), minlength=n)),
+            "score": pa.array(np.bincount(text, weights=logs, minlength=n) / np.log(10)), "copies": batch.column("copies")})
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
-    frames = (answered.select("part", "bucket", "counts"), grams.select("part", "bucket", "counts"), after.select("part", "bucket", "counts"))
-    told, *more = [frame.withColumn("kind", F.lit(i)) for i, frame in enumerate(frames)]
-    for frame in more:
-        told = told.unionAll(frame)
+    told = answered.select("part", "bucket", "counts")
     return repeated(texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(work, schema), "copies")

@@ -41,7 +41,7 @@ def test_the_model_learns_an_order_that_counts_do_not_show(spark):
 
 
 def test_order_of_rare_words_is_learned(spark):
-    # 1500 pairs of words that always come together: too many for words to be units of their own.
+    # 1500 pairs of words that always come together.
     rng = np.random.default_rng(5)
     docs = [(i, " ".join(f"left{j} right{j}" for j in rng.permutation(1500)[:300])) for i in range(140)]
     rows = maxent.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
@@ -50,45 +50,90 @@ def test_order_of_rare_words_is_learned(spark):
     assert held and all(r["score"] > 0.75 * r["base_score"] for r in held)
 
 
-def test_counts_of_contexts_keep_a_distribution():
-    rng = np.random.default_rng(3)
-    # Three texts of six words, each with an end, and all words as the last ones of a text's first three.
-    words = rng.integers(1, 7, 60).astype(np.uint64) * np.uint64(7919)
-    text, hashes = np.repeat(np.arange(3), 21), np.insert(words, [20, 40, 60], lexicon.END)
-    seen = dict(zip(*(x.tolist() for x in np.unique(maxent.Grams(text, hashes).keys, return_counts=True)), strict=True))
-    counts = dict(zip(*(x.tolist() for x in np.unique(hashes, return_counts=True)), strict=True))
-    p = 0.0
-    for last in counts:
-        now = np.array([hashes[4], hashes[5], last, lexicon.END], np.uint64)
-        grams = maxent.Grams(np.zeros(4, np.int64), now)
-        count = np.array([seen.get(k, 0) for k in grams.keys.tolist()]).reshape(4, 4)
-        known = np.array([counts[w] for w in now.tolist()])
-        p += grams.corrected(known, count, np.full((3, 4), 4), np.zeros(4, np.int64), np.full(4, 1 / len(counts)))[2]
-    assert abs(p - 1) < 1e-9
-
-
-def test_probabilities_of_all_units_sum_to_one():
+def some_units(rng, levels=2):
+    """Units of the tokens 1, 2, … and rare ones, with counts."""
+    size = maxent.WIDTH ** levels
+    tokens = np.sort(rng.integers(1, 2**63, size - maxent.RARE).astype(np.uint64))
+    return maxent.Units(tokens, rng.permutation(len(tokens)), rng.integers(0, 50, size), rng.integers(0, 5, maxent.RARE))
+
+
+def test_scores_equal_a_plain_scorer():
+    rng = np.random.default_rng(1)
+    units = some_units(rng, 3)
+    weights = maxent.Weights.start(units, 1 << 10)
+    weights.rows = rng.normal(0, 0.3, weights.rows.shape).astype(np.float32)
+    text = np.repeat(np.arange(3), [40, 1, 9])
+    unit = rng.integers(0, len(units.total), len(text))
+    got = weights.log_probability(maxent.contexts(text, unit, len(units.total)), unit)
+
+    def mixed(x):
+        return int(maxent.mix(np.array([x % 2**64], np.uint64))[0])
+
+    for i in range(len(text)):
+        back = [int(unit[i - j]) if i >= j and text[i - j] == text[i] else len(units.total) for j in (1, 2)]
+        said = [back[0], back[0] * (len(units.total) + 1) + back[1], back[1]]
+        log = 0.0
+        for level in range(3):
+            below = unit[i] % 16**level
+            counts = [sum(units.total[u] + 0.5 for u in range(len(units.total)) if u % 16**level == below and u // 16**level % 16 == c) for c in range(16)]
+            klass = sum(16**k for k in range(level)) + int(below)
+            z = np.log(np.array(counts) / sum(counts))
+            for kind in range(maxent.KINDS[level]):
+                z += weights.rows[mixed(mixed(said[kind] + int(maxent._SALTS[kind])) + klass * int(maxent._CLASS)) % (1 << 10)]
+            log += z[unit[i] // 16**level % 16] - np.log(np.exp(z).sum())
+        assert abs(got[i] - log) < 1e-4
+
+
+def test_probabilities_of_all_tokens_sum_to_one():
     rng = np.random.default_rng(1)
-    units = maxent.Units(np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.integers(0, 50, maxent.CLASSES * maxent.MEMBERS), np.zeros(maxent.RARE, np.int64))
-    weights = maxent.start_weights(units)
-    for name in ("class_rows", "member_rows"):
-        weights[name] = rng.normal(0, 0.3, weights[name].shape).astype(np.float32)
-    every = np.arange(maxent.CLASSES * maxent.MEMBERS)
-    rows = np.repeat(maxent.features(np.zeros(5, np.int64), np.array([3, 1, 4, 1, 5]))[4:], len(every), axis=0)
-    assert abs(np.exp(maxent.log_probability(weights, rows, every)).sum() - 1) < 1e-4
+    units = some_units(rng)
+    weights = maxent.Weights.start(units, 1 << 9)
+    weights.rows = rng.normal(0, 0.3, weights.rows.shape).astype(np.float32)
+    every = np.arange(len(units.total))
+    context = maxent.contexts(np.zeros(5, np.int64), np.array([3, 1, 4, 1, 5]), len(every))[:, 4:]
+    assert abs(np.exp(weights.log_probability(np.repeat(context, len(every), axis=1), every)).sum() - 1) < 1e-4
+    # A shared unit's tokens: those that occur, and one that stands for all others.
+    units.total[-1], units.rare_words[-1] = 12, 3
+    shares = units.log_share(np.full(4, len(every) - 1), np.array([7, 4, 1, 0]))
+    assert abs(np.exp(shares).sum() - 1) < 1e-9
 
 
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(2)
     unit = np.concatenate([rng.permutation(8) if i % 2 else np.arange(8) for i in range(400)]).astype(np.int64)
-    units = maxent.Units(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.bincount(unit, minlength=maxent.CLASSES * maxent.MEMBERS), np.zeros(maxent.RARE, np.int64))
-    weights = maxent.start_weights(units)
-    rows = maxent.features(np.zeros(len(unit), np.int64), unit)
-    spent = {k: np.zeros(maxent.ROWS) for k in ("class_rows", "member_rows")}
-    before = maxent.log_probability(weights, rows, unit).mean()
+    units = some_units(rng)
+    units.total = np.bincount(unit, minlength=len(units.total))
+    weights = maxent.Weights.start(units, 1 << 12)
+    rows = maxent.contexts(np.zeros(len(unit), np.int64), unit, len(units.total))
+    spent, used = np.zeros(1 << 12), np.zeros(1 << 12, np.float32)
+    before = weights.log_probability(rows, unit).mean()
     for _ in range(10):
-        maxent.train_step(weights, spent, rows, unit)
-    assert maxent.log_probability(weights, rows, unit).mean() > before + 0.3
+        weights.train(spent, used, rows, unit)
+    assert weights.log_probability(rows, unit).mean() > before + 0.3
+    assert used.sum() == 10 * sum(maxent.KINDS[:2]) * len(unit)
+
+
+def test_sizes_grow_with_the_lexicon():
+    assert [maxent.levels_for(n) for n in (0, 900, 2000, 10**5, 10**9)] == [2, 2, 3, 4, 4]
+    assert maxent.rows_for(0) < maxent.rows_for(3 * 10**5) < maxent.rows_for(3 * 10**6) < maxent.rows_for(10**10) == 1 << maxent.MAX_ROW_BITS
+    assert maxent.rounds_for(0) < maxent.rounds_for(10**8) < maxent.rounds_for(10**11)
+
+
+def test_changes_of_partitions_come_together():
+    def sent(used, change):
+        change = np.full((4, maxent.WIDTH), change, np.float32)
+        scale = np.abs(change).max(axis=1) / 127
+        return {"used": np.full(4, used, np.float16).tobytes(), "scale": scale.astype(np.float16).tobytes(),
+                "steps": np.rint(change / np.maximum(scale, 1e-9)[:, None]).astype(np.int8).tobytes()}
+
+    def change(*partitions):
+        first = maxent._added((pa.scalar(0),), pa.Table.from_pylist([sent(*p) for p in partitions]))
+        used, squares, total = (np.frombuffer(maxent._merged((pa.scalar(0),), first)[c][0].as_py(), np.float32) for c in ("used", "squares", "total"))
+        return maxent.together(used, squares, total.reshape(4, maxent.WIDTH))[0, 0]
+
+    assert abs(change((3, 0.5)) - 0.5) < 0.01  # What one partition alone has seen is kept.
+    assert abs(change((50_000, 0.5), (50_000, 0.7), (50_000, 0.6)) - 0.6) < 0.01  # Of well-trained rows the mean is taken.
+    assert 0.9 < change((1, 0.5), (1, 0.5), (1, 0.5), (1, 0.5)) < 1.01  # Single tokens of four partitions go twice as far.
 
 
 def test_tokens_end_every_text():
