@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import checkpoint_only, elapsed_min, first_attempt, is_checkpoint
-from millrace.operators.ordering import approx_quantiles, exact_quantile, exact_quantiles, sketch_size
+from millrace.operators.ordering import approx_quantiles, exact_quantile, exact_quantiles, number_rows, sketch_size
 from millrace.session import store
 from millrace.sources import eventlog
 
@@ -171,25 +171,54 @@ def stack_runs(runs: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
 
 
+#: Rows of a key that one run may have in a task; keys with more are split.
+ROWS_PER_KEY = 1000
+
+
 def align_runs(runs: DataFrame, names: Sequence, key: Sequence[str], columns: Sequence[str],
                base_columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key that all runs have: the first run's columns plain, the others' as `<column>_<run>`.
 
     `runs` is in long form. What inner joins on the key give: a null key meets nothing, and a key that runs hold several
     times gives every combination of their rows. The runs meet in one aggregation, one shuffle for any number of runs,
-    where joins would take one each; a key's rows of a run are kept together in a list, so a key should have few.
+    where joins would take one each. Of a key that all runs have and one holds more than ROWS_PER_KEY times, the rows of
+    each run are numbered over partitions, and ranges of numbers meet each other: no task holds more than ROWS_PER_KEY of
+    a run, and the work of a hot key is spread as its combinations are. `runs` is read several times.
     """
+    key = list(key)
     base = [*(base_columns if base_columns is not None else columns)]
     wanted = [base if i == 0 else list(columns) for i in range(len(names))]
-    kept = runs.filter(F.col("run").isin(list(names))).dropna(subset=list(key))
-    lists = [
-        F.collect_list(F.when(F.col("run") == run, F.struct(F.lit(1).alias("__one"), *wanted[i]))).alias(f"__run_{i}")
-        for i, run in enumerate(names)]
-    met = kept.groupBy(*key).agg(*lists)
-    for i in range(len(names)):  # An empty list opens to no row: the key is missing in that run.
-        met = met.withColumn(f"__run_{i}", F.explode(f"__run_{i}"))
-    return met.select(*key, *(
-        F.col(f"__run_{i}.{c}").alias(c if i == 0 else f"{c}_{run}") for i, run in enumerate(names) for c in wanted[i]))
+    if len(names) == 1:
+        return runs.filter(F.col("run") == names[0]).dropna(subset=key).select(*key, *base)
+    run = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("run")).cast("int") - 1
+    kept = runs.filter(F.col("run").isin(list(names))).dropna(subset=key).withColumn("__run", run)
+
+    def met(rows: DataFrame, by: list[str]) -> DataFrame:
+        lists = [
+            F.collect_list(F.when(F.col("__run") == i, F.struct(F.lit(1).alias("__one"), *wanted[i]))).alias(f"__run_{i}")
+            for i in range(len(names))]
+        grouped = rows.groupBy(*by).agg(*lists)
+        for i in range(len(names)):  # An empty list opens to no row: the key is missing in that run.
+            grouped = grouped.withColumn(f"__run_{i}", F.explode(f"__run_{i}"))
+        return grouped.select(*key, *(
+            F.col(f"__run_{i}.{c}").alias(c if i == 0 else f"{c}_{n}") for i, n in enumerate(names) for c in wanted[i]))
+
+    counts = kept.groupBy(*key).agg(*(F.count_if(F.col("__run") == i).alias(f"__n{i}") for i in range(len(names))))
+    sizes = [F.col(f"__n{i}") for i in range(len(names))]
+    # Rows of a key that a run lacks meet nothing, however many they are; both kinds of keys are out of the main path.
+    large = store(counts.filter(F.greatest(*sizes) > ROWS_PER_KEY), "large-keys")
+    if large.isEmpty():
+        return met(kept, key)
+    split = large.filter(F.least(*sizes) > 0).select(*key, *(F.ceil(n / ROWS_PER_KEY).cast("int").alias(f"__parts{i}") for i, n in enumerate(sizes)))
+    few = kept.join(large.select(*key), key, "left_anti")
+    columns_used = list(dict.fromkeys([*base, *columns]))
+    hot = number_rows(kept.select("__run", *key, *columns_used).join(split.select(*key), key, "left_semi"),
+                      columns_used, by=["__run", *key], name="__number").join(split, key)
+    ranges = [f"__range{i}" for i in range(len(names))]
+    for i, name in enumerate(ranges):
+        own = F.array((F.col("__number") / ROWS_PER_KEY).cast("int"))
+        hot = hot.withColumn(name, F.explode(F.when(F.col("__run") == i, own).otherwise(F.sequence(F.lit(0), F.col(f"__parts{i}") - 1))))
+    return met(few, key).unionByName(met(hot, [*key, *ranges]))
 
 
 def mean_across(aligned: DataFrame, columns: Sequence[str], names: Sequence) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.ml.clustering import LDA, DistributedLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, RegexTokenizer, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,11 @@ def corpus_counts(df: DataFrame, size: int = 10_000, column: str = "tokens") ->
 def count_vectors(
     df: DataFrame, size: int = 10_000, column: str = "tokens", out: str = "features"
 ) -> tuple[CountVectorizerModel, DataFrame]:
-    model = CountVectorizer(inputCol=column, outputCol=out, vocabSize=size).fit(df)
+    """Counts of the `size` most frequent terms, of equally frequent ones the first by name, so that all runs take the same."""
+    counted = vocabulary(df, size, column).orderBy(F.desc("n_tokens"), "term")
+    words = [r["term"] for r in counted.select("term").collect()]
+    model = CountVectorizerModel.from_vocabulary(words, column, out) if words else CountVectorizer(
+        inputCol=column, outputCol=out, vocabSize=size).fit(df)
     return model, model.transform(df)
 
 
@@ -96,16 +101,51 @@ def topic_terms(model: DistributedLDAModel, words: Sequence[str], n: int = 10) -
     return heaviest.join(terms, "index").select("topic", "rank", "term", "weight")
 
 
-def lda_topics(
+def topic_weights(model: DistributedLDAModel, words: Sequence[str]) -> DataFrame:
+    """term, weights: how often each term of the vocabulary is taken for each topic; they add up to the term's count."""
+    weights = model.topicsMatrix().toArray()
+    return model.describeTopics(1).sparkSession.createDataFrame(
+        [(w, [float(x) for x in row]) for w, row in zip(words, weights, strict=True)], "term string, weights array<double>")
+
+
+def lda_log_likelihood(model: DistributedLDAModel, vectors: DataFrame, words: Sequence[str]) -> DataFrame:
+    """One row: n_docs, n_tokens and log_likelihood, the sum of log P(term | document) over the tokens of `vectors`.
+
+    Documents may be other ones than those learned from: each takes the mixture of topics that the model infers for it. The
+    terms' weights are one table of the vocabulary's size.
+    """
+    weights = model.topicsMatrix().toArray()
+    shares = weights / weights.sum(axis=0)
+    terms = vectors.sparkSession.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(shares)], "index int, share array<double>")
+    mixed = model.toLocal().transform(vectors.select("features")).select(
+        vector_to_array("topicDistribution").alias("mixture"), vector_to_array("features").alias("counts"))
+    pairs = mixed.select("mixture", F.posexplode("counts").alias("index", "n")).filter("n > 0").join(F.broadcast(terms), "index")
+    chance = F.aggregate(F.zip_with("mixture", "share", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    sums = pairs.agg(F.sum("n").cast("long").alias("n_tokens"), F.sum(F.col("n") * F.log(chance)).alias("log_likelihood"))
+    counted = vectors.agg(F.count(F.lit(1)).alias("n_docs"))
+    both = counted.unionByName(sums, allowMissingColumns=True)
+    return both.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_docs", "n_tokens", "log_likelihood")))
+
+
+def lda_of(
     df: DataFrame, k: int, iterations: int = 100, checkpoint_interval: int = -1, vocab_size: int = 10_000,
-    extra_stopwords: Sequence[str] = (), n: int = 10, seed: int = 42,
-) -> DataFrame:
-    """Topics of a corpus (a `text` column), from text to terms."""
+    extra_stopwords: Sequence[str] = (), seed: int = 42,
+) -> tuple[DistributedLDAModel, list[str], DataFrame]:
+    """The model, vocabulary and count vectors of a corpus (a `text` column)."""
     tokens = stopword_filter(tokenize(df.select("text")), extra_stopwords).select("tokens")
     words, vectors = count_vectors(tokens, vocab_size)
-    vectors = vectors.select("features").persist()
+    vectors = vectors.select("features")
+    kept = vectors.persist()
     try:
-        model = lda_fit(vectors, k, iterations, checkpoint_interval, seed)
+        return lda_fit(kept, k, iterations, checkpoint_interval, seed), words.vocabulary, vectors
     finally:
-        vectors.unpersist()
-    return topic_terms(model, words.vocabulary, n)
+        kept.unpersist()
+
+
+def lda_topics(
+    df: DataFrame, k: int, iterations: int = 100, checkpoint_interval: int = -1, vocab_size: int = 10_000,
+    extra_stopwords: Sequence[str] = (), n: int = 10, seed: int = 42,
+) -> DataFrame:
+    """Topics of a corpus (a `text` column), from text to terms."""
+    model, words, _ = lda_of(df, k, iterations, checkpoint_interval, vocab_size, extra_stopwords, seed)
+    return topic_terms(model, words, n)

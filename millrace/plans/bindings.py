@@ -7,6 +7,7 @@ read by the reader under test.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -758,6 +759,22 @@ def kmeans_fit(spark, sf_dir):
     return clustering.kmeans_summary(model, points).select("cluster", "size", F.round("cost", 6).alias("cost"))
 
 
+@query
+def kmeans_checked(spark, sf_dir):
+    """A fitted model's clusters: whether every point is in the nearest, and the costs add up to the model's."""
+    points = _points(spark, sf_dir)
+    model = clustering.kmeans_fit(points, 10)
+    sums = clustering.kmeans_summary(model, points)
+    told = model.transform(points.select(clustering.to_vector("point").alias("features"), "vec_id")).select("vec_id", "prediction")
+    assigned = clustering.kmeans_assign(points, clustering.kmeans_centres(model, spark)).join(told, "vec_id")
+    same = assigned.agg(F.bool_and(F.col("cluster") == F.col("prediction")).alias("nearest"))
+    cost = model.summary.trainingCost
+    total = sums.agg(F.sum("size").alias("n_points"), F.count(F.lit(1)).alias("n_clusters"),
+                     (F.abs(F.sum("cost") - cost) <= 1e-6 * cost).alias("cost_adds_up"))
+    both = total.unionByName(same, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("n_points", "n_clusters", "nearest", "cost_adds_up")))
+
+
 @query
 def kmeans_groups(spark, sf_dir):
     """Clusters of points in four groups that lie far apart: size and cost of each."""
@@ -809,12 +826,54 @@ def corpus_counts(spark, sf_dir):
 
 @query
 def lda_topics(spark, sf_dir):
-    return text.lda_topics(
-        spread(table(spark, sf_dir, "documents").select("text")), k=4, checkpoint_interval=10,
-        extra_stopwords=EXTRA_STOPWORDS)
+    model, words, _ = _lda(spark, sf_dir)
+    return text.topic_terms(model, words).withColumn("weight", F.round("weight", 6))
+
+
+#: The topic models of this application, by application and folder: fitted once for all queries on them.
+TOPIC_MODELS: dict[tuple[str, str], tuple] = {}
+
+
+def _lda(spark: SparkSession, sf_dir: str) -> tuple:
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in TOPIC_MODELS:
+        TOPIC_MODELS[name] = text.lda_of(spread(table(spark, sf_dir, "documents")), 4, checkpoint_interval=10, extra_stopwords=EXTRA_STOPWORDS)
+    return TOPIC_MODELS[name]
 
 
-# --- regression --------------------------------------------------------------------------------------------
+@query
+def lda_topics_checked(spark, sf_dir):
+    """Of every topic the heaviest terms: how many, and whether they come by falling weight and are shares of the topic."""
+    model, words, _ = _lda(spark, sf_dir)
+    terms = text.topic_terms(model, words)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "weight"))), lambda x: x["weight"])
+    by_topic = terms.groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"), ordered.alias("w"), F.sum("weight").alias("total"))
+    return by_topic.select(
+        "topic", "n_terms", (F.col("w") == F.reverse(F.array_sort("w"))).alias("falling"),
+        ((F.col("total") > 0) & (F.col("total") <= 1) & (F.array_min("w") > 0)).alias("shares"))
+
+
+@query
+def lda_term_sums(spark, sf_dir):
+    """How often each term is taken for any topic, which is how often it occurs."""
+    model, words, _ = _lda(spark, sf_dir)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
+    return text.topic_weights(model, words).select("term", F.round(total, 3).alias("total"))
+
+
+@query
+def lda_likelihood(spark, sf_dir):
+    """The likelihood of all tokens, and whether it is above that of equally likely terms and that of a single topic."""
+    model, words, vectors = _lda(spark, sf_dir)
+    found = text.lda_log_likelihood(model, vectors, words)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
+    one = text.topic_weights(model, words).select(total.alias("n")).agg(
+        F.sum(F.col("n") * F.log("n")).alias("s"), F.sum("n").alias("t")).select(
+        (F.col("s") - F.col("t") * F.log("t")).alias("alone"), (-F.col("t") * math.log(len(words))).alias("uniform"))
+    met = found.unionByName(one, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in (*found.columns, *one.columns)))
+    return met.select("n_docs", "n_tokens", (F.col("log_likelihood") > F.col("uniform")).alias("above_uniform"),
+                      (F.col("log_likelihood") > F.col("alone")).alias("above_one_topic"))
+
 
 @query
 def split_by_key(spark, sf_dir):

@@ -138,6 +138,17 @@ _PAGERANK = f"""
     {', '.join(_RANK_STEP.format(i, i - 1) for i in (1, 2, 3))}
     select src as node, round(rank, 6) as rank from r3"""
 
+_PAGERANK_ALL = """
+    with recursive e as (select distinct l_partkey as src, l_suppkey as dst from lineitem),
+    degrees as (select src, count(*) as degree from e group by 1),
+    links as materialized (select src, dst, degree from e join degrees using (src)),
+    r(round, src, rank) as (
+        select 0, src, 1.0::double from degrees
+        union all
+        select round + 1, dst, 0.15::double + 0.85::double * sum(rank / degree)
+        from links join r using (src) where round < 100 group by round, dst)
+    select src as node, round(rank, 6) as rank from r where round = 100"""
+
 _NEAREST = """
     with x as (
         select vec_id, label, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as v
@@ -447,6 +458,17 @@ ORACLES: dict[str, str] = {
         select l_partkey as src, count(distinct l_suppkey) as degree from lineitem group by 1""",
     "pagerank": _PAGERANK,
     "pagerank_checkpoint": _PAGERANK,
+    "pagerank_all_rounds": _PAGERANK_ALL,
+    "kmeans_checked": "select count(*) as n_points, 10::bigint as n_clusters, true as nearest, true as cost_adds_up from embeddings",
+    "lda_topics_checked": """
+        select cast(t as integer) as topic, 10::bigint as n_terms, true as falling, true as shares
+        from unnest(generate_series(0, 3)) as u(t)""",
+    "lda_term_sums": f"""
+        select term, cast(n_tokens as double) as total from ({_VOCABULARY} order by n_tokens desc, term limit 10000)""",
+    "lda_likelihood": f"""
+        select (select count(*) from documents) as n_docs,
+            (select cast(sum(n_tokens) as bigint) from ({_VOCABULARY} order by n_tokens desc, term limit 10000)) as n_tokens,
+            true as above_uniform, true as above_one_topic""",
     "kmeans_assign": f"select vec_id, cluster, round(distance, 6) as distance from ({_NEAREST})",
     "kmeans_cost": f"select round(sum(distance), 6) as cost from ({_NEAREST})",
     "tokenize": f"""

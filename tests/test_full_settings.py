@@ -20,7 +20,7 @@ class Called(Exception):
 
 @pytest.mark.parametrize("query, module, name, settings", [
     ("pagerank_all_rounds", graph, "pagerank", ["iterations", "checkpoint_every"]),
-    ("lda_topics", text, "lda_topics", ["iterations", "vocab_size"]),
+    ("lda_topics", text, "lda_of", ["iterations", "vocab_size"]),
     ("cv_metrics", failures, "nested_cv", ["grid_depths", "grid_bins", "folds", "iterations"]),
     ("failure_scores", failures, "nested_cv", ["grid_depths", "grid_bins", "folds", "iterations"]),
     ("gbt_regression", regression, "gbt_regression", ["iterations"]),
@@ -36,6 +36,7 @@ def test_queries_take_the_defaults(spark, monkeypatch, query, module, name, sett
 
     monkeypatch.setattr(module, name, stub)
     monkeypatch.setattr(bindings, "SELECTED", {})
+    monkeypatch.setattr(bindings, "TOPIC_MODELS", {})
     with pytest.raises(Called) as caught:
         entry.queries()[query](spark, SF_DIR)
     assert {s: caught.value.args[0][s] for s in settings} == {s: signature.parameters[s].default for s in settings}

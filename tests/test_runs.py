@@ -110,6 +110,17 @@ def test_whole_rows_of_repeated_keys_meet(spark):
     assert got == sorted([("k", a, b, c, d) for a, b in ((1, 5), (2, 1)) for c, d in ((7, None), (None, 8))], key=str)
 
 
+def test_rows_of_hot_keys_meet_range_by_range(spark, monkeypatch):
+    monkeypatch.setattr(runs, "ROWS_PER_KEY", 10)
+    rows = [(1, "hot", i, i % 3) for i in range(95)] + [(2, "hot", i % 2, None) for i in range(23)] + [(3, "hot", 7, 7)]
+    rows += [(1, "lone", i, 0) for i in range(50)] + [(r, f"k{i}", i, r) for i in range(20) for r in (1, 2, 3)] + [(1, None, i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "run int, k string, v int, w int").repartition(4)
+    aligned = runs.align_runs(df, [1, 2, 3], ["k"], ["v", "w"])
+    of = {k: {r: [(v, w) for q, j, v, w in rows if (q, j) == (r, k)] for r in (1, 2, 3)} for k in {k for _, k, _, _ in rows if k}}
+    want = [(k, *a, *b, *c) for k, r in of.items() for a in r[1] for b in r[2] for c in r[3]]
+    assert len(want) == 95 * 23 + 20 and sorted(map(tuple, aligned.collect()), key=str) == sorted(want, key=str)
+
+
 def test_separate_runs_are_stacked(spark):
     frames = {str(i): long_runs(spark).filter(F.col("run") == i).drop("run") for i in (1, 2)}
     aligned = runs.align_runs(runs.stack_runs(frames), ["1", "2"], ["k"], ["v"])
