@@ -4,7 +4,7 @@ Tokens are words with A-Z lowered and an end after each text. The most frequent
 share units by hash. Units are the leaves of a tree of classes: WIDTH classes, WIDTH in each, and so on. P(token | context) is
 the product over the levels of P(class | class above, context), times P(token in unit). Each of the former is a softmax over WIDTH
 children; what is summed up is the children's share of their class's count and the weights of the active features: the last
-unit, at the first levels also both last ones together and the one before the last (a skip), each together with the class.
+unit, at the first levels also both last ones together, and at the root the one before the last (a skip), each with the class.
 Their hash names a row of WIDTH weights.
 P(token in unit) is the token's smoothed share of its unit's count. So the scores are those of one model, a distribution over all
 tokens after any context, for training texts and others alike.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,13 @@ WIDTH, MAX_LEVELS, RARE = 16, 4, 64
 #: Rows of weights, tokens of a gradient step, step size, and tokens of a corpus that is trained on in two rounds.
 MIN_ROW_BITS, MAX_ROW_BITS, BATCH, RATE, SMALL = 15, 20, 1 << 13, 0.4, 1 << 20
 #: Kinds of features (the last unit, the last two, a skip) that count at each level; the first alone further down.
-KINDS = (3, 3, 1, 1)
+KINDS = (3, 2, 1, 1)
 #: What a row counts as spent before its first step: the more, the less a single token teaches.
 FIRST = 1.0
 #: Tokens of a row in a partition that are few, slices of rows, and partitions that one task adds up.
 FEW, SLICES, LANE = 32, 32, 256
+#: Tokens are found by the first 64 - SLOT bits of their hash.
+SLOT = np.uint64(44)
 
 _SALTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xAF251AF3B0F025B5))
 _CLASS = np.uint64(0x9E3779B97F4A7C15)
@@ -84,12 +87,27 @@ class Units:
     def levels(self) -> int:
         return round(math.log(len(self.total), WIDTH))
 
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """By the first bits of a hash: a token with these (0 if none has), and whether others have them too."""
+        slot = (self.tokens >> SLOT).astype(np.int64)
+        place = np.zeros(1 << (64 - int(SLOT)), np.int32)
+        place[slot] = np.arange(len(slot))
+        return place, np.bincount(slot, minlength=len(place)) > 1
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         unit = self.top + lexicon.rare_unit(hashes, RARE)
-        if len(self.tokens):
-            place = np.minimum(np.searchsorted(self.tokens, hashes), len(self.tokens) - 1)
-            unit = np.where(self.tokens[place] == hashes, self.rank[place], unit)
-        return unit
+        if not len(self.tokens):
+            return unit
+        places, shared = self.slots
+        slot = (hashes >> SLOT).astype(np.int64)
+        place = places.take(slot)
+        open_slot = np.flatnonzero(shared.take(slot))
+        place[open_slot] = np.minimum(np.searchsorted(self.tokens, hashes[open_slot]), len(self.tokens) - 1)
+        return np.where(self.tokens.take(place) == hashes, self.rank.take(place), unit)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "slots"}
 
     def log_share(self, unit: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log P(token | unit) of tokens with these training counts."""

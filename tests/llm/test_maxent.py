@@ -148,3 +148,13 @@ def test_empty_table_and_no_training_text(spark, nothing):
     (row,) = maxent.score(spark.createDataFrame([(only, "some words")], "doc_id long, text string")).collect()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 3, 0, 0, 0.0)
     assert row["score"] < 0
+
+
+def test_tokens_find_their_units():
+    rng = np.random.default_rng(4)
+    units = some_units(rng, 3)
+    units.tokens = np.sort(np.concatenate([units.tokens[:-300], units.tokens[:300] + np.uint64(1)]))  # Some with the same first bits.
+    rank = dict(zip(units.tokens.tolist(), units.rank.tolist(), strict=True))
+    asked = np.concatenate([units.tokens, rng.integers(1, 2**63, 500).astype(np.uint64), units.tokens[:50] + np.uint64(7)])
+    rare = units.top + lexicon.rare_unit(asked, maxent.RARE)
+    assert units.of(asked).tolist() == [rank.get(x, int(r)) for x, r in zip(asked.tolist(), rare, strict=True)]
