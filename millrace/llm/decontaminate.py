@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Scratch
+from millrace.llm.groups import fresh
 
 WINDOW = 10
 #: Rows of a benchmark table that may be sent to every executor.
@@ -150,5 +151,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, without those whose own text holds an item's window."""
-    dirty = matches(docs, benchmark).filter(F.size("hits") > 0).select(F.col("key").alias("__dirty")).distinct()
-    return docs.join(dirty, row_key() == F.col("__dirty"), "left_anti")
+    name = fresh("__dirty", docs.columns)
+    dirty = matches(docs.select("doc_id", "text"), benchmark).filter(F.size("hits") > 0).select(F.col("key").alias(name)).distinct()
+    return docs.join(dirty, row_key() == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from millrace.llm.groups import dealt, repeated
+from millrace.llm.groups import dealt, fresh, repeated
 from millrace.llm.words import SPACE, Spans, Texts, blobs, joined
 
 LENGTH, START = 13, 7
@@ -34,7 +34,6 @@ GROUP_BYTES = 4 << 20
 #: Buckets of windows for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 
-COPIES = StructField("__copies", LongType())
 _NO_DOC = -(2**63)
 
 
@@ -143,8 +142,8 @@ def finish_repeats(
     spark = docs.sparkSession
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lengths = levels(length, start)
-    texts = dealt(docs, GROUP_BYTES, "__part", "__copies")
-    grouped = texts.groupBy("__part")
+    part, copies = fresh("__part", docs.columns), fresh("__copies", docs.columns)
+    grouped = dealt(docs, GROUP_BYTES, part, copies).groupBy(part)
 
     def first_level(key: tuple, table: pa.Table) -> pa.Table:
         group = _Group(table)
@@ -181,9 +180,10 @@ def finish_repeats(
         step = np.zeros(len(group.hashes) + 1, dtype=np.int64)
         step[at[found]] += 1
         step[at[found] + length] -= 1
-        return finish(group, np.cumsum(step)[:-1] > 0).append_column("__copies", group.batch.column("__copies"))
+        return finish(group, np.cumsum(step)[:-1] > 0).append_column(copies, group.batch.column(copies))
 
-    return repeated(grouped.cogroup(answered.groupBy("part")).applyInArrow(last, StructType([*schema, COPIES])), "__copies")
+    return repeated(grouped.cogroup(answered.groupBy("part")).applyInArrow(
+        last, StructType([*schema, StructField(copies, LongType())])), copies)
 
 
 def _kept_bytes(group: _Group, covered: np.ndarray, text: int) -> list[tuple[int, int]]:

@@ -64,3 +64,22 @@ def test_cuts_leave_other_text_as_it_is(awkward, awkward_rows):
 def test_empty_table(nothing):
     assert passages.repeated_words(nothing).collect() == []
     assert passages.cut_repeats(nothing).collect() == []
+
+
+def test_any_columns_may_come_along(spark):
+    same = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, same if i % 2 else f"own text {i}", {"a": i, "b": None}, [i], (i, {"x": 1.5}), "p", "c", 7) for i in range(12)] * 2
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, m map<string, int>, a array<int>, s struct<i: int, m: map<string, double>>, __part string, __copies string, __row int")
+    cut = passages.cut_repeats(docs, 13, 7)
+    assert cut.schema == docs.schema
+    got = sorted(map(str, cut.collect()))
+    want = [(i, "" if i % 2 and i > 1 else text, *rest) for i, text, *rest in rows]
+    assert got == sorted(map(str, spark.createDataFrame(want, docs.schema).collect()))
+
+
+def test_hot_rows_with_maps_are_taken_once(spark, monkeypatch):
+    monkeypatch.setattr(passages, "GROUP_BYTES", 500)
+    rows = [(1, "some words that come again", {"a": 1, "b": 2})] * 200 + [(2, "others", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")
+    assert sorted(map(str, passages.cut_repeats(docs, 3, 2).collect())) == sorted(map(str, docs.collect()))
