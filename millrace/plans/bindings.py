@@ -791,6 +791,15 @@ def kmeans_assign(spark, sf_dir):
     return _rounded(assigned.select("vec_id", "cluster", "distance"), "distance")
 
 
+@query
+def kmeans_assign_many(spark, sf_dir):
+    """The nearest of a third of the points, kept as a table in blocks."""
+    points = _points(spark, sf_dir).select("vec_id", "point")
+    centres = points.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("cluster"), F.col("point").alias("centre"))
+    return _rounded(clustering.nearest_of_many(points, centres.withColumn("centre", F.col("centre").cast("array<double>"))).select(
+        "vec_id", "cluster", "distance"), "distance")
+
+
 @query
 def kmeans_cost(spark, sf_dir):
     points = _points(spark, sf_dir)

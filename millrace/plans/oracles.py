@@ -459,6 +459,13 @@ ORACLES: dict[str, str] = {
     "pagerank": _PAGERANK,
     "pagerank_checkpoint": _PAGERANK,
     "pagerank_all_rounds": _PAGERANK_ALL,
+    "kmeans_assign_many": """
+        with x as (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as v from embeddings),
+        d as (
+            select a.vec_id, b.vec_id as cluster, sum((a.v - b.v) * (a.v - b.v)) as distance
+            from x a join x b using (i) where b.vec_id % 3 = 0 group by 1, 2)
+        select vec_id, cluster, round(distance, 6) as distance from d
+        qualify row_number() over (partition by vec_id order by distance, cluster) = 1""",
     "kmeans_checked": "select count(*) as n_points, 10::bigint as n_clusters, true as nearest, true as cost_adds_up from embeddings",
     "lda_topics_checked": """
         select cast(t as integer) as topic, 10::bigint as n_terms, true as falling, true as shares
