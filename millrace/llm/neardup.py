@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import Scratch, components
+from millrace.llm.groups import fresh
 from millrace.llm.words import PLAIN, Texts, mix, pieces, run_hashes
 
 SHINGLE, REGISTERS, BAND, SIMILARITY = 5, 96, 4, 0.8
@@ -270,9 +271,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of `docs`, all columns, of every class: the one with the smallest doc_id. Rows without text stay."""
-    kept = classes(docs, least).filter("keeper AND node IS NOT NULL").select(
-        F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
-    keyed = docs.filter("text IS NOT NULL").withColumn("__key", text_key())
-    rows = keyed.join(kept, (keyed["__key"] == kept["__node"]) & keyed["doc_id"].eqNullSafe(kept["__doc"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__key"]).drop("__key").unionByName(docs.filter("text IS NULL"))
+    """One row of `docs`, all columns, of every class: the one with the smallest doc_id. Rows without text stay.
+
+    Of rows equal in doc_id and text that differ elsewhere any one stays.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key, doc, node = (fresh(n, docs.columns) for n in ("__key", "__doc", "__node"))
+    kept = classes(docs, least).filter("keeper AND node IS NOT NULL").select(F.col("doc_id").alias(doc), F.col("node").alias(node)).distinct()
+    keyed = docs.filter("text IS NOT NULL").withColumn(key, text_key())
+    rows = keyed.join(kept, (keyed[key] == kept[node]) & keyed["doc_id"].eqNullSafe(kept[doc]), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).select(*columns).unionByName(docs.filter("text IS NULL"))

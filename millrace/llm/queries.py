@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import (
     conversations, decontaminate, filters, huffman, maxent, neardup, packing, passages, quality, recipes, sharding, strata, toxicity,
@@ -46,7 +47,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_docs", "links")
+    return found.select("doc_id", "class_id", "class_docs", F.col("links").alias("spanning_links"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

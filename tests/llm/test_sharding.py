@@ -32,6 +32,14 @@ def test_copies_of_one_text_are_split(spark):
     assert {sum(r["shard"] == i for r in rows) for i in range(40)} == {75}
 
 
+def test_equal_rows_are_split(spark):
+    rows = [(None, None)] * 700 + [(7, "the same row " * 20)] * 100 + [(i, f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = sharding.place(docs, 40).collect()
+    held(found, 40)
+    assert len({r["shard"] for r in found}) == 40
+
+
 def test_a_tolerance_needs_fewer_probes(awkward):
     rows = sharding.place(awkward, 5, tolerance=500.0).collect()
     held(rows, 5)
