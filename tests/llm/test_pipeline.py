@@ -33,7 +33,7 @@ def test_stages_take_awkward_and_empty_tables(spark, awkward, nothing):
 
 
 def test_all_queries_are_registered():
-    assert {f"op{i}" for i in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(oracles.ORACLES) <= set(queries.QUERIES)
 
@@ -43,7 +43,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.execute(oracles.ORACLES[name]).fetchall()
     columns = [c[0] for c in con.description]
