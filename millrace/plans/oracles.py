@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
         union all select 'evaluation', 'areaUnderPR', '', 1.0::double, 0.0::double""",
     "failure_scores": f"""
         select doc_id, cast(label as integer) as labels, map_reduce, plan_cpu, cpu_avg, cpu_max, quality, label as prediction
-        from (select *, cast(quality = 1 and map_reduce = 'm' as double) as label from ({STUDY}))
+        from (select *, cast(map_reduce = 'm' as double) as label from ({STUDY}))
         where {key_share("part77", "doc_id")} >= 3221225472""",
     "curve_areas": f"""
         with counted as (
