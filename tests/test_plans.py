@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
 
 from millrace.operators import orders, runs
+from millrace.plans import bindings
 from millrace.session import store
 from millrace.sources import eventlog
 
@@ -54,3 +56,17 @@ def test_distances_are_held_a_few_at_a_time(spark, monkeypatch):
     centres = spark.createDataFrame([(i, [10.0 * i]) for i in range(10)], "cluster long, centre array<double>")
     got = {r.id: r.cluster for r in clustering.kmeans_assign(points, centres).collect()}
     assert got == {i: min(range(10), key=lambda c: (abs(i - 10 * c), c)) for i in range(100)}
+
+
+def test_no_log_line_is_shuffled_and_logs_are_packed(spark, folder):
+    spark.range(400).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "timestamp '2024-01-01' AS o_orderdate", "id * 1.5D AS o_totalprice",
+        "if(id % 2 = 0, 'F', 'O') AS o_orderstatus", "'1-URGENT' AS o_orderpriority").write.parquet(f"{folder}/orders.parquet")
+    spark.range(4000).selectExpr(
+        "id % 400 AS l_orderkey", "cast(id % 7 + 1 AS int) AS l_linenumber", "id AS l_partkey", "id % 5 AS l_suppkey", "1.0D AS l_quantity",
+        "2.0D AS l_extendedprice", "timestamp '2024-01-02' AS l_shipdate", "'R' AS l_returnflag", "'O' AS l_linestatus",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    lines = bindings.event_lines(spark, folder)
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in lines.inputFiles())
+    text_size = lines.selectExpr("sum(length(value)) AS n").head().n
+    assert lines.count() > 8000 and size < text_size / 3
