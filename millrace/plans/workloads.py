@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import DistributedLDAModel, KMeansModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import logs
 from millrace.operators import clustering, failures, graph, orders, regression, runs, text
+from millrace.operators.topics import TopicModel
 from millrace.sources import eventlog, sinks
 from millrace.sources import text as readers
 
@@ -52,7 +53,7 @@ def kmeans(spark: SparkSession, path: str, k: int, iterations: int = 100, seed:
 
 
 class Topics(NamedTuple):
-    model: DistributedLDAModel
+    model: TopicModel
     avg_loglik: float
     counts: DataFrame
     terms: DataFrame

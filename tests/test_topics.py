@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from millrace.operators import text
+from millrace.operators import text, topics
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +49,32 @@ def test_terms_by_topic(fitted):
     topics = {t: [r.term[:3] for r in sorted(rows, key=lambda r: r["rank"]) if r.topic == t] for t in (0, 1)}
     assert sorted(map(tuple, topics.values())) == [("sea",) * 5, ("sky",) * 5]
     assert text.lda_avg_loglik(model, 62) < 0
+
+
+def test_rounds_are_those_of_plain_em(spark, corpus):
+    docs = [t for t in corpus if t.strip()]
+    tokens = text.tokenize(spark.createDataFrame([(t,) for t in docs], "text string").coalesce(1), out="tokens")
+    words, vectors = text.count_vectors(tokens)
+    counts = np.stack([r.features.toArray() for r in vectors.select("features").collect()])
+    document, term = np.nonzero(counts)
+    n, k, rounds, seed = counts[document, term], 3, 7, 5
+    drawn = np.random.default_rng([seed, zlib.crc32(term.astype(np.int32).tobytes()), zlib.crc32(n.astype(np.float32).tobytes())]).random((len(term), k))
+    taken = drawn / drawn.sum(axis=1)[:, None] * n[:, None]
+    alpha, eta = 50 / k + 1, 1.1
+    for _ in range(rounds + 1):
+        of_document, of_term = np.zeros((len(docs), k)), np.zeros((counts.shape[1], k))
+        for i in range(len(term)):
+            of_document[document[i]] += taken[i]
+            of_term[term[i]] += taken[i]
+        shares = (of_term + eta - 1) / (of_term.sum(axis=0) + len(of_term) * (eta - 1))
+        taken = shares[term] * (of_document + alpha - 1)[document]
+        taken *= (n / taken.sum(axis=1))[:, None]
+    model = topics.fit(vectors, k, rounds, 3, seed)
+    assert model.weights == pytest.approx(of_term)
+    mixture = (of_document + alpha - 1) / (of_document + alpha - 1).sum(axis=1, keepdims=True)
+    assert model.log_likelihood == pytest.approx((n * np.log((shares[term] * mixture[document]).sum(axis=1))).sum())
+
+
+def test_documents_meet_only_their_own_terms(spark, fitted):
+    model, words, vectors = fitted
+    assert "posexplode" not in text.lda_log_likelihood(model, vectors, words)._jdf.queryExecution().toString()
