@@ -70,3 +70,13 @@ def test_no_log_line_is_shuffled_and_logs_are_packed(spark, folder):
     size = sum(os.path.getsize(f.removeprefix("file://")) for f in lines.inputFiles())
     text_size = lines.selectExpr("sum(length(value)) AS n").head().n
     assert lines.count() > 8000 and size < text_size / 3
+
+
+def test_a_large_group_meets_its_median_in_pieces(spark, folder, monkeypatch):
+    monkeypatch.setattr(bindings, "ROWS_PER_PIECE", 100)
+    spark.range(1000).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "if(id % 10 = 0, null, id % 3) AS l_suppkey", "id * 1.5D AS l_extendedprice",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    found = bindings.approx_medians(spark, folder)
+    assert "piece" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(-1, 1000, True), (0, 300, True), (1, 300, True), (2, 300, True)]
