@@ -28,6 +28,8 @@ from millrace.session import delete_path, scratch_path
 
 #: Categories are numbered in 16 bits.
 MAX_CATEGORIES = (1 << 16) - 1
+# Cells of nodes that a task hands on at a time.
+SUMS_PER_BATCH = 1 << 18
 #: Trees after which the margins of rows are stored, so that no pass works out more of them anew.
 STORED_TREES = 5
 #: Nodes that may still be split.
@@ -302,11 +304,16 @@ class Growing:
                 total[k] += np.bincount(cells, weights=weights, minlength=size).reshape(-1, width)
                 for i, value in enumerate((np.ones(len(use)), residual, residual * residual)):
                     whole[k][:, i] += np.bincount(node, weights=value, minlength=len(nodes[k]))
-        out = [(k, int(o), np.concatenate([w, c, t]).tobytes())
-               for k, named in enumerate(nodes) for o, w, c, t in zip(named, whole[k], count[k], total[k], strict=True) if w[0]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())],
-            ["model", "node", "sums"])
+        # A few at a time, as the open nodes grow with the rows.
+        for k, named in enumerate(nodes):
+            step = max(1, SUMS_PER_BATCH // layout.width(self.points[k]))
+            for at in range(0, len(named), step):
+                out = [(k, int(o), np.concatenate([w, c, t]).tobytes()) for o, w, c, t in zip(
+                    *(x[at:at + step] for x in (named, whole[k], count[k], total[k])), strict=True) if w[0]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())],
+                    ["model", "node", "sums"])
+            count[k] = total[k] = None
 
     def best(self, key: tuple, table: pa.Table) -> pa.Table:
         """The best split of a node, from the sums of all tasks."""

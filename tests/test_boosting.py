@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,22 @@ def test_empty_and_one_sided_rows(spark):
         df = spark.createDataFrame(rows, schema)
         models, _ = boosting.grow(df, [boosting.Point(3, 4)], F.lit(0), 1, F.col("i"), "label", ["x"], "kind", iterations=2)
         assert all(r.margin >= 0 for r in models[0].score(df).collect())
+
+
+def test_sums_of_many_nodes_leave_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    layout, point, n = boosting.Layout(0, [8], 2, 3), boosting.Point(4, 8), 300
+    tree = boosting.Tree.of(4)
+    for node in range(7):
+        tree.feature[node], tree.cut[node], tree.feature[2 * node + 1:2 * node + 3] = node % 2, 3, boosting.OPEN
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(np.zeros(n, np.int32)), pa.array(rng.choice([-1.0, 1.0], n)), pa.array(np.arange(n)),
+        pa.array([x.tobytes() for x in rng.integers(0, 8, (n, 2)).astype(np.uint8)], pa.binary()),
+        pa.array(rng.integers(0, 3, n).astype(np.int32)), pa.array([b""] * n, pa.binary())],
+        ["fold", "label", "key", "bins", "category", "margins"])
+    state = boosting.Growing(layout, [point], [[tree]], 0, 0.1, 1.0, 7)
+    whole = pa.Table.from_batches(state.sums(iter([batch])))
+    monkeypatch.setattr(boosting, "SUMS_PER_BATCH", 2 * layout.width(point))
+    parts = list(state.sums(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 2 < whole.num_rows
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
