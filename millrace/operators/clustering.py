@@ -67,6 +67,14 @@ def group_means(df: DataFrame, group: str, point: str = "point") -> DataFrame:
     return df.groupBy(F.col(group).alias("cluster")).agg(vector_to_array(mean).alias("centre"))
 
 
+def _compared(points: np.ndarray, centres: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Squared distances of points (rows) and centres without the points' own norms, in one array."""
+    out = points @ centres.T
+    out *= -2.0
+    out += norms
+    return out
+
+
 def _nearest(numbers: np.ndarray, centres: np.ndarray):
     """A function from points to (cluster, squared distance) of the nearest of these centres.
 
@@ -88,7 +96,7 @@ def _nearest(numbers: np.ndarray, centres: np.ndarray):
             best, distance = np.zeros(len(x), dtype="int64"), np.zeros(len(x))
             for at in range(0, len(x), step):
                 part = x[at:at + step]
-                found = (norms - 2.0 * (part @ centres.T)).argmin(axis=1)
+                found = _compared(part, centres, norms).argmin(axis=1)
                 best[at:at + step] = found
                 distance[at:at + step] = ((part - centres[found]) ** 2).sum(axis=1)
             place = np.cumsum(whole) - 1
@@ -123,7 +131,7 @@ def kmeans_assign(
 
 
 def _bounds(pivots: np.ndarray, blocks: np.ndarray, all_within: bool):
-    """A function from points (and squared distances) to numbers of blocks.
+    """A function from points to the number of a block, or from batches of __row, __point, __seen, __limit to `blocks` of each.
 
     A block's centres are at distances from `low` to `high` of its pivot, so none is nearer to a point than the point's own
     distance from the pivot is outside of these. The block with the least of such bounds, or `all_within` the distance.
@@ -131,36 +139,36 @@ def _bounds(pivots: np.ndarray, blocks: np.ndarray, all_within: bool):
     norms, pivot = (pivots * pivots).sum(axis=1), blocks[:, 0].astype(np.int64)
     step = max(1, MAX_DISTANCES // max(len(blocks), len(pivots), pivots.shape[1]))
 
-    def nearest_first(points: pa.Array, limits: np.ndarray | None) -> pa.Array:
+    def bounded(points: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         x = points.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(-1, pivots.shape[1])
-        out, sizes = [], []
         for at in range(0, len(x), step):
             part = x[at:at + step]
-            away = np.sqrt(np.maximum(norms - 2.0 * (part @ pivots.T) + (part * part).sum(axis=1)[:, None], 0))[:, pivot]
-            least = np.maximum(np.maximum(away - blocks[:, 2], blocks[:, 1] - away), 0)
-            if limits is None:
-                # Of the blocks with the least bound, mostly 0, the one around the nearest pivot.
-                out.append(np.where(least <= least.min(axis=1, keepdims=True), away, np.inf).argmin(axis=1))
-                sizes.append(np.ones(len(part), np.int64))
-            else:
-                # A little more than the bound, as distances are rounded.
-                row, found = np.nonzero(least <= (np.sqrt(limits[at:at + step]) * (1 + 1e-9) + 1e-9)[:, None])
-                out.append(found)
-                sizes.append(np.bincount(row, minlength=len(part)))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
-        values = np.concatenate([np.zeros(0, np.int64), *out])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
+            away = np.sqrt(np.maximum(_compared(part, pivots, norms) + (part * part).sum(axis=1)[:, None], 0))[:, pivot]
+            yield at, away, np.maximum(np.maximum(away - blocks[:, 2], blocks[:, 1] - away), 0)
 
     if all_within:
-        def within(points: pa.Array, limits: pa.Array) -> pa.Array:
-            return nearest_first(points, limits.to_numpy(zero_copy_only=False))
-
-        return F.arrow_udf(within, "array<long>")
+        # Points can be near to most blocks, so their lists leave for a few points at a time.
+        def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                limits = batch.column("__limit").to_numpy(zero_copy_only=False)
+                for at, _, least in bounded(batch.column("__point")):
+                    # A little more than the bound, as distances are rounded.
+                    row, found = np.nonzero(least <= (np.sqrt(limits[at:at + step]) * (1 + 1e-9) + 1e-9)[:, None])
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(least)))])
+                    part = batch.slice(at, len(least))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("__row"), part.column("__point"), part.column("__seen"),
+                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int64()))],
+                        ["__row", "__point", "__seen", "blocks"])
+
+        return within
 
     def first(points: pa.Array) -> pa.Array:
-        return nearest_first(points, None)
+        # Of the blocks with the least bound, mostly 0, the one around the nearest pivot.
+        found = [np.where(least <= least.min(axis=1, keepdims=True), away, np.inf).argmin(axis=1) for _, away, least in bounded(points)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())
 
-    return F.arrow_udf(first, "array<long>")
+    return F.arrow_udf(first, "long")
 
 
 def _visited(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -184,7 +192,7 @@ def _visited(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
         best, distance = np.zeros(len(x), "int64"), np.zeros(len(x))
         for at in range(0, len(x), step):
             part = x[at:at + step]
-            found = (norms - 2.0 * (part @ centres.T)).argmin(axis=1)
+            found = _compared(part, centres, norms).argmin(axis=1)
             best[at:at + step] = cluster[found]
             distance[at:at + step] = ((part - centres[found]) ** 2).sum(axis=1)
         return pa.table({"__row": row, "cluster": best, "distance": distance})
@@ -220,11 +228,13 @@ def nearest_of_many(points: DataFrame, centres: DataFrame, point: str = "point")
     rows = store(points.withColumn("__row", F.monotonically_increasing_id()), "points")
     numbers = F.col(point).cast("array<double>")
     whole = rows.filter((F.size(numbers) == pivots.shape[1]) & ~F.exists(numbers, lambda x: x.isNull())).select("__row", numbers.alias("__point"))
-    first = whole.select("__row", "__point", _bounds(pivots, bounds, False)("__point")[0].alias("block"))
+    first = whole.select("__row", "__point", _bounds(pivots, bounds, False)("__point").alias("block"))
     found = store(_visited(first, blocks), "found")
     left = whole.join(found.select("__row", F.col("distance").alias("__limit")), "__row").join(
         first.select("__row", F.col("block").alias("__seen")), "__row")
-    others = left.select("__row", "__point", "__seen", F.explode(_bounds(pivots, bounds, True)("__point", "__limit")).alias("block"))
+    others = left.select("__row", "__point", "__seen", "__limit").mapInArrow(
+        _bounds(pivots, bounds, True), "__row long, __point array<double>, __seen long, blocks array<long>",
+    ).select("__row", "__point", "__seen", F.explode("blocks").alias("block"))
     more = _visited(others.filter("block <> __seen").drop("__seen"), blocks)
     best = found.unionAll(more).groupBy("__row").agg(F.min(F.struct("distance", "cluster")).alias("__best"))
     return rows.join(best, "__row", "left").select(

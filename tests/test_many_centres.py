@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.operators import clustering
@@ -46,3 +47,19 @@ def test_centres_are_not_in_the_plan(spark):
     points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(rng.normal(0, 1, (300, 2)))], "id int, point array<double>")
     found = clustering.kmeans_assign(points, table, max_coordinates=50_000)
     assert found.filter("distance > 0.01").count() < 30 and found.count() == 300
+
+
+def test_lists_of_blocks_leave_for_a_few_points_at_a_time(monkeypatch):
+    monkeypatch.setattr(clustering, "MAX_DISTANCES", 60)
+    rng = np.random.default_rng(5)
+    pivots, points = rng.normal(0, 1, (4, 3)), rng.normal(0, 1, (25, 3))
+    blocks = np.array([[i % 4, 0.0, 0.5 + i] for i in range(12)])
+    limits = rng.uniform(0, 2, 25)
+    batch = pa.RecordBatch.from_pydict({
+        "__row": np.arange(25), "__point": pa.array(points.tolist()), "__seen": np.zeros(25, np.int64), "__limit": limits})
+    parts = list(clustering._bounds(pivots, blocks, True)(iter([batch])))
+    assert [p.num_rows for p in parts] == [5] * 5
+    found = {r["__row"]: r["blocks"] for p in parts for r in p.to_pylist()}
+    away = np.sqrt(((points[:, None] - pivots) ** 2).sum(axis=2))[:, blocks[:, 0].astype(int)]
+    least = np.maximum(np.maximum(away - blocks[:, 2], blocks[:, 1] - away), 0)
+    assert found == {i: np.flatnonzero(least[i] <= np.sqrt(limits[i])).tolist() for i in range(25)}
