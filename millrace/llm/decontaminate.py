@@ -114,6 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = proximity(index, items, rarest).groupBy(F.col("doc_id").alias("near_doc")).agg(F.count(F.lit(1)).alias("near"))
     found = found.join(near, F.col("in_doc") == F.col("near_doc"), "full").select(
         F.coalesce("in_doc", "near_doc").alias("in_doc"), "found", "near")
+    found = room.store(found)
 
     def starts(candidate: Column) -> Column:
         """The places in the item whose window the document has on this diagonal."""
@@ -122,15 +123,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.filter(places, lambda i: F.slice(F.col("doc_words"), candidate["diagonal"] + i + 1, candidate["width"])
                         == F.slice(candidate["words"], i + 1, candidate["width"]))
 
-    with_words = docs.select(row_key().alias("key"), "doc_id", words_of(F.col("text")).alias("doc_words"))
-    joined = with_words.join(found, F.col("key") == F.col("in_doc"), "left")
+    # Only the texts of documents in which something was found meet it; of the others the number of words is enough.
+    keyed, in_found = docs.select(row_key().alias("key"), "doc_id", "text"), F.col("key") == F.col("in_doc")
+    keys = small(found.select("in_doc"))
+    others = keyed.join(keys, in_found, "left_anti")
+    joined = keyed.join(keys, in_found, "left_semi").join(found, in_found).withColumn("doc_words", words_of(F.col("text")))
     hits = F.filter(
         F.transform(F.col("found"), lambda c: F.struct(
             c["item_id"].alias("item_id"), c["width"].alias("width"), c["diagonal"].alias("diagonal"), starts(c).alias("starts"))),
         lambda h: F.size(h["starts"]) > 0)
-    return joined.select(
+    checked = joined.select(
         "key", "doc_id", F.size("doc_words").cast("long").alias("n_words"),
         F.coalesce(hits, F.array()).alias("hits"), F.coalesce("near", F.lit(0)).alias("near"))
+    return checked.unionAll(others.select(
+        "key", "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"),
+        F.array().cast(checked.schema["hits"].dataType).alias("hits"), F.lit(0).cast(checked.schema["near"].dataType).alias("near")))
 
 
 def hit_words(hits: Column) -> Column:

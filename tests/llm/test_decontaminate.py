@@ -100,3 +100,12 @@ def test_empty_tables(spark, awkward, awkward_rows, nothing):
 def test_main_path_is_native(spark, awkward, items):
     plan = decontaminate.report(awkward, spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_texts_without_a_find_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some more") for i in range(50)] + [(50, "a b c d"), (50, "a b c d"), (None, None)], "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame([("x", "b c")], "item_id string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "doc_words" not in " ".join(x for x in plan.split("\n") if "SortMergeJoin" in x)
+    rows = sorted((r.doc_id or 0, r.n_words, len(r.hits)) for r in found.collect())
+    assert len(rows) == 53 and rows[-2:] == [(50, 4, 1)] * 2 and (0, 0, 0) in rows and sum(r[2] for r in rows) == 2
