@@ -193,6 +193,22 @@ def test_models_describe_themselves(fitted):
     assert fitted[2].stages[-1].getOrDefault("checkpointInterval") == 2
 
 
+def test_rows_of_equal_features_are_one_to_the_learner(spark):
+    rows = [(float(i % 3), float(i % 5), float((i * 7) % 11)) for i in range(300)]
+    train = spark.createDataFrame(rows, "a double, b double, y double")
+    model = regression.gbt_regression(train, "y", ["a", "b"], 3)
+    assert model.stages[-1].getOrDefault("weightCol") == regression.WEIGHT
+    from pyspark.ml.regression import GBTRegressor
+    each = GBTRegressor(labelCol="y", featuresCol="features", maxIter=3, seed=42).fit(regression.assemble(train, ["a", "b"]))
+    cases = train.select("a", "b").distinct()
+    want = {(r.a, r.b): r.prediction for r in each.transform(regression.assemble(cases, ["a", "b"])).collect()}
+    got = {(r.a, r.b): r.prediction for r in model.transform(cases).collect()}
+    assert len(got) == 15
+    assert got == pytest.approx(want)
+    with pytest.raises(Exception, match="(?i)null"):
+        regression.gbt_regression(train.unionByName(train.limit(1).withColumn("y", F.lit(None).cast("double"))), "y", ["a", "b"], 1)
+
+
 def test_assembling_keeps_invalid_rows(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
     assert regression.assemble(df, ["a", "b"]).count() == 2
