@@ -78,3 +78,12 @@ def test_rounds_are_those_of_plain_em(spark, corpus):
 def test_documents_meet_only_their_own_terms(spark, fitted):
     model, words, vectors = fitted
     assert "posexplode" not in text.lda_log_likelihood(model, vectors, words)._jdf.queryExecution().toString()
+
+
+def test_length_of_vectors_is_told_and_documents_without_terms_take_nothing(spark, corpus, monkeypatch):
+    told = []
+    monkeypatch.setattr(topics, "fit", lambda *a: told.append(a[-1]))
+    _, words, _ = text.lda_of(spark.createDataFrame([(t,) for t in corpus], "text string"), 2, 20)
+    assert told == [len(words)]  # else a pass more over all texts finds it
+    block = topics.Block(np.array([0, 2, 0, 1, 0]), np.array([1, 0, 1]), np.array([1.0, 2, 4]))
+    assert topics._by_document(block, np.stack([block.counts, -block.counts])).tolist() == [[0, 3, 0, 4, 0], [0, -3, 0, -4, 0]]
