@@ -80,3 +80,31 @@ def test_a_large_group_meets_its_median_in_pieces(spark, folder, monkeypatch):
     found = bindings.approx_medians(spark, folder)
     assert "piece" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(-1, 1000, True), (0, 300, True), (1, 300, True), (2, 300, True)]
+
+
+def test_writing_event_logs_sorts_rows_once_and_no_lines(spark, folder, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameWriter
+    spark.range(40).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit(10.5).alias("o_totalprice"),
+        F.lit("1996-01-02").cast("timestamp_ntz").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(f"{folder}/orders.parquet")
+    spark.range(120).select(
+        (F.col("id") % 40).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(3).cast("long").alias("l_suppkey"),
+        (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.lit(9.5).alias("l_extendedprice"),
+        F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), F.lit("1996-02-02").cast("timestamp_ntz").alias("l_shipdate"),
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    plans, write = [], DataFrameWriter.text
+
+    def seen(self, path, *args, **options):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        write(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "text", seen)
+    lines = bindings.event_lines(spark, folder)
+    # Opened into rows the lines would lose the order of the rows, and the writer would sort them all again.
+    assert len(plans) == 3 and not any("Generate" in plan for plan in plans)
+    assert lines.filter(F.col("value").contains("JobStart")).count() == 40
+    done = sum(i % 7 + 1 < 6 for i in range(120))
+    assert lines.filter(F.col("value").contains("TaskEnd")).count() == 2 * done
+    assert lines.filter(F.col("value").contains("TaskStart")).count() == 120
