@@ -83,3 +83,29 @@ def test_stretches_give_the_ids_of_the_whole(name, text):
     path = f"/opt/tokenizers/{name}"
     whole = tokens.encoder(path).tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(tokens.encoder(path).encode([text], 7)[0], "<u4").tolist() == [*whole, 7]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_equal_stretches_of_some_texts_are_looked_up_once(name, vocabulary):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return dict.get(self, *key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return dict.__getitem__(self, key)
+
+    found = tokens.Encoder(vocabulary(name))
+    found.kept = Counted()
+    texts = ["one two, three"] * 200 + ["", "  one　 two"]
+    assert found.encode(texts, 7) == [x for t in texts for x in tokens.encoder(vocabulary(name)).encode([t], 7)]
+    assert Counted.asked < 20
+
+
+def test_stretches_begin_at_blanks_and_at_marks_behind_letters():
+    stretches, first = tokens.cut(["a-b  c", "", "é, ×, x", "  y  z　 (5)", " "])
+    assert stretches.to_pylist() == ["a", "-b", "  c", "é", ",", " ×,", " x", "  y", "  z　 (5)", " "]
+    assert first.tolist() == [0, 3, 3, 7, 9, 10]
