@@ -158,3 +158,22 @@ def test_tokens_find_their_units():
     asked = np.concatenate([units.tokens, rng.integers(1, 2**63, 500).astype(np.uint64), units.tokens[:50] + np.uint64(7)])
     rare = units.top + lexicon.rare_unit(asked, maxent.RARE)
     assert units.of(asked).tolist() == [rank.get(x, int(r)) for x, r in zip(asked.tolist(), rare, strict=True)]
+
+
+def test_the_highest_logit_of_a_row_is_not_sought_along_it():
+    class Seen(np.ndarray):
+        along_rows = 0
+
+        def max(self, axis=None, **options):
+            Seen.along_rows += axis == 1
+            return np.asarray(self).max(axis=axis, **options)
+
+    rng = np.random.default_rng(3)
+    units = some_units(rng)
+    weights = maxent.Weights.start(units, 1 << 9)
+    unit = rng.integers(0, len(units.total), 50)
+    features = maxent.contexts(np.zeros(50, np.int64), unit, len(units.total))
+    want = weights.log_probability(features, unit)
+    weights.shares = weights.shares.view(Seen)
+    assert (weights.log_probability(features, unit) == want).all() and Seen.along_rows == 0
+    assert (maxent.highest(weights.shares) == np.asarray(weights.shares).max(axis=1)).all()
