@@ -29,31 +29,40 @@ ENCODED_IDS = 1 << 18
 
 
 def token_rows(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32-bit, `end` last) of every document."""
+    """doc_id, ids (binary, little-endian unsigned 32-bit, `end` last) of every document, and `counts`: of some documents,
+    beside the first of them, the ids in use and how often each occurs (binary, 64-bit pairs).
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column("text").to_pylist()):
                 ids = encoder(vocabulary).encode(texts, end)
+                total = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
+                used = np.flatnonzero(total)
+                counts = [np.stack([used, total[used]]).astype("<i8").tobytes()] + [None] * (len(ids) - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                    [batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+                    ["doc_id", "ids", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The ids in use and how often each occurs in all documents; at most a vocabulary of rows is collected."""
+    """The ids in use and how often each occurs in all `token_rows`; at most a vocabulary of rows is collected."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4"), minlength=len(total))
+            pairs = [np.frombuffer(x, "<i8").reshape(2, -1) for x in batch.column("counts").to_pylist()]
+            some, n = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+            found = np.zeros(max(len(total), int(some.max(initial=-1)) + 1), dtype=np.int64)
+            np.add.at(found, some, n)
             found[:len(total)] += total
             total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    table = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
+    table = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()
     return table["id"].to_numpy(), table["n"].to_numpy()
 
 
@@ -187,7 +196,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int, path: str) ->
                 ], ["doc_id", "size", "bits", "checkpoints"])
                 at += len(part)
 
-    encoded = tokens.mapInArrow(to_bits, f"doc_id {kind}, size long, bits binary, checkpoints binary")
+    encoded = tokens.select("doc_id", "ids").mapInArrow(to_bits, f"doc_id {kind}, size long, bits binary, checkpoints binary")
     # Ranges are sampled from the ids alone; rows are sorted and laid out with the number of their part.
     bounds = doc_ranges(tokens)
     ranged = encoded.withColumn("part", bounds)

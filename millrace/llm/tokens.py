@@ -16,7 +16,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ PROBES = [" the", "Word", " \u00dcber", "\u00e9\u00c9\u00e8", "x", " na\u00efve"
 
 def _byte_letters(text: str) -> str:
     """The text with each byte as the character that stands for it in byte-level vocabularies."""
-    return text if text.isascii() else "".join(map(chr, text.encode())).translate(_BYTE_LETTERS)
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
 # Bytes that Latin-1 can't print, in order, are the characters from 256 on.
@@ -53,7 +52,6 @@ def _lowered(text: str) -> str:
     return _byte_letters(text.strip().lower())
 
 
-_ID = attrgetter("id")
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
@@ -88,7 +86,7 @@ class Encoder:
             tokenize, spelling, simple = self.tokenizer.model.tokenize, self.spelling, self.simple
             for i in new:
                 if ids[i] is None and simple(stretches[i]):
-                    ids[i] = array("I", map(_ID, tokenize(spelling(stretches[i])))).tobytes()
+                    ids[i] = array("I", [x.id for x in tokenize(spelling(stretches[i]))]).tobytes()
         rest = [i for i in new if ids[i] is None]
         for i, found in zip(rest, self.tokenizer.encode_batch_fast([stretches[i] for i in rest], add_special_tokens=False), strict=True):
             ids[i] = array("I", found.ids).tobytes()

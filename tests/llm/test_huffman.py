@@ -66,3 +66,12 @@ def test_round_trip_and_empty_table(awkward, nothing, vocabulary):
     rows = huffman.round_trip(awkward, vocabulary("byte_bpe_50k.json")).collect()
     assert {r["ids_crc32"] for r in rows if r["doc_id"] in (400, 401, 406)} == {zlib.crc32(np.array([2], "<u4").tobytes())}
     assert huffman.round_trip(nothing, vocabulary("byte_bpe_50k.json")).collect() == []
+
+
+def test_ids_are_counted_where_they_are_made(awkward, vocabulary):
+    rows = huffman.token_rows(awkward, vocabulary("byte_bpe_50k.json"), 2)
+    made = rows.collect()
+    assert 0 < sum(r["counts"] is not None for r in made) < len(made)
+    want = np.bincount(np.frombuffer(b"".join(r["ids"] for r in made), "<u4"))
+    ids, counts = huffman.id_counts(rows.select("counts"))
+    assert ids.tolist() == np.flatnonzero(want).tolist() and counts.tolist() == want[ids].tolist()
