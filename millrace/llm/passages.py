@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.llm.groups import dealt, fresh, repeated
-from millrace.llm.words import SPACE, Spans, Texts, blobs, joined
+from millrace.llm.words import SPACE, Spans, Texts, blobs, joined, release
 
 LENGTH, START = 13, 7
 GROUP_BYTES = 4 << 20
@@ -151,14 +151,20 @@ def finish_repeats(
             at, hashes = group.words.windows(group.hashes, lengths[0])
         else:
             at, hashes = group.anchors(lengths[0], lengths[1])
-        return group.ask(key[0].as_py(), at, hashes, buckets)
+        made = group.ask(key[0].as_py(), at, hashes, buckets)
+        del group, at, hashes
+        release()
+        return made
 
     asked = grouped.applyInArrow(first_level, _ASKED)
     def extend(level: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
         def next_level(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
             group = _Group(table)
             at, hashes = group.candidates(lengths, level, joined(answers["hashes"], np.uint64))
-            return group.ask(key[0].as_py(), at, hashes, buckets)
+            made = group.ask(key[0].as_py(), at, hashes, buckets)
+            del group, at, hashes
+            release()
+            return made
 
         return next_level
 
@@ -180,7 +186,10 @@ def finish_repeats(
         step = np.zeros(len(group.hashes) + 1, dtype=np.int64)
         step[at[found]] += 1
         step[at[found] + length] -= 1
-        return finish(group, np.cumsum(step)[:-1] > 0).append_column(copies, group.batch.column(copies))
+        made = finish(group, np.cumsum(step)[:-1] > 0).append_column(copies, group.batch.column(copies))
+        del group, at, hashes, known, first, order, place, found, step
+        release()
+        return made
 
     return repeated(grouped.cogroup(answered.groupBy("part")).applyInArrow(
         last, StructType([*schema, StructField(copies, LongType())])), copies)

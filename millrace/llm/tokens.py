@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from millrace.llm.words import FORGET
+
 MAX_KEPT = 500_000
 
 #: Characters that Unicode calls white space: those of a byte, and the last three bytes of all others.
@@ -146,6 +148,10 @@ def encoder(path: str) -> Encoder:
     return _TOKENIZERS[path]
 
 
+#: The words that are kept take some 200 MB; work that cuts no texts into ids ends the need for them.
+FORGET.append(_TOKENIZERS.clear)
+
+
 def slices(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) of runs of at most `size` characters, or of one longer text; null is empty."""
     start, room, run = 0, 0, []

@@ -6,7 +6,8 @@ table values times powers of an odd number, modulo 2**64, so the hash of any str
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +132,26 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: What drops the things that a worker keeps from task to task for work of another kind.
+FORGET: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Forget what other kinds of work have kept, and give the system back what is free in this process.
+
+    A worker waits for its next task with all it holds, beside an executor whose own memory is full; freed arrays are else
+    kept by the C library, and freed buffers by Arrow.
+    """
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it.
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of batches of at most PIECE_BYTES of text, or of one longer text."""
+    """Slices of batches of at most PIECE_BYTES of text, or of one longer text. After the last, free memory is released."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,6 +163,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             part = batch.slice(start, end - start)
             yield part, Texts(part.column(column))
             start = end
+    release()
 
 
 def longs(column: pa.Array) -> np.ndarray:
