@@ -177,3 +177,17 @@ def test_the_highest_logit_of_a_row_is_not_sought_along_it():
     weights.shares = weights.shares.view(Seen)
     assert (weights.log_probability(features, unit) == want).all() and Seen.along_rows == 0
     assert (maxent.highest(weights.shares) == np.asarray(weights.shares).max(axis=1)).all()
+
+
+def test_slopes_of_a_row_are_added_up():
+    # Most rows have one token; those are copied, not summed up one by one.
+    rng = np.random.default_rng(9)
+    for rows in (rng.integers(0, 3000, 2000), rng.permutation(2000), np.zeros(50, np.int64)):
+        slope = rng.random((len(rows), maxent.WIDTH), dtype=np.float32)
+        order = np.argsort(rows)
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        row, tokens, total = maxent.added_up(slope, rows)
+        assert row.tolist() == rows[order][first].tolist() and tokens.tolist() == np.diff(np.append(first, len(rows))).tolist()
+        assert np.array_equal(total, np.add.reduceat(slope[order], first, axis=0))
+    columns = rng.random((300, maxent.WIDTH), dtype=np.float32)
+    assert np.array_equal(maxent.column_sums(np.ascontiguousarray(columns.T)), columns.sum(axis=1))
