@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import Scratch
 from millrace.llm.tokens import encoder, slices
+from millrace.llm.words import trim
 from millrace.operators.ordering import number_rows
 
 CAPACITY = 2048
@@ -35,7 +36,8 @@ def piece_rows(docs: DataFrame, vocabulary: str, end: int = 0, capacity: int = C
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column("text").to_pylist()):
+            # A batch may be a task's whole input, so its texts are taken out as they are needed.
+            for at, texts in slices(x.as_py() for x in batch.column("text")):
                 row, piece, start, length, crc, data = [], [], [], [], [], []
                 for i, found in enumerate(encoder(vocabulary).encode(texts, end)):
                     for j, low in enumerate(range(0, len(found), 4 * capacity)):
@@ -49,6 +51,7 @@ def piece_rows(docs: DataFrame, vocabulary: str, end: int = 0, capacity: int = C
                 columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                            pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(data, pa.binary())] * ids, names)
+                trim()
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids

@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +152,7 @@ def encoder(path: str) -> Encoder:
 FORGET.append(_TOKENIZERS.clear)
 
 
-def slices(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: Iterable[str | None], size: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) of runs of at most `size` characters, or of one longer text; null is empty."""
     start, room, run = 0, 0, []
     for i, text in enumerate(texts):

@@ -136,22 +136,27 @@ def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 FORGET: list[Callable[[], None]] = []
 
 
+def trim() -> None:
+    """Give the system back what is free in this process; freed arrays are else kept by the C library, and buffers by Arrow."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it.
+    if free:
+        free(0)
+
+
 def release() -> None:
-    """Forget what other kinds of work have kept, and give the system back what is free in this process.
+    """Forget what other kinds of work have kept, and give back what is free.
 
-    A worker waits for its next task with all it holds, beside an executor whose own memory is full; freed arrays are else
-    kept by the C library, and freed buffers by Arrow.
+    A worker waits for its next task with all it holds, beside an executor whose own memory is full.
     """
     for forget in FORGET:
         forget()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it.
-    if trim:
-        trim(0)
+    trim()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Slices of batches of at most PIECE_BYTES of text, or of one longer text. After the last, free memory is released."""
+    """Slices of batches of at most PIECE_BYTES of text, or of one longer text. Free memory is released before and after."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
